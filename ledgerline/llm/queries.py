@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, url_filter
+from ledgerline.llm import packing, substring_dedup, url_filter
 
 # The rules that come before the block list, as (host, path prefix, verdict).
 URL_RULES = [
@@ -43,8 +43,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op7_substring_dedup": op7_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

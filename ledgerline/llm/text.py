@@ -52,6 +52,17 @@ def byte_mix() -> np.ndarray:
     return _MIX
 
 
+def spark_hash(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod(xxhash64(id), buckets) of 64-bit integers, as Spark computes it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = (np.uint64(42 + 8) + p5) ^ (turn(ids.astype(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % buckets
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column, as text or binary with 32-bit offsets."""
     got = batch.column(batch.schema.get_field_index(name))
@@ -136,16 +147,23 @@ class Words:
 
 
 def windows(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """A hash of each run of size neighbours (one fewer element for each word of the size but the first)."""
+    """A hash of each run of size neighbours: as many elements as there are such runs."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(salt), np.uint64)
-    factor = np.uint64(0xD6E8FEB86659FD93)
-    for k in range(size):
-        out *= factor
-        out += hashes[k : k + n]
-    return mix64(out)
+    if salt:
+        hashes = mix64(hashes ^ np.uint64(salt))
+    up, down = powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix64((total[size:] - total[:n]) * down[:n])
+
+
+def within(bounds: np.ndarray, size: int) -> np.ndarray:
+    """The first words of all runs of size words that lie in one text; bounds as in Words."""
+    n = int(bounds[-1])
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    return np.flatnonzero(np.arange(size, n + size) <= end)
 
 
 def joined(words: Words, keep: np.ndarray) -> list[bytes]:
