@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, substring_dedup, url_filter
+from ledgerline.llm import packing, quality, secrets, substring_dedup, url_filter
 
 # The rules that come before the block list, as (host, path prefix, verdict).
 URL_RULES = [
@@ -43,13 +43,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean(table(spark, sf_dir, "documents")).drop("clean_text", "lost_chars")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind_order"] < len(secrets.BASE_RULES))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op7_substring_dedup": op7_substring_dedup}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op6_quality_rules": op6_quality_rules, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
