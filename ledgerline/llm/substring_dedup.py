@@ -26,16 +26,16 @@ empty result.
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.shared import publish
 from ledgerline.llm.text import Words, column, joined, slices, spark_hash, text_buffers, windows, within
 
 SIZE = 20
@@ -101,7 +101,8 @@ def _sketch(bits: int, size: int, text: str):
         key, one, two = None, np.zeros(0, bool), np.zeros(0, bool)
 
         def plane() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], names=["row", "slice", "plane"])
+            packed = zstandard.compress(np.packbits(two, bitorder="little").tobytes(), 1)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([packed], pa.binary())], names=["row", "slice", "plane"])
 
         for batch in batches:
             for row, part, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -119,19 +120,39 @@ def _sketch(bits: int, size: int, text: str):
     return count, merge, width
 
 
-def repeated_plane(docs: DataFrame, text: str, size: int, bits: int) -> str:
-    """Publishes the merged counters that reach 2; gives the file's name for SparkFiles.get."""
+class Plane:
+    """The merged counters that reach 2, compressed by slice; each Python worker unpacks them once."""
+
+    _open: dict[str, np.ndarray] = {}
+
+    def __init__(self, rows: list[tuple[int, int, bytes]], bits: int, width: int):
+        self.rows, self.bits, self.width, self.name = rows, bits, width, uuid.uuid4().hex
+
+    def bytes(self) -> np.ndarray:
+        if self.name not in self._open:
+            self._open.clear()
+            step = (1 << self.width) // 8
+            out = np.zeros((_ROWS, (1 << self.bits) // 8), np.uint8)
+            for row, part, packed in self.rows:
+                out[row, part * step : (part + 1) * step] = np.frombuffer(zstandard.decompress(packed), np.uint8)
+            self._open[self.name] = out
+        return self._open[self.name]
+
+    def repeated(self, hashes: np.ndarray) -> np.ndarray:
+        """Which windows both rows estimate at 2 or more."""
+        maybe = np.ones(len(hashes), bool)
+        for row, seen in enumerate(self.bytes()):
+            spot = _counter(hashes, row, self.bits)
+            maybe &= (seen[spot >> np.uint32(3)] >> (spot & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+        return maybe
+
+
+def repeated_plane(docs: DataFrame, text: str, size: int, bits: int) -> Plane:
+    """The driver holds it compressed: at most 2 * 2**max_bits bits, whatever the input."""
     count, merge, width = _sketch(bits, size, text)
     touched = docs.select(text).mapInArrow(count, "row int, slice int, once binary, twice binary")
     planes = touched.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, plane binary")
-    step = (1 << width) // 8
-    with tempfile.NamedTemporaryFile(suffix=".plane") as f:
-        f.truncate(_ROWS * (1 << bits) // 8)
-        for got in planes.toLocalIterator():  # at most 2 * 2**max_bits bits in all, a partition at a time
-            f.seek(got["row"] * (1 << bits) // 8 + got["slice"] * step)
-            f.write(got["plane"])
-        f.flush()
-        return publish(docs.sparkSession, f.name, "windows")
+    return Plane([(r["row"], r["slice"], bytes(r["plane"])) for r in planes.collect()], bits, width)
 
 
 def _groups(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +194,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], f.type) for i, f in enumerate(_SETTLED_SCHEMA)], schema=_SETTLED_SCHEMA)
 
 
-def settle(docs: DataFrame, key: str, text: str, size: int, bits: int, plane: str, groups: int, buckets: int) -> DataFrame:
+def settle(docs: DataFrame, key: str, text: str, size: int, plane: Broadcast[Plane], groups: int, buckets: int) -> DataFrame:
     """Starts of repeated windows, packed: rows of kind 1 with the bucket of their documents."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.memmap(SparkFiles.get(plane), np.uint8, "r")
-        half = len(seen) // 2
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
@@ -201,10 +220,7 @@ def settle(docs: DataFrame, key: str, text: str, size: int, bits: int, plane: st
             if not len(starts):
                 continue
             hashes = windows(words.hashes, size)[starts]
-            maybe = np.ones(len(hashes), bool)
-            for row in range(_ROWS):
-                spot = _counter(hashes, row, bits)
-                maybe &= (seen[row * half + (spot >> np.uint32(3))] >> (spot & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+            maybe = plane.value.repeated(hashes)
             starts, k1 = starts[maybe], hashes[maybe]
             if not len(starts):
                 continue
@@ -282,8 +298,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     total = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     bits = min(max_bits, max(16, math.ceil(math.log2(max(1, total) * 4 / 6))))
     groups, buckets = max(64, total // (8 << 20)), max(64, total // (4 << 20))
-    plane = repeated_plane(docs, text, size, bits)
-    settled = settle(docs, key, text, size, bits, plane, groups, buckets)
+    plane = docs.sparkSession.sparkContext.broadcast(repeated_plane(docs, text, size, bits))
+    settled = settle(docs, key, text, size, plane, groups, buckets)
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
