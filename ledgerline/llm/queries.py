@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, quality, secrets, substring_dedup, url_filter
+from ledgerline.llm import language, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter
 
 # The rules that come before the block list, as (host, path prefix, verdict).
 URL_RULES = [
@@ -43,6 +43,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents")).drop("clean_text", "lost_chars")
 
@@ -52,6 +56,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -62,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op6_quality_rules": op6_quality_rules, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op5_minhash": op5_minhash, "op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,8 @@ import pyarrow as pa
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: besides blanks, all ASCII but letters and digits
+NOT_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -94,13 +96,13 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4 << 20) -
             at = to
 
 
-def word_cuts(data: np.ndarray, limit: int = CUT) -> Iterator[tuple[int, int]]:
+def word_cuts(data: np.ndarray, blank: np.ndarray = _BLANK, limit: int = CUT) -> Iterator[tuple[int, int]]:
     """Ranges of about limit bytes that end at a blank, so that no word is cut."""
     at, n = 0, len(data)
     while at < n:
         to = min(at + limit, n)
         while to < n:
-            found = np.flatnonzero(_BLANK[data[to : to + 4096]])
+            found = np.flatnonzero(blank[data[to : to + 4096]])
             if len(found):
                 to += int(found[0])
                 break
@@ -112,16 +114,17 @@ def word_cuts(data: np.ndarray, limit: int = CUT) -> Iterator[tuple[int, int]]:
 class Words:
     """All words of a batch in order: byte ranges, 64-bit hashes and the range of each text's words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
-        starts, ends, hashed = [], [], []
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True, blank: np.ndarray = _BLANK, heads: tuple[int, ...] = ()):
+        """heads: also hash the first so many bytes of each longer word."""
+        starts, ends, hashed, leads, owners, seen = [], [], [], [], [], 0
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         mixed = byte_mix()
         if lower:
             mixed = mixed[_LOWER]
-        for a, b in word_cuts(data):
+        for a, b in word_cuts(data, blank):
             part = data[a:b]
-            full = ~_BLANK[part]
+            full = ~blank[part]
             first = full.copy()
             first[1:] &= ~full[:-1] | edge[a + 1 : b]
             last = full.copy()
@@ -134,11 +137,19 @@ class Words:
                 total = np.zeros(len(part) + 1, np.uint64)
                 np.cumsum(mixed[part] * up[: len(part)], out=total[1:])
                 hashed.append(mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+                for k in heads:
+                    longer = np.flatnonzero(e - s > k)
+                    at = s[longer]
+                    leads.append(mix64(((total[at + k] - total[at]) * down[at] + np.uint64(k)) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                    owners.append(longer + seen)
+            seen += len(s)
         none = np.zeros(0, np.int64)
         self.data, self.offsets = data, offsets
         self.starts = np.concatenate(starts) if starts else none
         self.ends = np.concatenate(ends) if ends else none
         self.hashes = np.concatenate(hashed) if hashed else none.astype(np.uint64)
+        self.heads = np.concatenate(leads) if leads else none.astype(np.uint64)
+        self.owners = np.concatenate(owners) if owners else none
         #: words of text i: bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, offsets)
 
