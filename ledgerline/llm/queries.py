@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import language, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter
+from ledgerline.llm import embedding_dedup, language, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter
 
 # The rules that come before the block list, as (host, path prefix, verdict).
 URL_RULES = [
@@ -43,6 +43,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -76,7 +80,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op5_minhash": op5_minhash, "op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
+    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_embedding_dedup": op4_embedding_dedup, "op5_minhash": op5_minhash, "op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
