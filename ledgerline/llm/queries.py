@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import embedding_dedup, language, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter
+from ledgerline.llm import embedding_dedup, language, near_dedup, packing, quality, secrets, sentencepiece_np, substring_dedup, toxicity, url_filter
 
 # The rules that come before the block list, as (host, path prefix, verdict).
 URL_RULES = [
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = sentencepiece_np.decode(sentencepiece_np.encode(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocked = [(host, "", "block") for host in BLOCKED_HOSTS]
     judged = url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, blocked)
@@ -80,7 +86,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_embedding_dedup": op4_embedding_dedup, "op5_minhash": op5_minhash, "op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_embedding_dedup": op4_embedding_dedup, "op5_minhash": op5_minhash, "op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_secret_scan": op10_secret_scan, "op7_substring_dedup": op7_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
