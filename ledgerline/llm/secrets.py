@@ -195,8 +195,11 @@ def candidates(index: DataFrame, queries: dict[str, list]) -> DataFrame:
     return pairs.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id", text: str = "text", block_docs: int = 4096) -> DataFrame:
-    """key, text, and spans: an array of (start, kind_order, kind, end) in order of start, then of the rules."""
+def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id", text: str = "text", block_docs: int = 4096, carry: bool = False) -> DataFrame:
+    """key, text, and spans: an array of (start, kind_order, kind, end) in order of start, then of the rules.
+
+    With carry also the other columns, as the struct `carried`.
+    """
     rules = [*BASE_RULES, *MORE_RULES] if rules is None else rules
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     full = [r for r in rules if not queries[r.kind]]
@@ -207,12 +210,14 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id",
     chosen = candidates(index, indexed)
     body = F.coalesce(F.col(text), F.lit(""))
     # full scans run beside the text before it moves
-    read = docs.select(F.col(key).alias("id"), body.alias("text"), *[spans(body, r).alias(r.kind) for r in full])
+    others = [F.col(c) for c in docs.columns if c not in (key, text)]
+    carried = F.struct(*others).alias("carried") if carry and others else F.lit(None).cast("int").alias("carried")
+    read = docs.select(F.col(key).alias("id"), body.alias("text"), carried, *[spans(body, r).alias(r.kind) for r in full])
     known = read.where(F.col("id").isNotNull()).join(chosen, "id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
     unknown = read.where(F.col("id").isNull()).withColumn("rules", F.array(*[F.lit(k) for k in indexed]).cast("array<string>"))
     met = known.unionByName(unknown)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    verified = met.select("id", "text", *[
+    verified = met.select("id", "text", "carried", *[
         (F.col(r.kind) if r in full else F.when(F.array_contains("rules", r.kind), spans(F.col("text"), r)).otherwise(none)).alias(r.kind) for r in rules
     ])
 
@@ -220,7 +225,8 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id",
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     every = [told(k, r.kind) for k, r in enumerate(rules)]
-    return verified.select(F.col("id").alias(key), "text", F.array_sort(F.concat(*every)).alias("spans"))
+    out = verified.select(F.col("id").alias(key), "text", F.array_sort(F.concat(*every)).alias("spans"), "carried")
+    return out if carry else out.drop("carried")
 
 
 def written(found: Column) -> Column:

@@ -289,8 +289,8 @@ def original(words: Words, keep: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, max_bits: int = MAX_BITS, layout: str = "joined") -> DataFrame:
-    """key, text (what is kept), n_words, n_removed.
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, max_bits: int = MAX_BITS, layout: str = "joined", carry: bool = False) -> DataFrame:
+    """key, text (what is kept), n_words, n_removed; with carry also the other columns, as the struct `carried`.
 
     layout "joined": kept words joined by one space. "original": texts that lose
     nothing are unchanged and others keep their white space.
@@ -340,13 +340,17 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", s
                     keep = ~covered(words, (marks + np.repeat(words.bounds[:-1], counts))[fits], size)
                     kept = np.diff(np.concatenate([[0], np.cumsum(keep)])[words.bounds])
                     texts = joined(words, keep) if layout == "joined" else original(words, keep)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes), pa.array(sizes - kept)], names=[key, "text", "n_words", "n_removed"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes), pa.array(sizes - kept), piece.column(6)], names=[key, "text", "n_words", "n_removed", "carried"])
 
     none = F.lit(None)
-    flags = settled.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("string").alias("text"), "docs", "starts")
-    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    others = [F.col(c) for c in docs.columns if c not in (key, text)] if carry else []
+    carried = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), carried.alias("carried"))
+    held = ids.schema["carried"].dataType
+    flags = settled.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("string").alias("text"), "docs", "starts", none.cast(held).alias("carried"))
     bucket = F.pmod(F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.xxhash64("text")), F.lit(buckets))
-    spread = ids.select(bucket.cast("int").alias("bucket"), F.lit(1).alias("kind"), "id", "text", none.cast("binary").alias("docs"), none.cast("binary").alias("starts"))
+    spread = ids.select(bucket.cast("int").alias("bucket"), F.lit(1).alias("kind"), "id", "text", none.cast("binary").alias("docs"), none.cast("binary").alias("starts"), "carried")
     met = flags.unionByName(spread).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    out = met.mapInArrow(cut, f"`{key}` long, text string, n_words long, n_removed long")
-    return out.withColumn(key, F.col(key).cast(kind))
+    out = met.mapInArrow(cut, f"`{key}` long, text string, n_words long, n_removed long, carried {held.simpleString()}")
+    out = out.withColumn(key, F.col(key).cast(kind))
+    return out if carry else out.drop("carried")

@@ -282,3 +282,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, evidence array<struct<key:long,similarity:double,label:int>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            got, _, _ = shared.value.score(*terms(batch, text))
+            yield batch.filter(pa.array(got < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
