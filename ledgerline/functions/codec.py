@@ -56,7 +56,7 @@ def decode_token(token: Column) -> Column:
     declared = F.conv(F.substring(body, 5, 4), 16, 10).cast("int")
     size = F.length(token)
     name = F.unhex(F.substr(body, F.lit(9), declared * 2))
-    text = F.try_validate_utf8(F.decode(name, "UTF-8"))
+    text = F.try_validate_utf8(name.cast("string"))
     rest = F.substr(body, F.lit(9) + declared * 2, F.lit(48))
     error = (
         F.when(token.isNull() | (size < 62) | (size > 572), "InvalidLength")
