@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     least = made.where("id is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     labelled = made.select("id", "n", "d1", "d2").join(least, ["d1", "d2"], "left").join(confirmed.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("label", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
     out = labelled.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     kind = docs.schema[key].dataType.simpleString()
     return out.select(F.col("id").cast(kind).alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
