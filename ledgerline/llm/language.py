@@ -61,7 +61,7 @@ class Direction:
     def backward(self, steps: np.ndarray, held: list, grads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of table and hidden, from those of the states by step."""
         size = self.hidden.shape[0]
-        d_table, d_hidden = np.zeros_like(self.table), np.zeros_like(self.hidden)
+        d_table, d_hidden, dxs = np.zeros_like(self.table), np.zeros_like(self.hidden), []
         carried = np.zeros_like(grads[0])
         for t in range(len(steps) - 1, -1, -1):
             before, _, z, r, new, un = held[t]
@@ -73,7 +73,12 @@ class Direction:
             du = np.concatenate([dz, dr, dn * r], axis=1)
             d_hidden += before.T @ du
             carried = dh * z + du @ self.hidden.T
-            np.add.at(d_table, steps[t], dx)
+            dxs.append(dx)
+        # sums of each byte's rows: one pass over rows in order of their byte
+        byte, rows = steps[::-1].ravel(), np.concatenate(dxs)
+        order = np.argsort(byte, kind="stable")
+        heads = np.flatnonzero(np.diff(byte[order].astype(np.int64), prepend=-1))
+        d_table[byte[order][heads]] = np.add.reduceat(rows[order], heads)
         return d_table, d_hidden
 
 
