@@ -90,4 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerline.llm import oracles  # it reads this module's fixed values
+
+    return oracles.oracle_sql()
