@@ -205,7 +205,7 @@ def operation_replay(spark: SparkSession, d: str) -> DataFrame:
     return control.replayed(orders.select(name, F.col("o_orderpriority").alias("request")), receipts).select("operation_id", "replay")
 
 
-@query(f"""WITH {LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS k FROM log) SELECT stream_id, count(*) AS accepted, count(*) FILTER (bytes <= 165) AS inserted, 0 AS deduplicated, count(*) FILTER (bytes > 165) AS failed FROM w GROUP BY 1""")
+@query(f"""WITH {LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS k FROM log) SELECT stream_id, count(*) AS accepted, count(*) FILTER (bytes <= 165) AS inserted, CAST(0 AS BIGINT) AS deduplicated, count(*) FILTER (bytes > 165) AS failed FROM w GROUP BY 1""")
 def append_size_limit(spark: SparkSession, d: str) -> DataFrame:
     """Requests over the size limit are refused and use up no identity and no offset."""
     records = tables.log(spark, d)
