@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions import codec
 from ledgerline.functions.codec import valid_identifier
 from ledgerline.operators import append as appends
 from ledgerline.operators import control
 from ledgerline.operators import log as logs
-from ledgerline.schema import INSERTED, RECORDS, STREAM_NAMES, Limits, LogError
+from ledgerline.schema import CHUNKS, FLOORS, INSERTED, RECORDS, SNAPSHOTS, STREAM_NAMES, Limits, LogError
 from ledgerline.sources.store import Store
 
 
@@ -27,7 +29,8 @@ class EventLog:
     def records(self, through: int | None = None) -> DataFrame:
         """Records of the active lifetimes."""
         held = self.store.read("records", RECORDS, through=through)
-        return held.join(self.names().where("active").select("stream_id", "incarnation"), ["stream_id", "incarnation"], "left_semi")
+        above = held.join(self.floors(), ["stream_id", "incarnation"], "left").where(F.col("floor").isNull() | (F.col("offset") > F.col("floor"))).select(*RECORDS.names)
+        return above.join(self.names().where("active").select("stream_id", "incarnation"), ["stream_id", "incarnation"], "left_semi")
 
     def create(self, stream_ids: list[str]) -> DataFrame:
         """Creates what is absent; gives stream_id, incarnation and error of each."""
@@ -41,8 +44,12 @@ class EventLog:
         error = F.when(~valid_identifier(F.col("stream_id")), "InvalidIdentifier").when(~F.col("active"), "StreamUnavailable")
         return now.select("stream_id", F.when(error.isNull(), F.col("incarnation")).alias("incarnation"), error.alias("error"))
 
+    def floors(self) -> DataFrame:
+        return self.store.latest("floors", FLOORS, ["stream_id", "incarnation"])
+
     def bounds(self) -> DataFrame:
-        return logs.bounds(self.records(), self.names().where("active").select("stream_id", F.lit(0).cast("long").alias("floor")))
+        active = self.names().where("active").join(self.floors(), ["stream_id", "incarnation"], "left")
+        return logs.bounds(self.records(), active.select("stream_id", F.coalesce("floor", F.lit(0)).cast("long").alias("floor")))
 
     def append(self, requests: DataFrame, operation_id: str | None = None) -> DataFrame:
         """requests: seq, stream_id, event_id, schema_id, schema_version, payload. Gives them with outcome, error_code, offset.
@@ -70,6 +77,69 @@ class EventLog:
         page = logs.pages(records, met.select("stream_id", "after", "through"), self.limits.page_records, self.limits.page_bytes)
         return page.where("error is null"), logs.page_summaries(records, met, self.limits.page_records, self.limits.page_bytes)
 
+    def advance_floors(self, requests: DataFrame, replicas: DataFrame | None = None) -> DataFrame:
+        """requests: stream_id, expected_floor, new_floor. Records at or below the floor are no longer read; published snapshots protect what follows them."""
+        replicas = replicas if replicas is not None else self.spark.createDataFrame([], "stream_id string, mode string, acknowledged long")
+        held = self.snapshots().where("state = 'Published'").select("stream_id", "covered")
+        told = control.floor_decisions(requests, self.bounds().withColumn("generational", F.lit(True)), replicas, held)
+        good = told.where("error is null").join(self.names().where("active"), "stream_id")
+        self.store.commit({"floors": good.select("stream_id", "incarnation", F.col("floor_after").alias("floor"))}, uuid.uuid4().hex)
+        return told
+
+    # -- snapshots -----------------------------------------------------------
+
+    def snapshots(self) -> DataFrame:
+        return self.store.latest("snapshots", SNAPSHOTS, ["snapshot_id"])
+
+    def upload_snapshot(self, snapshot_id: bytes, stream_id: str, covered: int, chunks: DataFrame, digest: bytes, schema_id: str = "state", schema_version: int = 1) -> str:
+        """Takes all chunks (offset, bytes), verifies them and gives the state: Verified or ChecksumMismatch."""
+        known = self.snapshots().where(F.col("snapshot_id") == F.lit(snapshot_id)).collect()
+        if known:
+            if (bytes(known[0].digest), known[0].covered, known[0].stream_id) != (digest, covered, stream_id):
+                raise LogError("SnapshotConflict", snapshot_id.hex())
+            return known[0].state
+        own = self.names().where((F.col("stream_id") == stream_id) & F.col("active")).collect()
+        bounds = self.bounds().where(F.col("stream_id") == stream_id).collect()
+        if not own:
+            raise LogError("StreamUnavailable", stream_id)
+        if covered > bounds[0].tail:
+            raise LogError("CursorAhead", str(covered))
+        sized = chunks.select(F.lit(snapshot_id).alias("snapshot_id"), "offset", "bytes", F.octet_length("bytes").cast("long").alias("size"))
+        total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.max("size").alias("most"), F.min("size").alias("least")).first()
+        if total.n > self.limits.snapshot_bytes or (total.most or 0) > self.limits.chunk_bytes or total.least == 0:
+            raise LogError("CapacityExceeded", f"{total.n} bytes")
+        if not control.chunk_faults(sized, "snapshot_id").isEmpty():
+            raise LogError("ChunkGap", snapshot_id.hex())
+        content = sized.groupBy("snapshot_id").agg(codec.ordered_bytes(F.col("offset"), F.col("bytes")).alias("content"))  # at most snapshot_bytes
+        found = content.select(codec.digest(F.col("content")).alias("d")).collect()
+        state = "Verified" if (found[0].d if found else hashlib.sha256(b"").hexdigest()) == digest.hex() else "ChecksumMismatch"
+        row = (snapshot_id, stream_id, bytes(own[0].incarnation), covered, schema_id, schema_version, total.n, digest, state)
+        self.store.commit({"snapshots": self.spark.createDataFrame([row], SNAPSHOTS), "snapshot_chunks": sized.select(*CHUNKS.names)}, f"snapshot-{snapshot_id.hex()}")
+        return state
+
+    def move_snapshot(self, snapshot_id: bytes, event: str) -> str:
+        """publish or abort. Gives the new state; what the states don't allow is refused."""
+        row = self.snapshots().where(F.col("snapshot_id") == F.lit(snapshot_id))
+        told = row.withColumn("next", control.upload_state(F.col("state"), F.lit(event))).collect()
+        if not told:
+            raise LogError("SnapshotNotFound", snapshot_id.hex())
+        if told[0].next is None:
+            raise LogError("InvalidTransition", f"{told[0].state} {event}")
+        if told[0].next != told[0].state:
+            self.store.commit({"snapshots": row.withColumn("state", F.lit(told[0].next))}, uuid.uuid4().hex)
+        return told[0].next
+
+    def recover(self, snapshot_id: bytes) -> tuple[DataFrame, DataFrame]:
+        """The chunks of a published snapshot, and the records after what it covers."""
+        row = self.snapshots().where((F.col("snapshot_id") == F.lit(snapshot_id)) & (F.col("state") == "Published")).collect()
+        if not row:
+            raise LogError("SnapshotNotFound", snapshot_id.hex())
+        floor = self.bounds().where(F.col("stream_id") == row[0].stream_id).first()
+        if floor is None or row[0].covered < floor.floor:
+            raise LogError("HistoryUnavailable", row[0].stream_id)
+        chunks = self.store.read("snapshot_chunks", CHUNKS).where(F.col("snapshot_id") == F.lit(snapshot_id))
+        return chunks, self.records().where((F.col("stream_id") == row[0].stream_id) & (F.col("offset") > row[0].covered))
+
     def change_lifecycle(self, requests: DataFrame, replicas: DataFrame | None = None) -> DataFrame:
         """requests: operation_id, stream_id, action, expected. The decision of each; accepted ones are committed."""
         fresh = requests.withColumn("fresh", F.unhex(F.substring(F.sha2(F.concat_ws("|", "operation_id", "stream_id"), 256), 1, 32)))

@@ -17,6 +17,7 @@ REQUESTS = _table(seq=int, stream_id=str, incarnation=bytes, generation=int, eve
 OUTCOMES = _table(seq=int, outcome=str, error_code=str, offset=int)
 STREAM_NAMES = _table(stream_id=str, incarnation=bytes, active=bool)
 STREAMS = _table(stream_id=str, incarnation=bytes, floor=int, tail=int, retired=bool)
+FLOORS = _table(stream_id=str, incarnation=bytes, floor=int)
 RECEIPTS = _table(operation_id=str, kind=str, request=str, receipt=str)
 SNAPSHOTS = _table(snapshot_id=bytes, stream_id=str, incarnation=bytes, covered=int, schema_id=str, schema_version=int, content_bytes=int, digest=bytes, state=str)
 CHUNKS = _table(snapshot_id=bytes, offset=int, bytes=bytes)

@@ -1,5 +1,6 @@
 """Store, engine, codec, framing and streaming against small models."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -155,3 +156,33 @@ def test_replay_of_operations_and_upload_states(spark):
     assert {(r.operation_id, r.replay) for r in control.replayed(asked, seen).collect()} == {("1", "Replayed"), ("2", "OperationConflict"), ("3", None)}
     states = spark.createDataFrame([("Uploading", "put"), ("Uploading", "publish"), ("Verified", "publish"), ("Published", "abort"), ("Verifying", "mismatch")], "s string, e string")
     assert [r[0] for r in states.select(control.upload_state(F.col("s"), F.col("e"))).collect()] == ["Uploading", None, "Published", None, "ChecksumMismatch"]
+
+
+def test_snapshot_floor_and_recovery(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/log", create=True) as store:
+        log = EventLog(store)
+        log.create(["a"])
+        log.append(requests(spark, ("a", "1", b"opened"), ("a", "2", b"approved"), ("a", "3", b"completed")))
+        state, name = b"opened|approved", bytes(range(16))
+        chunks = spark.createDataFrame([(k, state[k : k + 3]) for k in range(0, len(state), 3)], "offset long, bytes binary")
+        with pytest.raises(LogError, match="CursorAhead"):
+            log.upload_snapshot(name, "a", 4, chunks, hashlib.sha256(state).digest())
+        with pytest.raises(LogError, match="ChunkGap"):
+            log.upload_snapshot(name, "a", 2, chunks.where("offset <> 3"), hashlib.sha256(state).digest())
+        assert log.upload_snapshot(bytes(16), "a", 2, chunks, bytes(32)) == "ChecksumMismatch"
+        assert log.upload_snapshot(name, "a", 2, chunks, hashlib.sha256(state).digest()) == "Verified"
+        with pytest.raises(LogError, match="SnapshotConflict"):
+            log.upload_snapshot(name, "a", 1, chunks, hashlib.sha256(state).digest())
+        assert log.move_snapshot(name, "publish") == log.move_snapshot(name, "publish") == "Published"
+        with pytest.raises(LogError, match="InvalidTransition"):
+            log.move_snapshot(name, "abort")
+        asked = spark.createDataFrame([("a", 0, 3)], "stream_id string, expected_floor long, new_floor long")
+        assert log.advance_floors(asked).first().error == "RecoveryProtectionActive"
+        asked = spark.createDataFrame([("a", 0, 2)], "stream_id string, expected_floor long, new_floor long")
+        assert log.advance_floors(asked).first().error is None
+        assert log.bounds().first().asDict() == {"stream_id": "a", "floor": 2, "tail": 3}
+        got, suffix = log.recover(name)
+        assert b"".join(bytes(r.bytes) for r in got.orderBy("offset").collect()) == state
+        assert [bytes(r.payload) for r in suffix.collect()] == [b"completed"]
+        again = log.append(requests(spark, ("a", "3", b"completed"), ("a", "4", b"closed"))).orderBy("seq").collect()
+        assert [(r.outcome, r.offset) for r in again] == [("Deduplicated", 3), ("Inserted", 4)]
