@@ -86,15 +86,15 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-class Model:
-    """A SentencePiece model file. kind: take it for another type of model than it says."""
+class Pieces:
+    """What a SentencePiece model file says, and the decoder, which needs little memory. kind: take it for another type of model."""
 
-    def __init__(self, path: str, kind: int | None = None, cache: int = 1_500_000):
+    def __init__(self, path: str, kind: int | None = None):
         with open(path, "rb") as f:
             raw = f.read()
         self.pieces: list[str] = []
         scores, types = [], []
-        self.kind, self.fallback, self.dummy, self.squeeze, self.escape, charsmap = UNIGRAM, False, True, True, True, b""
+        self.kind, self.fallback, self.dummy, self.squeeze, self.escape, self.charsmap = UNIGRAM, False, True, True, True, b""
         for number, value in fields(raw):
             if number == 1:
                 piece = dict(fields(value))
@@ -106,11 +106,37 @@ class Model:
                 self.kind, self.fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
             elif number == 3:
                 spec = dict(fields(value))
-                charsmap, self.dummy, self.squeeze, self.escape = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
+                self.charsmap, self.dummy, self.squeeze, self.escape = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
         self.kind = kind or self.kind
         self.scores, self.types = np.array(scores), np.array(types)
-        if charsmap or self.squeeze or not self.escape or self.kind not in (UNIGRAM, BPE) or not set(types) <= {NORMAL, UNKNOWN, CONTROL, BYTE}:
+        if self.charsmap or self.squeeze or not self.escape or self.kind not in (UNIGRAM, BPE) or not set(types) <= {NORMAL, UNKNOWN, CONTROL, BYTE}:
             raise ValueError("only unigram and BPE models with identity normalisation and plain pieces are supported")
+        self._decoder()
+
+    def _decoder(self) -> None:
+        said = []
+        for k, (piece, kind) in enumerate(zip(self.pieces, self.types.tolist(), strict=True)):
+            said.append(b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else bytes([int(piece[1:-1], 16)]) if kind == BYTE else piece.replace(chr(SPACE), " ").encode())
+        self.said = np.frombuffer(b"".join(said), np.uint8)
+        self.said_size = np.array([len(s) for s in said])
+        self.said_at = np.cumsum(self.said_size) - self.said_size
+
+    def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """The text of each run of ids; bytes that are not UTF-8 become U+FFFD."""
+        lens = self.said_size[ids]
+        to = np.cumsum(lens)
+        total = int(to[-1]) if len(to) else 0
+        raw = self.said[np.arange(total) + np.repeat(self.said_at[ids] - (to - lens), lens)].tobytes()
+        spots = np.concatenate([[0], to])[edges].tolist()
+        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(spots[:-1], spots[1:], strict=True))
+        return [t.removeprefix(" ") if self.dummy else t for t in texts]
+
+
+class Model(Pieces):
+    """The encoder too. At most cache different units are held; then the table starts anew."""
+
+    def __init__(self, path: str, kind: int | None = None, cache: int = 500_000):
+        super().__init__(path, kind)
         self.unknown = int(np.flatnonzero(self.types == UNKNOWN)[0])
         self.byte_ids = {int(self.pieces[k][1:-1], 16): k for k in np.flatnonzero(self.types == BYTE).tolist()}
         self.fallback &= len(self.byte_ids) == 256
@@ -134,7 +160,6 @@ class Model:
             self._splits(joined)
         self.cache = cache
         self.reset()
-        self._decoder()
 
     def _splits(self, joined: list[str]) -> None:
         """Sorted keys of all pairs of symbols whose concatenation is a piece. Symbols: pieces, then other single characters."""
@@ -162,24 +187,22 @@ class Model:
 
     def reset(self) -> None:
         self.table = Table()
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.rows = 0
-        self._packed: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.at, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.rows = self.fill = 0
 
     def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        self.flat.append(np.fromiter((i for x in ids for i in x), np.int32))
-        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.table.add(keys, np.arange(self.rows, self.rows + len(ids), dtype=np.int32))
-        self.rows += len(ids)
-        self._packed = None
-
-    def _stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self._packed is None:
-            flat, sizes = np.concatenate(self.flat), np.concatenate(self.sizes)
-            self.flat, self.sizes = [flat], [sizes]
-            self._packed = (flat, sizes, np.cumsum(sizes) - sizes)
-        return self._packed
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
+        need, total = self.rows + len(ids), int(lens.sum())
+        while need > len(self.at):
+            self.at, self.sizes = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.fill + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.fill : self.fill + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        rows = np.arange(self.rows, need, dtype=np.int32)
+        self.at[rows], self.sizes[rows] = self.fill + np.cumsum(lens) - lens, lens
+        self.table.add(keys, rows)
+        self.rows, self.fill = need, self.fill + total
 
     # -- segmentation of different units ------------------------------------
 
@@ -343,10 +366,9 @@ class Model:
             where = missing[first]
             self._add(fresh, self.segment(cps, start[where], end[where]))
             rows[missing] = self.table.find(keys[missing])
-        flat, sizes, at = self._stored()
-        lens = sizes[rows]
+        lens = self.sizes[rows].astype(np.int64)
         to = np.cumsum(lens)
-        ids = flat[np.arange(int(to[-1])) + np.repeat(at[rows] - (to - lens), lens)]
+        ids = self.flat[np.arange(int(to[-1])) + np.repeat(self.at[rows] - (to - lens), lens)]
         return ids, np.concatenate([[0], to])[np.searchsorted(start, bounds)]
 
     def _unseen(self, cps: np.ndarray) -> np.ndarray:
@@ -355,26 +377,9 @@ class Model:
             self._single[[ord(p) for p in self.ids if len(p) == 1]] = True
         return ~self._single[cps]
 
-    def _decoder(self) -> None:
-        said = []
-        for k, (piece, kind) in enumerate(zip(self.pieces, self.types.tolist(), strict=True)):
-            said.append(b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else bytes([int(piece[1:-1], 16)]) if kind == BYTE else piece.replace(chr(SPACE), " ").encode())
-        self.said = np.frombuffer(b"".join(said), np.uint8)
-        self.said_size = np.array([len(s) for s in said])
-        self.said_at = np.cumsum(self.said_size) - self.said_size
-
-    def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
-        """The text of each run of ids; bytes that are not UTF-8 become U+FFFD."""
-        lens = self.said_size[ids]
-        to = np.cumsum(lens)
-        total = int(to[-1]) if len(to) else 0
-        raw = self.said[np.arange(total) + np.repeat(self.said_at[ids] - (to - lens), lens)].tobytes()
-        spots = np.concatenate([[0], to])[edges].tolist()
-        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(spots[:-1], spots[1:], strict=True))
-        return [t.removeprefix(" ") if self.dummy else t for t in texts]
-
 
 _MODELS: dict[tuple[str, int | None], Model] = {}
+_PIECES: dict[tuple[str, int | None], Pieces] = {}
 
 
 def model(path: str, kind: int | None = None) -> Model:
@@ -384,6 +389,12 @@ def model(path: str, kind: int | None = None) -> Model:
     return _MODELS[path, kind]
 
 
+def pieces(path: str, kind: int | None = None) -> Pieces:
+    if (path, kind) not in _PIECES:
+        _PIECES[path, kind] = Pieces(path, kind)
+    return _PIECES[path, kind]
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", kind: int | None = None) -> DataFrame:
     """key, n_ids, ids (little-endian unsigned 32-bit integers)."""
 
@@ -404,7 +415,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids",
         for batch in slices(batches, ids, 4 << 20):
             data, offsets = text_buffers(column(batch, ids))
             numbers = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-            texts = model(path, kind).decode(numbers, offsets // 4)
+            texts = pieces(path, kind).decode(numbers, offsets // 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets) // 4), column(batch, ids), pa.array(texts, pa.string())], names=[key, "n_ids", "ids", "text"])
 
     return encoded.select(key, ids).mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, n_ids long, ids binary, text string")
