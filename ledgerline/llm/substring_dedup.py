@@ -70,11 +70,14 @@ def _sketch(bits: int, size: int, text: str):
     width = min(bits, SLICE_BITS)
     schema = pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate(held)
+    def send(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """held: counters by row; a row's are let go once they are sent."""
         for row in range(_ROWS):
-            spots = np.sort(_counter(hashes, row, bits))
-            first = np.concatenate([[True], spots[1:] != spots[:-1]])
+            spots = np.concatenate(held[row])
+            held[row].clear()
+            spots.sort()
+            first = np.ones(len(spots), bool)
+            np.not_equal(spots[1:], spots[:-1], out=first[1:])
             again = np.unique(spots[~first])
             once = spots[first]
             cuts = np.arange((1 << (bits - width)) + 1, dtype=np.int64) << width
@@ -83,16 +86,16 @@ def _sketch(bits: int, size: int, text: str):
             yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in slices(batches, text):
+        held, n = [[] for _ in range(_ROWS)], 0
+        for batch in slices(batches, text, 2 << 20):
             words = Words(*text_buffers(column(batch, text)))
             got = windows(words.hashes, size)[within(words.bounds, size)]
-            if len(got):
-                held.append(got)
-                n += len(got)
+            for row in range(_ROWS):
+                held[row].append(_counter(got, row, bits))
+            n += len(got)
             if n > 5 * FLUSH:
                 yield from send(held)
-                held, n = [], 0
+                n = 0
         if n:
             yield from send(held)
 
@@ -203,6 +206,7 @@ def settle(docs: DataFrame, key: str, text: str, size: int, plane: Broadcast[Pla
 
         def flush() -> Iterator[pa.RecordBatch]:
             doc, start, k1, k2 = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             if np.any(doc[1:] < doc[:-1]):
                 order = np.argsort(doc, kind="stable")
                 doc, start, k1, k2 = doc[order], start[order], k1[order], k2[order]
@@ -214,7 +218,7 @@ def settle(docs: DataFrame, key: str, text: str, size: int, plane: Broadcast[Pla
             for at in range(0, len(rows), 256):
                 yield _batch(rows[at : at + 256])
 
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             words = Words(*text_buffers(column(batch, text)))
             starts = within(words.bounds, size)
             if not len(starts):
@@ -231,12 +235,13 @@ def settle(docs: DataFrame, key: str, text: str, size: int, plane: Broadcast[Pla
             n += len(starts)
             if n >= FLUSH:
                 yield from flush()
-                held, n = [], 0
+                n = 0
         if n:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by kind and bucket; one group of digests is held at a time."""
+        Plane._open.clear()  # a worker that is used again needs it no more
         at, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
