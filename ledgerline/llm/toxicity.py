@@ -218,15 +218,17 @@ def train(keys: list[int], labels: list[int], terms: list[np.ndarray], counts: l
     n = len(y)
     flat = np.concatenate(terms) if n else np.zeros(0, np.uint64)
     example = np.repeat(np.arange(n), [len(t) for t in terms]) if n else np.zeros(0, np.int64)
-    names, inverse = np.unique(flat, return_inverse=True)
-    toxic = np.bincount(inverse, y[example], len(names)) if n else np.zeros(0)
-    df = np.bincount(inverse, minlength=len(names)).astype(np.float64)
+    names, df = np.unique(flat, return_counts=True)
+    seen, times = np.unique(flat[y[example] > 0], return_counts=True)
+    toxic = np.zeros(len(names))
+    toxic[np.searchsorted(names, seen)] = times
     positives = int(y.sum())
     ratio = likelihood_ratio(toxic, df - toxic, positives, n - positives) if 0 < positives < n else np.zeros(len(names))
     chosen = np.flatnonzero((ratio >= least_ratio) & (df >= 2))
     chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:most_terms]])
     index = BlockMaxIndex(names[chosen], np.log((1 + n) / (1 + df[chosen])) + 1, y, np.array(keys, np.int64), block)
-    vectors = index.vectors(example, flat, np.concatenate(counts) if n else np.zeros(0), np.array(words, np.float64))
+    known = index.knows(flat)
+    vectors = index.vectors(example[known], flat[known], np.concatenate(counts)[known] if n else np.zeros(0), np.array(words, np.float64))
     index.fill(*vectors)
     prior = positives / n if n else 0.0
     model = Model(index, prior, 0.0, 0.0, k)
