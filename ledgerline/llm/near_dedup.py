@@ -283,7 +283,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     full = near.join(texts, "id").select("id", "group", "met", "signature", "text")
     confirmed = components(_trees(full.mapInArrow(sets, "group long, i int, j int, id long, signature binary, found binary"), exact))
 
-    least = made.where("id is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    # written out, or the join would share the aggregate's partitions, which Spark can't split for a large class
+    least = checkpointed(made.where("id is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     labelled = made.select("id", "n", "d1", "d2").join(least, ["d1", "d2"], "left").join(confirmed.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
     out = labelled.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
