@@ -46,6 +46,28 @@ class Direction:
     table: np.ndarray
     hidden: np.ndarray
 
+    def states(self, steps: np.ndarray):
+        """The transposed states of run(), in buffers that every step uses again; units lie along rows, so each pass is contiguous."""
+        size, n = self.hidden.shape[0], steps.shape[1]
+        table, hidden = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.hidden.T)
+        h, x, u = np.zeros((size, n), np.float32), np.empty((3 * size, n), np.float32), np.empty((3 * size, n), np.float32)
+        gates, new = x[: 2 * size], x[2 * size :]
+        for byte in steps:
+            np.take(table, byte, axis=1, out=x, mode="clip")
+            np.matmul(hidden, h, out=u)
+            gates += u[: 2 * size]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            u[2 * size :] *= gates[size:]
+            new += u[2 * size :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= gates[:size]
+            h += new
+            yield h
+
     def run(self, steps: np.ndarray, keep: bool = False):
         """steps: bytes by time and window. Yields the state after each step, or what backward() needs."""
         size = self.hidden.shape[0]
@@ -100,17 +122,18 @@ class Network:
         return [self.forward.table, self.forward.hidden, self.back.table, self.back.hidden, self.out, self.bias]
 
     def positions(self, steps: np.ndarray) -> np.ndarray:
-        """Probabilities by step, window and language."""
+        """Probabilities by step, language and window."""
         size = self.forward.hidden.shape[0]
-        logits = np.empty((*steps.shape, len(self.names)), np.float32)
-        for t, h in enumerate(self.forward.run(steps)):
-            logits[t] = h @ self.out[:size]
-        for t, h in enumerate(self.back.run(steps[::-1])):
-            logits[len(steps) - 1 - t] += h @ self.out[size:]
-        logits += self.bias
-        logits -= logits.max(axis=2, keepdims=True)
+        logits = np.empty((len(steps), len(self.names), steps.shape[1]), np.float32)
+        ahead, behind = np.ascontiguousarray(self.out[:size].T), np.ascontiguousarray(self.out[size:].T)
+        for t, h in enumerate(self.forward.states(steps)):
+            np.matmul(ahead, h, out=logits[t])
+        for t, h in enumerate(self.back.states(steps[::-1])):
+            logits[len(steps) - 1 - t] += behind @ h
+        logits += self.bias[:, None]
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
+        logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
     def gradients(self, steps: np.ndarray, real: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -155,8 +178,8 @@ def predict(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = W
     for at in range(0, len(windows), BATCH):
         part, n = windows[at : at + BATCH], size[at : at + BATCH]
         p = net.positions(np.ascontiguousarray(part.T[: int(n.max())]))
-        p *= (np.arange(len(p))[:, None] < n)[:, :, None]
-        np.add.at(pooled, text[at : at + BATCH], p.sum(axis=0))
+        p *= (np.arange(len(p))[:, None] < n)[:, None, :]
+        np.add.at(pooled, text[at : at + BATCH], p.sum(axis=0).T)
     return pooled / np.maximum(np.diff(offsets), 1)[:, None]
 
 
