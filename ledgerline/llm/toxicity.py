@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 9).
 
 Examples are a bounded sample of labelled documents, in order of a hash of the
-key, one of each group of near copies. Terms are runs of letters and digits, A-Z
+key; of near copies (equal label, Jaccard similarity of the terms 0.8 or more)
+the first stays. Terms are runs of letters and digits, A-Z
 lower-cased, and their first 5 to 8 bytes; the vocabulary holds those whose document frequencies differ between the classes by a likelihood
 ratio of least_ratio or more, since on long documents plain TF-IDF cosine is
 ruled by rare words that say nothing about the label. An inverted index lists
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.text import NOT_TERM, Words, column, mix64, slices, text_buffers
+from ledgerline.llm.text import NOT_TERM, Words, column, slices, text_buffers
 
 EXAMPLES = 6000
 TERMS = 4096
@@ -38,6 +39,7 @@ HEADS = (5, 6, 7, 8)
 NEAREST = 16
 BLOCK = 64
 PRIOR_VOTE = 2.0
+NEAR_COPY = 80  # percent of the terms of either that near copies share
 REST = 2.0  # squared weight of a word that is outside the vocabulary
 
 
@@ -62,23 +64,45 @@ def counts_of(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return r[heads], h[heads], np.diff(np.append(heads, len(r)))
 
 
-def distinct_examples(term_sets: list[np.ndarray]) -> list[int]:
-    """The first of each group of examples that share a band of three minima, 12 bands: near copies would count as evidence over again."""
-    by = mix64(np.arange(1, 37, dtype=np.uint64)) | np.uint64(1)
-    seen: set[tuple] = set()
+def distinct_examples(term_sets: list[np.ndarray], labels: list[int], percent: int = NEAR_COPY) -> list[int]:
+    """All but near copies, which would count as evidence over again: those whose term sets, in order, reach a Jaccard similarity of percent with an earlier kept example of equal label.
+
+    Exact: with terms in order of rarity, sets that similar share one of the first size - ceil(percent * size) + 1 terms of each.
+    """
+    sizes = [len(t) for t in term_sets]
+    if not sum(sizes):
+        return list(range(len(term_sets)))
+    names, spot, times = np.unique(np.concatenate(term_sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, times))] = np.arange(len(names))
+    rare = np.split(rank[spot], np.cumsum(sizes)[:-1])
+    single = int((times == 1).sum())  # ranks below: terms that no other example has
+    kept: dict[tuple[int, int], list[int]] = {}  # by label and leading term
     keep = []
-    for i, found in enumerate(term_sets):
-        if not len(found):
-            keep.append(i)
+    for i, (mine, label) in enumerate(zip(rare, labels, strict=True)):
+        size = sizes[i]
+        ordered = np.sort(mine)
+        lead = ordered[: size - -(-percent * size // 100) + 1]
+        lead = [(label, t) for t in lead[lead >= single].tolist()]
+        near = {j for t in lead for j in kept.get(t, ())}
+        if any(_similar(ordered, rare[j], percent) for j in sorted(near)):
             continue
-        least = (by[:, None] * found[None, :]).min(axis=1).tolist()
-        bands = {(k, *least[3 * k : 3 * k + 3]) for k in range(12)}
-        if not bands & seen:
-            keep.append(i)
-        seen |= bands
+        keep.append(i)
+        rare[i] = ordered
+        for t in lead:
+            kept.setdefault(t, []).append(i)
     return keep
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets have a Jaccard similarity of percent or more."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    spot = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[spot] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     """G-squared of frequencies a of n against b of m documents."""
     total, share = n + m, (a + b) / (n + m)
@@ -212,7 +236,7 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train(keys: list[int], labels: list[int], terms: list[np.ndarray], counts: list[np.ndarray], words: list[int], k: int = NEAREST, most_terms: int = TERMS, least_ratio: float = LEAST_RATIO, block: int = BLOCK) -> Model:
     """terms, counts, words: of each example."""
-    keep = distinct_examples(terms)
+    keep = distinct_examples(terms, labels)
     keys, labels, terms, counts, words = ([x[i] for i in keep] for x in (keys, labels, terms, counts, words))
     y = np.array(labels, np.float64)
     n = len(y)

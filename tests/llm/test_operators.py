@@ -307,6 +307,22 @@ def test_toxicity(spark, odd):
     assert toxicity.without_toxic(odd, empty).count() == len(ODD)
 
 
+def test_only_near_copies_of_equal_label_are_dropped():
+    rng = np.random.default_rng(9)
+    common = rng.integers(1, 1 << 62, 300).astype(np.uint64)  # two texts share about a fifth of their terms
+    sets = [np.unique(np.concatenate([rng.choice(common, 100, replace=False), rng.integers(1, 1 << 62, 60).astype(np.uint64)])) for _ in range(1500)]
+    labels = rng.integers(0, 2, len(sets)).tolist()
+    assert toxicity.distinct_examples(sets, labels) == list(range(len(sets)))  # unrelated: all stay
+    copies = [(sets[k][:-5], labels[k]) for k in range(40)] + [(sets[k][5:], 1 - labels[k]) for k in range(40)] + [(np.zeros(0, np.uint64), 0)] * 2
+    mixed, told = sets + [c for c, _ in copies], labels + [x for _, x in copies]
+    want = []
+    for i, s in enumerate(mixed):
+        j = [k for k in want if told[k] == told[i] and len(s) and 100 * len(np.intersect1d(s, mixed[k])) >= 80 * len(np.union1d(s, mixed[k]))] if i >= len(sets) else []
+        if not j:
+            want.append(i)
+    assert toxicity.distinct_examples(mixed, told) == want and len(want) == len(sets) + 42
+
+
 def test_nearest_by_block_max_equals_brute_force():
     rng = np.random.default_rng(6)
     n, v, k = 300, 40, 8
