@@ -4,6 +4,9 @@ The network is trained in numpy by backpropagation through time on windows of a
 bounded sample of labelled documents. For prediction a text's bytes are cut into
 windows of `window` bytes; both directions start afresh in each. Every position
 is labelled, and the mean of the position probabilities is the document's.
+Every language is learned that a usable document outside the held-out fold
+names; only the sample of each is bounded. Steps of training, and the numbers
+held for a language, grow with the number of languages.
 
 lang_pred is `und` with score 0 for null texts and texts without a letter; then
 too if nothing could be learned. Rows with a null key are predicted and never
@@ -31,8 +34,11 @@ WINDOW = 256
 BATCH = 2048
 DOCS_PER_LANGUAGE = 200
 WINDOWS_PER_DOC = 8
-LANGUAGES = 64
+LEAST_DOCS = 10
+SAMPLE = 12800  # documents of all languages, as long as that leaves each LEAST_DOCS
 STEPS = 160
+MINI_BATCH = 192
+CLASSES = 64  # for more languages windows are predicted in smaller batches and training takes more steps
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,32 +181,42 @@ def predict(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = W
     """Mean position probabilities of each text; zeros for empty ones."""
     pooled = np.zeros((len(offsets) - 1, len(net.names)))
     windows, text, size = cut(data, offsets, window)
-    for at in range(0, len(windows), BATCH):
-        part, n = windows[at : at + BATCH], size[at : at + BATCH]
+    batch = max(1, BATCH * CLASSES // max(CLASSES, len(net.names)))
+    for at in range(0, len(windows), batch):
+        part, n = windows[at : at + batch], size[at : at + batch]
         p = net.positions(np.ascontiguousarray(part.T[: int(n.max())]))
         p *= (np.arange(len(p))[:, None] < n)[:, None, :]
-        np.add.at(pooled, text[at : at + BATCH], p.sum(axis=0).T)
+        np.add.at(pooled, text[at : at + batch], p.sum(axis=0).T)
     return pooled / np.maximum(np.diff(offsets), 1)[:, None]
 
 
 def fit(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, window: int = 64, per_doc: int = WINDOWS_PER_DOC, seed: int = 7) -> Network:
-    """Adam on mini-batches of windows taken at random places of the sample, as many of each language."""
+    """Adam on mini-batches of windows taken at random places of the sample, as many of each language; of more languages than a mini-batch holds, in turn."""
     names = sorted(set(langs))
     net = Network.fresh(names, hidden, seed)
     rng = np.random.default_rng(seed)
     pools: list[list[bytes]] = [[] for _ in names]
+    spot = {name: k for k, name in enumerate(names)}
     for text, lang in zip(texts, langs, strict=True):
         for _ in range(per_doc):
             at = int(rng.integers(0, max(1, len(text) - window + 1)))
             if text[at : at + window]:
-                pools[names.index(lang)].append(text[at : at + window])
-    pools = [p for p in pools if p]
-    if not pools:
+                pools[spot[lang]].append(text[at : at + window])
+    filled = [k for k, p in enumerate(pools) if p]
+    if not filled:
         return net
-    each = max(1, 192 // len(pools))
+    each = max(1, MINI_BATCH // len(filled))
+    steps = -(-steps * max(CLASSES, len(filled)) // CLASSES)
+    turns: list[int] = []
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     for step in range(1, steps + 1):
-        chosen = [(p[int(rng.integers(len(p)))], names.index(n)) for p, n in zip(pools, [n for n in names if n in set(langs)], strict=False) for _ in range(each)]
+        if len(filled) <= MINI_BATCH:
+            taken = filled
+        else:
+            if len(turns) < MINI_BATCH:
+                turns += rng.permutation(filled).tolist()
+            taken, turns = turns[:MINI_BATCH], turns[MINI_BATCH:]
+        chosen = [(pools[k][int(rng.integers(len(pools[k])))], k) for k in taken for _ in range(each)]
         offsets = np.concatenate([[0], np.cumsum([len(c) for c, _ in chosen])])
         data = np.frombuffer(b"".join(c for c, _ in chosen), np.uint8)
         part, _, size = cut(data, offsets, window)
@@ -214,18 +230,21 @@ def fit(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int =
     return net
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE, languages: int = LANGUAGES, folds: int = 4, out: int = 2) -> Network | None:
-    """From at most per_language documents of each of the `languages` most frequent languages, outside the held-out fold."""
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE, sample: int = SAMPLE, folds: int = 4, out: int = 2) -> Network | None:
+    """From at most per_language documents of each language outside the held-out fold; fewer, but LEAST_DOCS, where all of these would be over `sample`."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0)).where(fold(F.col(key), folds) != out)
-    few = [r["lang"] for r in usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not few:
+    languages = usable.select(lang).distinct().count()
+    if not languages:
         return None
+    share = min(per_language, max(LEAST_DOCS, sample // languages))
     order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = usable.where(F.col(lang).isin(few)).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-    sample = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("id")
-    # at most per_language * languages keys
-    rows = usable.join(F.broadcast(sample.distinct()), usable[key] == F.col("id"), "left_semi").select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    near = rows.mapInArrow(_pieces, "id long, text binary, lang string").orderBy("id", "lang", "text").limit(per_language * len(few)).collect()
+    ids = usable.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
+    picked = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share).select("id", "lang").distinct()
+    # at most share * languages keys
+    rows = usable.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(picked), ["id", "lang"], "left_semi")
+    near = rows.select("id", "text", "lang").mapInArrow(_pieces, "id long, text binary, lang string")
+    # rows of a repeated key count one by one
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("id", "text"))).where(F.col("rank") <= share).orderBy("id", "lang", "text").collect()
     return fit([bytes(r["text"]) for r in near], [r["lang"] for r in near])
 
 

@@ -295,6 +295,20 @@ def test_language(spark, odd):
     assert nothing is None and {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """Of 210 languages, each of an alphabet of its own; the last is rare, and a key of another is repeated."""
+    rng = np.random.default_rng(3)
+    name = lambda k: f"l{k:03d}"
+    body = lambda k: " ".join("".join(chr(0x4E00 + 64 * k + int(c)) for c in rng.integers(0, 20, 4)) for _ in range(12))
+    rows = [(210 * j + k, body(k), name(k)) for k in range(210) for j in range(12 if k < 209 else 4)] + [(0, body(0), name(0))] * 30
+    net = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.names == [name(k) for k in range(210)]
+    fresh = spark.createDataFrame([(10000 + k, body(k), name(k)) for k in range(210)], "doc_id long, text string, lang string")
+    got = {r.doc_id - 10000: r.lang_pred for r in language.identify(fresh, net).collect()}
+    right = [got[k] == name(k) for k in range(210)]
+    assert np.mean(right) >= 0.9 and np.mean(right[64:]) >= 0.9
+
+
 def test_toxicity(spark, odd):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     model = toxicity.learn(docs, labels)
