@@ -5,7 +5,9 @@ key; of near copies (equal label, Jaccard similarity of the terms 0.8 or more)
 the first stays. Terms are runs of letters and digits, A-Z
 lower-cased, and their first 5 to 8 bytes; the vocabulary holds those whose document frequencies differ between the classes by a likelihood
 ratio of least_ratio or more, since on long documents plain TF-IDF cosine is
-ruled by rare words that say nothing about the label. An inverted index lists
+ruled by rare words that say nothing about the label. The weights' document
+frequencies are counted over all documents, whatever their label or fold; a
+null text is a document without terms. An inverted index lists
 examples by term in blocks, with the largest weight of each term in each block.
 A query's bound for a block is the cosine it could reach there; blocks are
 opened in order of the bound until none can change the k nearest. Votes are
@@ -22,7 +24,7 @@ ones. Other columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -113,6 +115,20 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray
     return 2 * (part(a, n * share) + part(b, m * share) + part(n - a, n * (1 - share)) + part(m - b, m * (1 - share))) * (total > 0)
 
 
+def among(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the sorted vocabulary holds."""
+    if not len(vocabulary):
+        return np.zeros(len(hashes), bool)
+    # most terms are unknown: a table of 16 bits of the hash sorts them out before the binary search
+    table = np.zeros(1 << 16, bool)
+    table[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(hashes >> np.uint64(48)).astype(np.int64)])
+    spot = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
+    out = np.zeros(len(hashes), bool)
+    out[maybe] = vocabulary[spot] == hashes[maybe]
+    return out
+
+
 @dataclass
 class BlockMaxIndex:
     """Examples' unit TF-IDF vectors by term, in blocks of examples."""
@@ -139,16 +155,7 @@ class BlockMaxIndex:
         return self
 
     def knows(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), bool)
-        # most terms are unknown: a table of 16 bits of the hash sorts them out before the binary search
-        table = np.zeros(1 << 16, bool)
-        table[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        maybe = np.flatnonzero(table[(hashes >> np.uint64(48)).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        out = np.zeros(len(hashes), bool)
-        out[maybe] = self.vocabulary[spot] == hashes[maybe]
-        return out
+        return among(self.vocabulary, hashes)
 
     def vectors(self, row: np.ndarray, hashes: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, term and weight of unit vectors. words: of each row; each counts as a term outside the vocabulary that no other text has."""
@@ -234,8 +241,8 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(keys: list[int], labels: list[int], terms: list[np.ndarray], counts: list[np.ndarray], words: list[int], k: int = NEAREST, most_terms: int = TERMS, least_ratio: float = LEAST_RATIO, block: int = BLOCK) -> Model:
-    """terms, counts, words: of each example."""
+def train(keys: list[int], labels: list[int], terms: list[np.ndarray], counts: list[np.ndarray], words: list[int], frequencies: Callable[[np.ndarray], tuple[np.ndarray, int]], k: int = NEAREST, most_terms: int = TERMS, least_ratio: float = LEAST_RATIO, block: int = BLOCK) -> Model:
+    """terms, counts, words: of each example. frequencies: of the terms of a vocabulary, how many documents hold them and how many there are."""
     keep = distinct_examples(terms, labels)
     keys, labels, terms, counts, words = ([x[i] for i in keep] for x in (keys, labels, terms, counts, words))
     y = np.array(labels, np.float64)
@@ -249,8 +256,9 @@ def train(keys: list[int], labels: list[int], terms: list[np.ndarray], counts: l
     positives = int(y.sum())
     ratio = likelihood_ratio(toxic, df - toxic, positives, n - positives) if 0 < positives < n else np.zeros(len(names))
     chosen = np.flatnonzero((ratio >= least_ratio) & (df >= 2))
-    chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:most_terms]])
-    index = BlockMaxIndex(names[chosen], np.log((1 + n) / (1 + df[chosen])) + 1, y, np.array(keys, np.int64), block)
+    vocabulary = names[np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:most_terms]])]
+    held, documents = frequencies(vocabulary)
+    index = BlockMaxIndex(vocabulary, np.log((1 + documents) / (1 + held)) + 1, y, np.array(keys, np.int64), block)
     known = index.knows(flat)
     vectors = index.vectors(example[known], flat[known], np.concatenate(counts)[known] if n else np.zeros(0), np.array(words, np.float64))
     index.fill(*vectors)
@@ -277,15 +285,39 @@ def counted(texts: DataFrame, text: str, *carried: str) -> DataFrame:
     return texts.select(*carried, text).mapInArrow(run, ", ".join([*kinds, "terms binary", "counts binary", "words long"]))
 
 
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term of the sorted vocabulary, and how many documents there are."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), 0
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by TERMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        held = np.zeros(len(vocabulary) + 1, np.int64)  # the last: documents
+        for batch in slices(batches, text):
+            row, hashes, _ = terms(batch, text)
+            known = among(vocabulary, hashes)
+            pairs = np.unique(row[known] * len(vocabulary) + np.searchsorted(vocabulary, hashes[known]))
+            held[:-1] += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+            held[-1] += batch.num_rows
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
+
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most TERMS + 1 rows
+        out[r["term"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", examples: int = EXAMPLES, folds: int = 5) -> Model:
-    """From at most `examples` labelled rows outside fold 0."""
+    """From at most `examples` labelled rows outside fold 0, and the document frequencies of all docs."""
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     usable = usable.where(fold(F.col("id"), folds) != 0).groupBy("id").agg(F.max("label").alias("label"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(examples)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     met = texts.join(F.broadcast(sample), "id")  # at most `examples` rows of two numbers
     rows = counted(met, "body", "id", "label").orderBy("id", "terms").limit(examples).collect()
-    return train([r["id"] for r in rows], [r["label"] for r in rows], [np.frombuffer(r["terms"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.int64) for r in rows], [r["words"] for r in rows])
+    return train([r["id"] for r in rows], [r["label"] for r in rows], [np.frombuffer(r["terms"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.int64) for r in rows], [r["words"] for r in rows], lambda vocabulary: document_frequencies(docs, vocabulary, text))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5) -> DataFrame:

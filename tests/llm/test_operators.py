@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +322,17 @@ def test_toxicity(spark, odd):
     assert toxicity.without_toxic(odd, empty).count() == len(ODD)
 
 
+def test_idf_counts_all_documents(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs = docs.union(docs.limit(3)).union(documents(spark, [(None, None), (None, "")]))
+    index = toxicity.learn(docs, labels).index
+    rows = docs.repartition(5).select("text").toPandas()["text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.string())], names=["text"])
+    row, found, _ = toxicity.counts_of(*toxicity.terms(batch, "text")[:2])
+    df = np.array([(found == t).sum() for t in index.vocabulary])
+    assert len(df) and np.allclose(index.idf, np.log((1 + len(rows)) / (1 + df)) + 1)
+
+
 def test_only_near_copies_of_equal_label_are_dropped():
     rng = np.random.default_rng(9)
     common = rng.integers(1, 1 << 62, 300).astype(np.uint64)  # two texts share about a fifth of their terms
