@@ -36,8 +36,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocked = [(host, "", "block") for host in BLOCKED_HOSTS]
+def op2_url_filter(spark: SparkSession, sf_dir: str, listed: str | None = None) -> DataFrame:
+    """listed: the path of a Parquet table as of url_filter.read_list; the fixed hosts, which the SQL has too, only where none is named."""
+    blocked = [(host, "", "block") for host in BLOCKED_HOSTS] if listed is None else url_filter.read_list(spark.read.parquet(listed))
     judged = url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, blocked)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 

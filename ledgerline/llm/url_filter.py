@@ -103,6 +103,14 @@ class Index:
         return self.blob[int(self.at[at]) : int(self.at[at + 1])].tobytes().decode("utf-8", "surrogatepass")
 
 
+def read_list(table: DataFrame) -> Iterator[Entry]:
+    """The entries of a maintained list: host, and path and verdict where there are such columns (else, or null: no path, block). Rows without a host are no entries."""
+    names = ("host", "path", "verdict")
+    for r in table.select(*(c for c in names if c in table.columns)).where("host is not null and host != ''").toLocalIterator():
+        told = r.asDict()
+        yield told["host"], told.get("path") or "", told.get("verdict") or "block"
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path."""
     if url is None:

@@ -66,6 +66,17 @@ def test_url_filter(spark):
     assert told == {r.page_id: brute_url(r.url) for r in table}
 
 
+def test_url_list_from_a_table(spark, tmp_path):
+    path = str(tmp_path / "list")
+    hosts = [(h, None, None) for h in ("ads-track.example.com", "ads-track.example.net", "ads-track.example.org")] + [(None, "/", "block"), ("b.org", "/x", "allow")]
+    spark.createDataFrame(hosts, "host string, path string, verdict string").write.parquet(path)
+    assert sorted(url_filter.read_list(spark.read.parquet(path))) == [*((h, "", "block") for h, _, _ in hosts[:3]), ("b.org", "/x", "allow")]
+    urls = ["http://m.ads-track.example.net/a", "http://ads-track.example.org", "http://notads-track.example.org/", "http://free-bets.example.org/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    told = lambda *listed: [r.verdict for r in queries.op2_url_filter(spark, str(tmp_path), *listed).orderBy("page_id").collect()]
+    assert told(path) == ["block", "block", "allow", "allow"] and told() == ["allow", "allow", "allow", "block"]
+
+
 def test_equal_digests_of_other_strings_do_not_match(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda _: 7)
     url_filter.write_index([("a.com", "/x", "block")], [("b.com", "", "block")], str(tmp_path / "i"))
