@@ -74,16 +74,16 @@ def distinct_examples(term_sets: list[np.ndarray], labels: list[int], percent: i
     sizes = [len(t) for t in term_sets]
     if not sum(sizes):
         return list(range(len(term_sets)))
-    names, spot, times = np.unique(np.concatenate(term_sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(names), np.int64)
-    rank[np.lexsort((names, times))] = np.arange(len(names))
-    rare = np.split(rank[spot], np.cumsum(sizes)[:-1])
+    names, times = np.unique(np.concatenate(term_sets), return_counts=True)
+    rank = np.empty(len(names), np.int32)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(names), dtype=np.int32)
+    rare: dict[int, np.ndarray] = {}  # of kept examples
     single = int((times == 1).sum())  # ranks below: terms that no other example has
     kept: dict[tuple[int, int], list[int]] = {}  # by label and leading term
     keep = []
-    for i, (mine, label) in enumerate(zip(rare, labels, strict=True)):
+    for i, (found, label) in enumerate(zip(term_sets, labels, strict=True)):
         size = sizes[i]
-        ordered = np.sort(mine)
+        ordered = np.sort(rank[np.searchsorted(names, found)])
         lead = ordered[: size - -(-percent * size // 100) + 1]
         lead = [(label, t) for t in lead[lead >= single].tolist()]
         near = {j for t in lead for j in kept.get(t, ())}
