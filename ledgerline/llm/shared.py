@@ -19,6 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bounds the bytes of the batches that Python workers get, so that long texts don't pile up by the row count."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if held <= 0 or held > limit:
+        spark.conf.set(name, str(limit))
+
+
 def ready(spark: SparkSession) -> None:
     """Makes checkpoint() write to the shared folder."""
     context = spark.sparkContext

@@ -4,274 +4,296 @@ A window is `size` consecutive words of one document. Each word covered by a
 window whose word sequence also starts earlier (smaller key, or same document
 and earlier start) is removed; windows are judged on the input.
 
-1. Every task counts its windows in a count-min sketch (two rows of counters
-   that saturate at 2) and sends the touched counters, delta-coded, to one
-   reducer for each slice of counters. The merged plane of counters that reach
-   2 overestimates, so it loses no repeated window.
-2. A second pass takes only windows that both rows estimate as repeated. Within
-   a flush of a task all but the first occurrence are settled at once, so a hot
-   window sends one row for each flush. The first ones meet by 128-bit digest of
-   their words, and all but the earliest are repeated.
-3. Settled starts meet the documents in one shuffle and the covered words go.
-
-The plane has at most 2 * 2**max_bits bits whatever the input. Beyond that size
-more windows reach the second pass; the result stays the same.
+1. Documents are bundled in units of some MB, compressed, and written to the
+   shared folder once; every later pass reads the same units.
+2. The hash of a window names a shard and a fingerprint there. Each unit sends
+   its partial sketch to every shard: its different fingerprints, delta-coded,
+   and which of them it holds twice. A shard merges them into a count-min sketch
+   (two rows of counters that saturate at 2) that never underestimates, and
+   answers each unit with one bit a fingerprint: estimated as repeated or not.
+3. A second pass takes only windows estimated as repeated. Within a unit all but
+   the first occurrence are settled at once, so a hot window sends one row for
+   each unit. The first ones meet by 128-bit digest of their words, and all but
+   the earliest are repeated.
+4. Settled starts meet their units and the covered words go.
+
+Shards are as many as the windows need, so counters are filled alike at every
+size: the share of windows that pass the prefilter doesn't grow with the input,
+no task holds more than one shard, unit or group of digests, and neither the
+driver nor a broadcast holds any part of the sketch. With windows of 64-bit
+hashes h(w) (word sequences stand as 128-bit digests), two of n different
+windows are taken for one with a probability of about n * n / 2**129.
 
 Null text: no words, empty result. Rows with a null key take no part and keep
-their words. Rows that repeat a key are one document that is judged alike in
-each row. Other columns of the input are not read. An empty table gives an
-empty result.
+their words. Rows that repeat a key are one document: windows with equal key and
+start count as one place. Other columns of the input are carried or not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.text import Words, column, joined, slices, spark_hash, text_buffers, windows, within
+from ledgerline.llm.shared import checkpointed, small_batches
+from ledgerline.llm.text import Words, column, joined, mix64, slices, text_buffers, windows, within
 
 SIZE = 20
-MAX_BITS = 29
-SLICE_BITS = 22
-FLUSH = 1_000_000
+UNIT = 4 << 20  # bytes of text
+SHARD = 1 << 22  # windows
+MAX_BITS = 28  # of a row of a shard's counters
+GROUP = 32 << 20  # bytes of text whose repeated windows one group of digests stands for
 _SALT = 0x51_7C_C1_B7_27_22_0A_95
-_ROWS = 2
 
 
 def pack_deltas(spots: np.ndarray) -> bytes:
-    """Ascending positions as byte deltas; 255 stands for 255 more."""
-    gaps = np.diff(spots, prepend=0)
-    more = gaps // 255
-    to = np.cumsum(more + 1)
-    out = np.full(int(to[-1]) if len(to) else 0, 255, np.uint8)
-    out[to - 1] = gaps % 255
-    return out.tobytes()
+    """Ascending positions below 2**32: their gaps, byte plane by byte plane, compressed."""
+    gaps = np.diff(spots, prepend=0).astype("<u4")
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def unpack_deltas(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
-
-
-def _counter(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The counter of each window in a row of the sketch; the rows use different bits of the hash."""
-    return ((hashes >> np.uint64(32) if row else hashes) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-
-
-def _sketch(bits: int, size: int, text: str):
-    width = min(bits, SLICE_BITS)
-    schema = pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-
-    def send(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """held: counters by row; a row's are let go once they are sent."""
-        for row in range(_ROWS):
-            spots = np.concatenate(held[row])
-            held[row].clear()
-            spots.sort()
-            first = np.ones(len(spots), bool)
-            np.not_equal(spots[1:], spots[:-1], out=first[1:])
-            again = np.unique(spots[~first])
-            once = spots[first]
-            cuts = np.arange((1 << (bits - width)) + 1, dtype=np.int64) << width
-            at, also = np.searchsorted(once, cuts), np.searchsorted(again, cuts)
-            rows = [(s, pack_deltas(once[at[s] : at[s + 1]].astype(np.int64) - cuts[s]), pack_deltas(again[also[s] : also[s + 1]].astype(np.int64) - cuts[s])) for s in range(len(cuts) - 1) if at[s + 1] > at[s]]
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [[] for _ in range(_ROWS)], 0
-        for batch in slices(batches, text, 2 << 20):
-            words = Words(*text_buffers(column(batch, text)))
-            got = windows(words.hashes, size)[within(words.bounds, size)]
-            for row in range(_ROWS):
-                held[row].append(_counter(got, row, bits))
-            n += len(got)
-            if n > 5 * FLUSH:
-                yield from send(held)
-                n = 0
-        if n:
-            yield from send(held)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+
+
+def pack_bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def unpack_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n, bitorder="little").astype(bool)
+
+
+class Sketch:
+    """How hashes of windows fall on shards, fingerprints and counters."""
+
+    def __init__(self, total: int, max_bits: int = MAX_BITS):
+        """total: bytes of text; a window for each 6 bytes is the estimate."""
+        n = max(1, total // 6)
+        held = min(8 * SHARD, max(SHARD, n >> 13))
+        self.shards = max(64, -(-n // held))
+        #: 8 counters a window, or more
+        self.bits = min(max_bits, max(10, math.ceil(math.log2(8 * n / self.shards))))
+        self.width = min(32, self.bits + 8)  # of a fingerprint
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Shard and fingerprint in one number."""
+        shard = ((hashes >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)
+        return shard << np.uint64(self.width) | hashes & np.uint64((1 << self.width) - 1)
+
+    def cuts(self, places: np.ndarray) -> np.ndarray:
+        """Where the places of each shard begin, in ascending places."""
+        return np.searchsorted(places, np.arange(self.shards + 1, dtype=np.uint64) << np.uint64(self.width))
+
+    def counters(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counter of each fingerprint in both rows."""
+        low = np.uint64((1 << self.bits) - 1)
+        x = prints.astype(np.uint64)
+        return x & low, mix64(x + np.uint64(_SALT)) & low
+
+
+class Unit:
+    """The rows of a unit, and the windows of those that have a key."""
+
+    def __init__(self, blob: bytes, size: int, hashes: bool = True):
+        with pa.ipc.open_stream(zstandard.decompress(blob)) as reader:
+            self.batch = reader.read_all().combine_chunks().to_batches()[0]
+        self.words = Words(*text_buffers(column(self.batch, "text")), hashes=hashes)
+        self.ids = self.batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if hashes:
+            starts = within(self.words.bounds, size)
+            row = np.searchsorted(self.words.bounds, starts, "right") - 1
+            named = self.batch.column(0).is_valid().to_numpy(zero_copy_only=False)[row]
+            self.starts, self.row = starts[named], row[named]
+            self.hashes = windows(self.words.hashes, size)[self.starts]
+
+
+def units(ids: DataFrame, unit: int) -> DataFrame:
+    """unit, blob: rows of about `unit` bytes of text as a compressed Arrow stream, written to the shared folder. ids: id, text, carried."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema) as writer:
+                writer.write_table(whole)
+            blob = zstandard.compress(sink.getvalue(), 3)
+            return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([blob], pa.binary())], names=["unit", "blob"])
+
+        for batch in slices(batches, "text", unit):
+            size += int(text_buffers(column(batch, "text"))[1][-1])
+            held.append(batch)
+            if size >= unit // 2:
+                yield flush()
+                held, size, n = [], 0, n + 1
+        if held:
+            yield flush()
+
+    return checkpointed(ids.mapInArrow(bundle, "unit long, blob binary"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by row and slice; one slice is held at a time."""
-        key, one, two = None, np.zeros(0, bool), np.zeros(0, bool)
 
-        def plane() -> pa.RecordBatch:
-            packed = zstandard.compress(np.packbits(two, bitorder="little").tobytes(), 1)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([packed], pa.binary())], names=["row", "slice", "plane"])
+def sketched(bundled: DataFrame, size: int, sketch: Sketch) -> DataFrame:
+    """unit, shard, bits: of the unit's fingerprints in that shard, in order, which are estimated as repeated."""
+    schema = pa.schema([("shard", pa.int32()), ("unit", pa.int64()), ("prints", pa.binary()), ("twice", pa.binary())])
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (row, part) != key:
-                    if key is not None and two.any():
-                        yield plane()
-                    key, one, two = (row, part), np.zeros(1 << width, bool), np.zeros(1 << width, bool)
-                spots = unpack_deltas(once)
-                two[spots[one[spots]]] = True
-                one[spots] = True
-                two[unpack_deltas(twice)] = True
-        if key is not None and two.any():
-            yield plane()
-
-    return count, merge, width
-
-
-class Plane:
-    """The merged counters that reach 2, compressed by slice; each Python worker unpacks them once."""
-
-    _open: dict[str, np.ndarray] = {}
-
-    def __init__(self, rows: list[tuple[int, int, bytes]], bits: int, width: int):
-        self.rows, self.bits, self.width, self.name = rows, bits, width, uuid.uuid4().hex
-
-    def bytes(self) -> np.ndarray:
-        if self.name not in self._open:
-            self._open.clear()
-            step = (1 << self.width) // 8
-            out = np.zeros((_ROWS, (1 << self.bits) // 8), np.uint8)
-            for row, part, packed in self.rows:
-                out[row, part * step : (part + 1) * step] = np.frombuffer(zstandard.decompress(packed), np.uint8)
-            self._open[self.name] = out
-        return self._open[self.name]
-
-    def repeated(self, hashes: np.ndarray) -> np.ndarray:
-        """Which windows both rows estimate at 2 or more."""
-        maybe = np.ones(len(hashes), bool)
-        for row, seen in enumerate(self.bytes()):
-            spot = _counter(hashes, row, self.bits)
-            maybe &= (seen[spot >> np.uint32(3)] >> (spot & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-        return maybe
-
-
-def repeated_plane(docs: DataFrame, text: str, size: int, bits: int) -> Plane:
-    """The driver holds it compressed: at most 2 * 2**max_bits bits, whatever the input."""
-    count, merge, width = _sketch(bits, size, text)
-    touched = docs.select(text).mapInArrow(count, "row int, slice int, once binary, twice binary")
-    planes = touched.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, plane binary")
-    return Plane([(r["row"], r["slice"], bytes(r["plane"])) for r in planes.collect()], bits, width)
-
-
-def _groups(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order that puts equal digests together, and where its groups start."""
-    order = np.argsort(k1, kind="stable")
-    a, b = k1[order], k2[order]
-    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
-        order = np.lexsort((k2, k1))
-        a, b = k1[order], k2[order]
-    return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            for unit, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                places, times = np.unique(sketch.place(Unit(blob.as_py(), size).hashes), return_counts=True)
+                cuts = sketch.cuts(places)
+                prints, twice = (places & np.uint64((1 << sketch.width) - 1)).astype(np.int64), times > 1
+                some = np.flatnonzero(np.diff(cuts))
+                ranges = [slice(cuts[s], cuts[s + 1]) for s in some]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.int32()), pa.array([unit] * len(some), pa.int64()), pa.array([pack_deltas(prints[r]) for r in ranges], pa.binary()), pa.array([pack_bits(twice[r]) for r in ranges], pa.binary()),
+                ], schema=schema)
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard; one shard is held at a time."""
+        held: list[tuple[int, bytes, bytes]] = []
+        shard = None
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            rows = np.zeros((2, 1 << sketch.bits), np.uint8)
+            for _, raw, twice in held:
+                prints = unpack_deltas(raw)
+                twice = unpack_bits(twice, len(prints))
+                for row, spots in zip(rows, sketch.counters(prints), strict=True):
+                    row[spots] = np.minimum(row[spots] + 1, 2)
+                    row[spots[twice]] = 2  # after the others: fingerprints may share a counter
+            for at in range(0, len(held), 64):
+                part, bits = held[at : at + 64], []
+                for _, raw, _ in part:
+                    one, two = sketch.counters(unpack_deltas(raw))
+                    bits.append(pack_bits(np.minimum(rows[0][one], rows[1][two]) > 1))
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([shard] * len(part), pa.int32()), pa.array(bits, pa.binary())], names=["unit", "shard", "bits"])
 
-def _later(doc: np.ndarray, start: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences that are not their digest's earliest, and one earliest of each digest. Input is in order of document and start."""
-    order, heads = _groups(k1, k2)
-    head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-    later = order[(doc[order] != doc[head]) | (start[order] != start[head])]
-    return later, order[heads]
+        for batch in batches:
+            for part, unit, raw, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != shard and held:
+                    yield from answered()
+                    held = []
+                shard = part
+                held.append((unit, raw, twice))
+        if held:
+            yield from answered()
+
+    touched = bundled.mapInArrow(partial, "shard int, unit long, prints binary, twice binary")
+    return touched.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "unit long, shard int, bits binary")
 
 
-_SETTLED = "kind int, bucket int, docs binary, starts binary, k1 binary, k2 binary"
-_SETTLED_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary()), ("k1", pa.binary()), ("k2", pa.binary())])
+def _heads(doc: np.ndarray, start: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Which occurrences lie at their digest's earliest place."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    order = np.lexsort((start, doc, k2, k1))
+    a, b = k1[order], k2[order]
+    heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    out = np.zeros(len(doc), bool)
+    out[order] = (doc[order] == doc[head]) & (start[order] == start[head])
+    return out
 
 
-def _rows(kind: int, bucket: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
-    """A row of packed arrays for each bucket, each in the given order."""
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    sorted_ = bucket[order]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    cols = [c[order] for c in cols]
-    for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
-        yield (kind, int(sorted_[a]), *(c[a:b].tobytes() for c in cols))
+_MET = "kind int, part long, unit long, at binary, doc binary, start binary, k1 binary, k2 binary"
+_MET_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("unit", pa.int64()), *((c, pa.binary()) for c in ("at", "doc", "start", "k1", "k2"))])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    full = [r + (None,) * (6 - len(r)) for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], f.type) for i, f in enumerate(_SETTLED_SCHEMA)], schema=_SETTLED_SCHEMA)
+def _met(rows: list[tuple]) -> pa.RecordBatch:
+    full = [r + (None,) * (8 - len(r)) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], f.type) for i, f in enumerate(_MET_SCHEMA)], schema=_MET_SCHEMA)
 
 
-def settle(docs: DataFrame, key: str, text: str, size: int, plane: Broadcast[Plane], groups: int, buckets: int) -> DataFrame:
-    """Starts of repeated windows, packed: rows of kind 1 with the bucket of their documents."""
+def settled(bundled: DataFrame, answers: DataFrame, size: int, sketch: Sketch, groups: int) -> DataFrame:
+    """unit, at: packed positions, among the unit's words, of the starts of windows that also start earlier."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, k1, k2 = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if np.any(doc[1:] < doc[:-1]):
-                order = np.argsort(doc, kind="stable")
-                doc, start, k1, k2 = doc[order], start[order], k1[order], k2[order]
-            later, first = _later(doc, start, k1, k2)
-            later.sort()
-            first.sort()
-            rows = list(_rows(1, spark_hash(doc[later], buckets), doc[later], start[later]))
-            rows += _rows(0, (k2[first] % np.uint64(groups)).astype(np.int64), doc[first], start[first], k1[first], k2[first])
-            for at in range(0, len(rows), 256):
-                yield _batch(rows[at : at + 256])
-
-        for batch in slices(batches, text, 2 << 20):
-            words = Words(*text_buffers(column(batch, text)))
-            starts = within(words.bounds, size)
-            if not len(starts):
-                continue
-            hashes = windows(words.hashes, size)[starts]
-            maybe = plane.value.repeated(hashes)
-            starts, k1 = starts[maybe], hashes[maybe]
-            if not len(starts):
-                continue
-            k2 = windows(words.hashes, size, _SALT)[starts]
-            row = np.searchsorted(words.bounds, starts, "right") - 1
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((ids[row], (starts - words.bounds[row]).astype(np.int32), k1, k2))
-            n += len(starts)
-            if n >= FLUSH:
-                yield from flush()
-                n = 0
-        if n:
-            yield from flush()
+        """Rows come sorted by unit, its answers in order of shard before its blob."""
+        told: list[tuple[int, bytes]] = []
+        for batch in batches:
+            for unit, shard, bits, blob in zip(*(batch.column(c).to_pylist() for c in ("unit", "shard", "bits", "blob")), strict=True):
+                if blob is None:
+                    told.append((shard, bits))
+                    continue
+                answers, told = told, []
+                yield from _taken(unit, Unit(blob, size), answers)
+
+    def _taken(unit: int, got: Unit, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        places = sketch.place(got.hashes)
+        different = np.unique(places)
+        cuts = sketch.cuts(different)
+        again = [different[cuts[s] : cuts[s + 1]][unpack_bits(bits, cuts[s + 1] - cuts[s])] for s, bits in answers]
+        again = np.concatenate(again) if again else different[:0]
+        if not len(again):
+            return
+        maybe = again[np.minimum(np.searchsorted(again, places), len(again) - 1)] == places
+        at, row, k1 = got.starts[maybe], got.row[maybe], got.hashes[maybe]
+        k2 = windows(got.words.hashes, size, _SALT)[at]
+        doc, start = got.ids[row], at - got.words.bounds[row]
+        first = _heads(doc, start, k1, k2)
+        rows = [(1, unit, unit, pack_deltas(at[~first]))] if not first.all() else []
+        part = (k2 % np.uint64(groups)).astype(np.int64)
+        some = np.flatnonzero(first)
+        some = some[np.argsort(part[some], kind="stable")]
+        heads = np.flatnonzero(np.diff(part[some], prepend=-1))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(some)], strict=True):
+            pick = some[a:b]
+            rows.append((0, int(part[pick[0]]), unit, pack_deltas(at[pick]), zstandard.compress(doc[pick].tobytes(), 1), start[pick].astype(np.int32).tobytes(), k1[pick].tobytes(), k2[pick].tobytes()))
+        for a in range(0, len(rows), 256):
+            yield _met(rows[a : a + 256])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by kind and bucket; one group of digests is held at a time."""
-        Plane._open.clear()  # a worker that is used again needs it no more
-        at, held = None, []
+        """Rows come sorted by kind and part; one group of digests is held at a time."""
+        group, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            doc, start, k1, k2 = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((start, doc))
-            doc, start = doc[order], start[order]
-            later, _ = _later(doc, start, k1[order], k2[order])
-            later.sort()
-            rows = list(_rows(1, spark_hash(doc[later], buckets), doc[later], start[later]))
-            for i in range(0, len(rows), 256):
-                yield _batch(rows[i : i + 256])
+            names = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+            at, doc, start, k1, k2 = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+            later = ~_heads(doc, start, k1, k2)
+            names, at = names[later], at[later]
+            heads = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else []
+            rows = [(1, int(names[a]), int(names[a]), pack_deltas(at[a:b])) for a, b in zip(heads, [*heads[1:], len(names)], strict=True)] if len(names) else []
+            for a in range(0, len(rows), 256):
+                yield _met(rows[a : a + 256])
 
         for batch in batches:
             passed = []
-            for kind, bucket, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, part, unit, at, doc, start, k1, k2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
-                    passed.append((kind, bucket, packed[0], packed[1]))
+                    passed.append((kind, part, unit, at))
                     continue
-                if bucket != at and held:
+                if part != group and held:
                     yield from done()
-                    held.clear()
-                at = bucket
-                held.append(tuple(np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int32, np.uint64, np.uint64), strict=True)))
+                    held = []
+                group = part
+                held.append((unit, unpack_deltas(at), np.frombuffer(zstandard.decompress(doc), np.int64), np.frombuffer(start, np.int32), np.frombuffer(k1, np.uint64), np.frombuffer(k2, np.uint64)))
             if passed:
-                yield _batch(passed)
+                yield _met(passed)
         if held:
             yield from done()
 
-    taken = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text).mapInArrow(take, _SETTLED)
-    return taken.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(meet, _SETTLED).select("bucket", "docs", "starts")
+    taken = _beside(bundled, answers, ["shard", "bits"], "shard").mapInArrow(take, _MET)
+    return taken.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(meet, _MET).select("unit", "at")
+
+
+def _beside(bundled: DataFrame, others: DataFrame, columns: list[str], *order: str) -> DataFrame:
+    """The rows of others that belong to a unit, then the unit's own, unit by unit."""
+    none = [F.lit(None).cast(others.schema[c].dataType).alias(c) for c in columns]
+    rows = others.select("unit", F.lit(0).alias("kind"), *columns, F.lit(None).cast("binary").alias("blob"))
+    met = rows.unionByName(bundled.select("unit", F.lit(1).alias("kind"), *none, "blob"))
+    return met.repartition("unit").sortWithinPartitions("unit", "kind", *order)
 
 
 def covered(words: Words, marks: np.ndarray, size: int) -> np.ndarray:
@@ -300,62 +322,32 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     layout "joined": kept words joined by one space. "original": texts that lose
     nothing are unchanged and others keep their white space.
     """
+    small_batches(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    bits = min(max_bits, max(16, math.ceil(math.log2(max(1, total) * 4 / 6))))
-    groups, buckets = max(64, total // (8 << 20)), max(64, total // (4 << 20))
-    plane = docs.sparkSession.sparkContext.broadcast(repeated_plane(docs, text, size, bits))
-    settled = settle(docs, key, text, size, plane, groups, buckets)
-    kind = docs.schema[key].dataType.simpleString()
+    sketch = Sketch(total, max_bits)
+    others = [F.col(c) for c in docs.columns if c not in (key, text)] if carry else []
+    carried = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), carried.alias("carried"))
+    bundled = units(ids, min(8 * UNIT, max(UNIT, total >> 18)))
+    marks = settled(bundled, sketched(bundled, size, sketch), size, sketch, max(64, total // GROUP))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket, the settled starts of a bucket before its documents."""
-        at, docs_, starts_ = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        """Rows come sorted by unit, the settled starts of a unit before its blob."""
+        told: list[np.ndarray] = []
         for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
-                part = batch.slice(a, b - a)
-                if at != bucket[a]:
-                    at, pending = bucket[a], []
-                    docs_, starts_ = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                kinds = part.column(1).to_numpy()
-                n = int(np.searchsorted(kinds, 1))
-                for d, s in zip(part.column(4).slice(0, n).to_pylist(), part.column(5).slice(0, n).to_pylist(), strict=True):
-                    pending.append((np.frombuffer(d, np.int64), np.frombuffer(s, np.int32)))
-                if n == len(kinds):
+            for at, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if blob is None:
+                    told.append(unpack_deltas(at))
                     continue
-                if pending:
-                    docs_, starts_ = (np.concatenate(x) for x in zip(*pending, strict=True))
-                    order = np.argsort(docs_, kind="stable")
-                    docs_, starts_, pending = docs_[order], starts_[order].astype(np.int64), []
-                for piece in slices(iter([part.slice(n)]), "text"):
-                    words = Words(*text_buffers(column(piece, "text")), hashes=False)
-                    ids = piece.column(2)
-                    known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    lo, hi = np.searchsorted(docs_, known, "left"), np.searchsorted(docs_, known, "right")
-                    if ids.null_count:
-                        hi = np.where(ids.is_null().to_numpy(zero_copy_only=False), lo, hi)
-                    counts = hi - lo
-                    to = np.cumsum(counts)
-                    pick = np.arange(int(to[-1])) + np.repeat(lo - (to - counts), counts)
-                    sizes = np.diff(words.bounds)
-                    marks = starts_[pick]
-                    fits = marks + size <= np.repeat(sizes, counts)  # rows that repeat a key may have another text
-                    keep = ~covered(words, (marks + np.repeat(words.bounds[:-1], counts))[fits], size)
-                    kept = np.diff(np.concatenate([[0], np.cumsum(keep)])[words.bounds])
-                    texts = joined(words, keep) if layout == "joined" else original(words, keep)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes), pa.array(sizes - kept), piece.column(6)], names=[key, "text", "n_words", "n_removed", "carried"])
-
-    none = F.lit(None)
-    others = [F.col(c) for c in docs.columns if c not in (key, text)] if carry else []
-    carried = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
-    ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), carried.alias("carried"))
-    held = ids.schema["carried"].dataType
-    flags = settled.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("string").alias("text"), "docs", "starts", none.cast(held).alias("carried"))
-    bucket = F.pmod(F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.xxhash64("text")), F.lit(buckets))
-    spread = ids.select(bucket.cast("int").alias("bucket"), F.lit(1).alias("kind"), "id", "text", none.cast("binary").alias("docs"), none.cast("binary").alias("starts"), "carried")
-    met = flags.unionByName(spread).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    out = met.mapInArrow(cut, f"`{key}` long, text string, n_words long, n_removed long, carried {held.simpleString()}")
+                unit = Unit(blob, size, hashes=False)
+                words = unit.words
+                keep = ~covered(words, np.concatenate(told) if told else np.zeros(0, np.int64), size)
+                told = []
+                sizes, kept = np.diff(words.bounds), np.diff(np.concatenate([[0], np.cumsum(keep)])[words.bounds])
+                texts = joined(words, keep) if layout == "joined" else original(words, keep)
+                yield pa.RecordBatch.from_arrays([unit.batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes), pa.array(sizes - kept), unit.batch.column(2)], names=[key, "text", "n_words", "n_removed", "carried"])
+
+    kind, held = docs.schema[key].dataType.simpleString(), ids.schema["carried"].dataType.simpleString()
+    out = _beside(bundled, marks, ["at"]).mapInArrow(cut, f"`{key}` long, text string, n_words long, n_removed long, carried {held}")
     out = out.withColumn(key, F.col(key).cast(kind))
     return out if carry else out.drop("carried")
