@@ -1,17 +1,24 @@
 """Embedding near-dedup by randomised-rotation binary codes (operator 4).
 
-Unit vectors are rotated by a random orthogonal matrix and coded by the signs of
-their components. <code, vector>, the correction factor, is stored, so that
-<code, query> / factor estimates the inner product without bias. The estimate's
-error beyond `errors` standard errors, plus the bound for the query's own
-quantisation to planes of bits, decides which pairs are recomputed exactly, in
-double precision; only these can be links.
-
-Vectors that are equal and have the same label form a class of which one member
-is compared. Members of one label are dealt as pairs of blocks (graph.dealt):
-tasks return link counts and spanning trees, never pairs, and no pair of blocks
-is left out. Work within a label is quadratic in its classes, at some bit counts
-a pair.
+1. Once, each vector is rotated by a random orthogonal matrix and coded by the
+   signs of its components; the code and its correction factor, <code, vector>,
+   are stored beside the vector in the shared folder. <code, query> / factor
+   estimates the inner product with a query without bias.
+2. Vectors that are equal and have the same label form a class; one member
+   stands for it. A label's classes are cut into blocks. A task holds the
+   vectors of one block and the codes, an eighth of a byte a component, of those
+   blocks that it must meet; every two blocks meet in one task. It tells which
+   vectors' codes come near: with cosine c the estimate's standard error is
+   spread * sqrt(1 - c * c), so an estimate more than `errors` of these below
+   the least cosine can't belong to a link.
+3. Only these vectors are sent to the block. There the codes decide again, pair
+   by pair, what is recomputed exactly, in double precision; only these pairs can
+   be links. Tasks return link counts and spanning trees, never pairs.
+
+No pair of blocks is left out: work within a label is quadratic in its classes,
+at one multiplication of a sign a component, and so are the codes sent, by a
+factor of 1 / (2 * block) of dim / 8 + 60 bytes. The chance that a link is missed is that of a
+normal variable over `errors` standard errors, under 3e-7.
 
 Null or zero vectors, those with null or non-finite components, and rows with a
 null label have no links; they are kept. Vectors of different dimension are not
@@ -31,14 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.graph import by_group, components, dealt
-from ledgerline.llm.shared import checkpointed
+from ledgerline.llm.graph import components
+from ledgerline.llm.shared import checkpointed, small_batches
 
 LEAST = 0.93
 ERRORS = 5.0
-PLANES = 6
-BLOCK = 1024
+BLOCK = 8192
+COMPONENTS = 1 << 22  # of a block, at most
 SEED = 20240517
+_TILE = 1 << 22  # pairs that are estimated at once
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -50,67 +58,57 @@ def rotation(dim: int) -> np.ndarray:
     return _ROTATIONS[dim]
 
 
-def words_of(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits as 64-bit words."""
-    packed = np.packbits(bits, axis=1, bitorder="little")
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
-
-
 class Codes:
-    """Codes of unit vectors: sign bits, correction factors, and the planes that they use as queries."""
+    """Codes of unit vectors: sign bits and correction factors; made of vectors, also the rotated vectors, for use as queries."""
 
-    def __init__(self, unit: np.ndarray, planes: int = PLANES):
+    def __init__(self, unit: np.ndarray):
         self.dim = unit.shape[1]
-        turned = unit @ rotation(self.dim)
-        positive = turned > 0
-        self.bits = words_of(positive)
-        self.ones = positive.sum(axis=1)
-        self.factor = np.abs(turned).sum(axis=1) / math.sqrt(self.dim)
-        self.low = turned.min(axis=1)
-        self.step = np.maximum((turned.max(axis=1) - self.low) / ((1 << planes) - 1), 1e-300)
-        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
-        self.levels = level.sum(axis=1)
-        self.planes = [words_of((level >> k) & 1) for k in range(planes)]
+        self.turned = (unit @ rotation(self.dim)).astype(np.float32)
+        self.bits = np.packbits(self.turned > 0, axis=1, bitorder="little")
+        self.factor = np.abs(self.turned).sum(axis=1, dtype=np.float64) / math.sqrt(self.dim)
+
+    @classmethod
+    def stored(cls, dim: int, bits: np.ndarray, factor: np.ndarray) -> Codes:
+        held = cls.__new__(cls)
+        held.dim, held.bits, held.factor = dim, bits, factor
+        return held
+
+    def spread(self) -> np.ndarray:
+        """The standard error of an estimate from each code with an orthogonal query."""
+        factor = np.clip(self.factor, 1e-12, 1)
+        return np.sqrt(1 - factor**2) / factor / math.sqrt(max(1, self.dim - 1))
 
     def estimates(self, other: Codes, errors: float = ERRORS) -> tuple[np.ndarray, np.ndarray]:
-        """Unbiased inner products of own vectors (rows, as queries) with another's (columns), and their error bounds."""
-        held = np.zeros((len(self.low), len(other.low)), np.int32)
-        for k, plane in enumerate(self.planes):
-            for w in range(plane.shape[1]):
-                held += np.bitwise_count(plane[:, w, None] & other.bits[None, :, w]).astype(np.int32) << k
-        root = math.sqrt(self.dim)
-        dot = 2 * (self.low[:, None] * other.ones[None, :] + self.step[:, None] * held) - (self.low * self.dim + self.step * self.levels)[:, None]
-        factor = np.maximum(other.factor, 1e-12)[None, :]
-        spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor
-        return dot / root / factor, errors * spread / math.sqrt(max(1, self.dim - 1)) + self.step[:, None] / 2 * root / factor
-
-
-def linked(a: np.ndarray, b: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of unit vectors (rows of a, rows of b; or pairs within a) with cosine of least or more, confirmed exactly."""
-    own = Codes(a)
-    other = own if b is None else Codes(b)
-    against = a if b is None else b
-    left, right = [], []
-    for at in range(0, len(a), 512):
-        part = Codes(a[at : at + 512])
-        guess, bound = part.estimates(other)
-        i, j = np.nonzero(guess + bound >= least)
-        i += at
-        if b is None:
-            above = i < j
-            i, j = i[above], j[above]
-        for k in range(0, len(i), 1 << 16):
-            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            good = np.einsum("ij,ij->i", a[x], against[y]) >= least
-            left.append(x[good])
-            right.append(y[good])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each of n members' component."""
-    label = np.arange(n)
+        """Unbiased inner products of own vectors (rows, as queries) with another's (columns), and the bound of their errors."""
+        signs = np.unpackbits(other.bits, axis=1, count=self.dim, bitorder="little").astype(np.float32)
+        signs = (2 * signs - 1) / (math.sqrt(self.dim) * np.clip(other.factor, 1e-12, 1)).astype(np.float32)[:, None]
+        return self.turned @ signs.T, errors * other.spread()[None, :]
+
+    def near(self, other: Codes, least: float, errors: float = ERRORS) -> np.ndarray:
+        """Which pairs may have an inner product of least or more."""
+        guess, bound = self.estimates(other, errors)
+        return guess >= (least - bound * math.sqrt(max(0.0, 1 - least * least)) - 1e-5).astype(np.float32)
+
+
+def linked(a: np.ndarray, own: Codes, b: np.ndarray, codes: Codes, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of a row of a and one of b) with cosine of least or more, tile by tile, confirmed exactly. own, codes: of a and of b."""
+    step = max(1, _TILE // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = Codes.stored(own.dim, own.bits[at : at + step], own.factor[at : at + step])
+        part.turned = own.turned[at : at + step]
+        maybe = part.near(codes, least)
+        i, j = np.nonzero(maybe)
+        if len(i) * 16 > maybe.size:  # dense: one product is cheaper than gathering
+            good = (a[at : at + step] @ b.T)[i, j] >= least
+        else:
+            good = np.concatenate([np.einsum("ij,ij->i", a[at + i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, max(1, len(i)), 65536)]) >= least
+        yield i[good] + at, j[good]
+
+
+def roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each member's component, where label names an earlier one of the same component."""
+    n = np.arange(len(label))
+    i, j = np.concatenate([i, n[label != n]]), np.concatenate([j, label[label != n]])
     while len(i):
         before = label.copy()
         least = np.minimum(label[i], label[j])
@@ -122,72 +120,165 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def prepared(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """id, label, dim, d1, d2 (digest), unit (float64 bytes); null digests for vectors that link with nothing."""
+def unit_rows(raw: list[bytes], width: int, dim: int) -> np.ndarray:
+    """Vectors of components of `width` bytes as unit vectors in double precision."""
+    x = np.frombuffer(b"".join(raw), f"<f{width}").reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def prepared(vectors: DataFrame, key: str, vector: str, label: str, width: int) -> DataFrame:
+    """id, label, dim, d1, d2 (digest), raw (components), code, factor; the last five are null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(2)
-            dims, halves, units = [], [], []
-            ends = rows.value_lengths().fill_null(0).to_numpy().cumsum()
+            rows, named = batch.column(2), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            dims = rows.value_lengths().fill_null(0).to_numpy()
+            ends = dims.cumsum()
             flat = rows.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-            total = 0
-            for to, valid, named in zip(ends.tolist(), rows.is_valid().to_pylist(), batch.column(1).is_valid().to_pylist(), strict=True):
-                x = flat[total:to]
-                total = to
-                dims.append(len(x))
-                top = np.abs(x).max() if valid and len(x) else 0.0
-                if not named or not np.isfinite(top) or top == 0 or np.isnan(x).any():
-                    halves.append((None, None))
-                    units.append(None)
+            usable = named & rows.is_valid().to_numpy(zero_copy_only=False) & (dims > 0)
+            told: list[tuple] = [(None,) * 5] * batch.num_rows
+            for dim in np.unique(dims[usable]).tolist():
+                mine = np.flatnonzero(usable & (dims == dim))
+                x = flat[(ends[mine] - dim)[:, None] + np.arange(dim)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                mine, x = mine[good], x[good].astype(f"<f{width}") + 0.0  # no negative zero, which would part equal vectors
+                if not len(mine):
                     continue
-                y = x / top
-                halves.append(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64).tolist())
-                units.append((y / np.sqrt((y * y).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array(units, pa.binary()),
-            ], names=["id", "label", "dim", "d1", "d2", "unit"])
+                parts = [r.tobytes() for r in x]
+                codes = Codes(unit_rows(parts, width, dim))
+                for m, raw, bits, factor in zip(mine.tolist(), parts, codes.bits, codes.factor.tolist(), strict=True):
+                    told[m] = (*np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.int64).tolist(), raw, bits.tobytes(), factor)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims.astype(np.int32)), *(pa.array([t[k] for t in told], kind) for k, kind in enumerate(kinds))], names=["id", "label", "dim", "d1", "d2", "raw", "code", "factor"])
 
     chosen = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"))
-    return chosen.mapInArrow(run, "id long, label string, dim int, d1 long, d2 long, unit binary")
+    return chosen.mapInArrow(run, "id long, label string, dim int, d1 long, d2 long, raw binary, code binary, factor double")
+
+
+class Block:
+    """The vectors of one block, read off the rows of kind 0 that lead its group."""
+
+    def __init__(self, rows: pa.Table, width: int):
+        self.dim, self.group = rows.column("dim")[0].as_py(), rows.column("group")[0].as_py()
+        self.rows = rows.select(["id", "d1", "d2", "copies"])
+        self.unit = unit_rows(rows.column("raw").to_pylist(), width, self.dim)
+        self.codes = Codes(self.unit)
+
+
+def _codes(rows: pa.RecordBatch, dim: int) -> Codes:
+    bits = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    return Codes.stored(dim, bits, rows.column("factor").to_numpy())
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[Block, pa.RecordBatch | None, bool]]:
+    """Each block with the batches of kind 1 that follow it, one by one, then None. Input is sorted by group, block and kind."""
+    key, held, block = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(batch.column("group").to_pylist(), batch.column("i").to_pylist(), batch.column("kind").to_pylist(), strict=True))
+        heads = [0, *(n for n in range(1, len(keys)) if keys[n] != keys[n - 1]), len(keys)]
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            group, i, kind = keys[a]
+            if (group, i) != key:
+                if held or block is not None:
+                    yield block or Block(pa.Table.from_batches(held), width), None
+                key, held, block = (group, i), [], None
+            if kind == 0:
+                held.append(batch.slice(a, b - a))
+                continue
+            if block is None:
+                block, held = Block(pa.Table.from_batches(held), width), []
+            yield block, batch.slice(a, b - a)
+    if held or block is not None:
+        yield block or Block(pa.Table.from_batches(held), width), None
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """key, n_links, component_id, kept."""
-    made = checkpointed(prepared(vectors, key, vector, label))
-    usable = made.where("id is not null and d1 is not null")
+    small_batches(vectors.sparkSession)
+    width = 4 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else 8
+    made = checkpointed(prepared(vectors, key, vector, label, width))
     same = ["label", "dim", "d1", "d2"]
-    classes = checkpointed(usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    group = F.xxhash64("label", "dim")
-    members = classes.select(F.col("rep").alias("id"), group.alias("group"), "label", "dim", "copies", "unit")
+    usable = made.where("id is not null and d1 is not null")
+    # the vectors stay where they are: a class is known by its digest, and its smallest key's row carries the vector
+    first = usable.groupBy(*same).agg(F.min(F.struct("id", "raw", "code", "factor")).alias("m"), F.count("*").alias("copies"))
+    classes = checkpointed(first.select(*same, F.col("m.id").alias("id"), "m.raw", "m.code", "m.factor", "copies"))
+    group = F.concat_ws(":", F.col("dim").cast("string"), "label")
+    most = F.greatest(F.lit(1), F.least(F.lit(block), (F.lit(COMPONENTS) / F.col("dim")).cast("int")))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("k")).cast("int"))
+    columns = ["group", "i", "kind", "id", "dim", "d1", "d2", "copies", "raw", "code", "factor"]
+    none = F.lit(None)
+    own = dealt.select(group.alias("group"), F.col("block").alias("i"), F.lit(0).alias("kind"), "id", "dim", "d1", "d2", "copies", "raw", none.cast("binary").alias("code"), none.cast("double").alias("factor"))
+    # block b is met by those `step` before it, round the circle; half way round, by the first half only
+    stepped = dealt.where("k > 1").select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("k") / 2).cast("int"))).alias("step"))
+    stepped = stepped.withColumn("i", F.pmod(F.col("block") - F.col("step"), F.col("k"))).where("2 * step < k or 2 * i < k")
+    sent = stepped.select(group.alias("group"), "i", F.lit(1).alias("kind"), "id", "dim", "d1", "d2", "copies", none.cast("binary").alias("raw"), "code", "factor")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for met in by_group(batches, 3):
-            ids = met.column("id").to_numpy()
-            i, j, block_of, copies = (met.column(c).to_numpy() for c in ("i", "j", "block", "copies"))
-            dims, labels = met.column("dim").to_numpy(), np.array(met.column("label").to_pylist())
-            units = met.column("unit").to_pylist()
-            for dim in np.unique(dims).tolist():  # one, but for equal hashes of two labels
-                mine = np.flatnonzero(dims == dim)
-                unit = np.frombuffer(b"".join(units[m] for m in mine), np.float64).reshape(-1, dim)
-                first, second = np.flatnonzero(block_of[mine] == i[mine]), np.flatnonzero(block_of[mine] == j[mine])
-                a, b = linked(unit[first], None if i[0] == j[0] else unit[second], least)
-                a, b = mine[first[a]], mine[(first if i[0] == j[0] else second)[b]]
-                alike = labels[a] == labels[b]
-                a, b = a[alike], b[alike]
-                links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-                top = roots(len(ids), a, b)
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[top[some]])], names=["id", "links", "root"])
-
-    pairs = dealt(members, block, self_blocks=True)
-    columns = ["group", "i", "j", "id", "block", "label", "dim", "copies", "unit"]
-    told = checkpointed(pairs.select(*columns).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "id long, links long, root long"))
-    counts = told.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = components(told.select(F.col("root").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("component"))
-    of_class = classes.select(*same, "rep", "copies").join(counts, "rep", "left").join(labels, "rep", "left")
-    out = made.drop("unit").join(of_class, same, "left")
+    def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, other in _by_block(batches, width):
+            if other is None:
+                continue
+            codes = _codes(other, held.dim)
+            close = np.zeros(other.num_rows, bool)
+            step = max(1, _TILE // len(held.unit))
+            for at in range(0, other.num_rows, step):
+                close[at : at + step] = held.codes.near(Codes.stored(held.dim, codes.bits[at : at + step], codes.factor[at : at + step]), least).any(axis=0)
+            yield other.filter(pa.array(close)).select(["group", "i", "d1", "d2"])
+
+    by_block = lambda rows: rows.select(*columns).repartition("group", "i").sortWithinPartitions("group", "i", "kind")
+    wanted = by_block(own.unionByName(sent)).mapInArrow(wants, "group string, i int, d1 long, d2 long")
+    known = classes.select(group.alias("group"), "d1", "d2", "id", "dim", "copies", "raw", "code", "factor")
+    fetched = wanted.join(known, ["group", "d1", "d2"]).withColumn("kind", F.lit(1))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: list[pa.RecordBatch] = []
+
+        def told(held: Block) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(met).select(["id", "d1", "d2", "copies"]) if met else held.rows.slice(0, 0)
+            rows = pa.concat_tables([held.rows, rows])
+            n, copies = len(held.unit), rows.column("copies").to_numpy()
+            counts, label_of = np.zeros(len(copies), np.int64), np.arange(len(copies))
+            at = n
+            for other in [None, *met]:
+                b, codes = (held.unit, held.codes) if other is None else (unit_rows(other.column("raw").to_pylist(), width, held.dim), _codes(other, held.dim))
+                for i, j in linked(held.unit, held.codes, b, codes, least):
+                    if other is None:
+                        i, j = i[i < j], j[i < j]
+                    else:
+                        j = j + at
+                    counts += (np.bincount(i, copies[j], len(copies)) + np.bincount(j, copies[i], len(copies))).astype(np.int64)
+                    label_of = roots(label_of, i, j)
+                at += 0 if other is None else other.num_rows
+            some = np.flatnonzero(counts)
+            ids = rows.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([held.group] * len(some), pa.string()), pa.array(rows.column("d1").to_numpy()[some]), pa.array(rows.column("d2").to_numpy()[some]),
+                pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[label_of[some]]),
+            ], names=["group", "d1", "d2", "id", "links", "root"])
+
+        last = None
+        for held, other in _by_block(batches, width):
+            if last is not None and held is not last:
+                yield from told(last)
+                met.clear()
+            last = held
+            if other is not None:
+                met.append(other)
+        if last is not None:
+            yield from told(last)
+
+    found = by_block(own.unionByName(fetched.select(*columns))).mapInArrow(links, "group string, d1 long, d2 long, id long, links long, root long")
+    told = checkpointed(found)
+    counts = told.groupBy("group", "d1", "d2", "id").agg(F.sum("links").alias("links"))
+    labels = components(told.select(F.col("root").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("component"))
+    of_class = classes.select(*same, "id", "copies", group.alias("group")).join(counts, ["group", "d1", "d2", "id"], "left").drop("group").join(labels, "id", "left").withColumnRenamed("id", "rep")
+    out = made.drop("raw", "code", "factor").join(of_class, same, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     kind = vectors.schema[key].dataType.simpleString()
-    result = out.select("id", F.when(F.col("id").isNotNull(), F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"))
+    total = F.when(F.col("id").isNotNull(), F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies"), F.lit(1)) - 1).otherwise(0).cast("long")
+    result = out.select("id", total.alias("n_links"), component.alias("component_id"))
     return result.select(F.col("id").cast(kind).alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
