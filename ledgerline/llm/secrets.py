@@ -23,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.native import let
+from ledgerline.llm.native import let, running
+from ledgerline.llm.shared import checkpointed
 
 _parse = re._parser.parse  # the standard library's syntax tree of a regular expression
 
@@ -53,6 +54,7 @@ MORE_RULES = [
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
 ]
 MOST_STRINGS = 64
+BROADCAST_ROWS = 200_000  # of a key and the names of some rules: about 20 MB
 Query = frozenset  # of alternatives, each a frozenset of trigrams that must all occur; an empty frozenset of alternatives never arises
 
 
@@ -134,27 +136,28 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return clauses
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """Leftmost non-overlapping matches that count, as structs of start and end in code points."""
+    """Leftmost non-overlapping matches that count, as structs of start and end in code points. Time grows with the text's length."""
 
     def place(found: Column, between: Column, values: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        gaps = F.transform(found, lambda m, i: F.length(F.get(between, i)))
+        return let(F.struct(running(F.zip_with(gaps, found, lambda g, m: g + F.length(m)), lambda a, b: a + b).alias("before"), gaps.alias("gaps")), lambda x: good(found, values, x["before"], x["gaps"]))
 
-        def step(a: Column, i: Column) -> Column:
-            begin = a["at"] + F.length(F.get(between, i))
-            end = begin + F.length(F.get(found, i))
-            good = F.length(F.get(values, i)) >= rule.least
-            one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+    def good(found: Column, values: Column, before: Column, gaps: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.get(gaps, i)
+            return F.when(F.length(F.get(values, i)) >= rule.least, F.struct(start.alias("start"), (start + F.length(m)).alias("end")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+        return F.filter(F.transform(found, one), lambda s: s.isNotNull())
 
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    none = F.array().cast("array<struct<start:int,end:int>>")
     placed = let(F.struct(found.alias("f"), F.split(text, rule.pattern, -1).alias("b"), values.alias("v")), lambda x: place(x["f"], x["b"], x["v"]))
-    return F.when(text.rlike(rule.pattern), placed).otherwise(none)
+    return F.when(text.rlike(rule.pattern), placed).otherwise(F.array().cast(_SPANS))
 
 
 def postings(docs: DataFrame, key: str, text: str, wanted: list[str], blocks: int) -> DataFrame:
@@ -195,7 +198,7 @@ def candidates(index: DataFrame, queries: dict[str, list]) -> DataFrame:
     return pairs.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id", text: str = "text", block_docs: int = 4096, carry: bool = False) -> DataFrame:
+def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id", text: str = "text", block_docs: int = 4096, carry: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """key, text, and spans: an array of (start, kind_order, kind, end) in order of start, then of the rules.
 
     With carry also the other columns, as the struct `carried`.
@@ -207,13 +210,14 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id",
     wanted = sorted({t for q in indexed.values() for clause in q for alternative in clause for t in alternative})
     n = docs.select(key).count()
     index = postings(docs, key, text, wanted, max(16, n // block_docs))
-    chosen = candidates(index, indexed)
+    chosen = checkpointed(candidates(index, indexed))
+    few = chosen.count() <= broadcast_rows  # else texts and candidates meet in a shuffle
     body = F.coalesce(F.col(text), F.lit(""))
     # full scans run beside the text before it moves
     others = [F.col(c) for c in docs.columns if c not in (key, text)]
     carried = F.struct(*others).alias("carried") if carry and others else F.lit(None).cast("int").alias("carried")
     read = docs.select(F.col(key).alias("id"), body.alias("text"), carried, *[spans(body, r).alias(r.kind) for r in full])
-    known = read.where(F.col("id").isNotNull()).join(chosen, "id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
+    known = read.where(F.col("id").isNotNull()).join(F.broadcast(chosen) if few else chosen, "id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
     unknown = read.where(F.col("id").isNull()).withColumn("rules", F.array(*[F.lit(k) for k in indexed]).cast("array<string>"))
     met = known.unionByName(unknown)
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -234,13 +238,35 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each span replaced by the mark; overlapping spans become one. found: spans in order of start."""
+def redact(text: Column, found: Column, mark: str = "[REDACTED]", size: int = 8192) -> Column:
+    """The text with each span replaced by the mark; overlapping spans become one. found: spans in order of start.
+
+    Pieces of size characters are redacted one by one, so no step walks the whole text.
+    """
+    gone = "struct<from:int,to:int,fresh:boolean>"
+
+    def cut(piece: Column, base: Column, lost: Column) -> Column:
+        """piece: the characters from base on. lost: the ranges that overlap it."""
+
+        def step(a: Column, s: Column) -> Column:
+            start = F.greatest(s["from"], base)
+            kept = F.substring(piece, a["at"] - base + 1, F.greatest(start - a["at"], F.lit(0)))
+            new = F.when(s["fresh"] & (s["from"] >= base), F.array(kept, F.lit(mark))).otherwise(F.array(kept))
+            return F.struct(F.greatest(a["at"], s["to"]).alias("at"), F.concat(a["out"], new).alias("out"))
+
+        start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+        rest = lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(piece, a["at"] - base + 1, F.lit(size)))), "")
+        return F.when(F.size(lost) == 0, piece).otherwise(F.aggregate(lost, start, step, rest))
+
+    def cut_all(ranges: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+        def one(piece: Column, k: Column) -> Column:
+            return let(F.filter(ranges, lambda s: (s["to"] > k * size) & (s["from"] < (k + 1) * size)), lambda lost: cut(piece, k * size, lost))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"))
+        return F.array_join(F.transform(pieces, one), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    # what a span adds to those before it: from the largest end so far
+    before = running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    ranges = let(before, lambda b: F.transform(found, lambda s, i: F.struct(F.greatest(F.get(b, i), s["start"]).alias("from"), s["end"].alias("to"), (s["start"] >= F.get(b, i)).alias("fresh")).cast(gone)))
+    return F.when(F.size(found) == 0, text).otherwise(let(F.filter(ranges, lambda s: s["to"] > s["from"]), cut_all))
