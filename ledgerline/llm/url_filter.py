@@ -3,7 +3,8 @@
 Every list entry is a host suffix followed by a path prefix, such as
 `example.com/en/`. The index file holds the entries' 64-bit xxhash keys in
 order, their verdicts, and the full strings. Executors memory-map it, probe the
-keys of all (host suffix, path prefix) forms of a batch by one binary search,
+keys of all (host suffix, path prefix) forms of a batch that are no longer than
+the longest entry's host and path by one binary search,
 and compare the stored string, so equal digests of different strings never
 match. Rules come before the list; of the rules that fit, and of the list
 entries if no rule fits, the longest decides. What nothing fits is allowed.
@@ -28,12 +29,12 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.shared import publish
+from ledgerline.llm.shared import publish, small_batches
 
 Entry = tuple[str, str, str]  # host, path prefix, verdict
 VERDICTS = ("allow", "block")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-MAGIC = b"LLURLS01"
+MAGIC = b"LLURLS02"
 MAX_BYTES = 4 << 30
 
 
@@ -55,7 +56,7 @@ def write_index(rules: Iterable[Entry], listed: Iterable[Entry], path: str, max_
         raise ValueError(f"the URL list needs more than {max_bytes} bytes")
     depths = sorted({len(r[1]) - r[2] for r in rows})
     with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<QQQ", n, len(blob), len(depths)))
+        f.write(MAGIC + struct.pack("<QQQQ", n, len(blob), len(depths), max((r[2] for r in rows), default=0)))
         f.write(np.array(depths, "<u8").tobytes())
         f.write(np.array([r[0] for r in rows], "<u8").tobytes())
         f.write(np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype("<u8").tobytes())
@@ -71,8 +72,8 @@ class Index:
         raw = np.memmap(path, np.uint8, "r")
         if raw[:8].tobytes() != MAGIC:
             raise ValueError(f"{path} is no URL index")
-        n, size, d = struct.unpack("<QQQ", raw[8:32].tobytes())
-        at = 32
+        n, size, d, self.longest_host = struct.unpack("<QQQQ", raw[8:40].tobytes())
+        at = 40
         parts = []
         for count, width in ((d, 8), (n, 8), (n + 1, 8), (n, 8), (n, 1), (size, 1)):
             part = raw[at : at + count * width]
@@ -124,22 +125,31 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, rest[:end]
 
 
+def suffixes(host: str, longest: int) -> Iterator[bytes]:
+    """The host and what follows each of its dots, as far as `longest` bytes; only the end of a long host is copied."""
+    raw = host[-longest - 1 :].encode("utf-8", "surrogatepass") if longest else b""  # a character has a byte or more
+    if len(host) <= longest and 0 < len(raw) <= longest:
+        yield raw
+    at = raw.find(b".", max(0, len(raw) - longest - 1))
+    while 0 <= at < len(raw) - 1:
+        yield raw[at + 1 :]
+        at = raw.find(b".", at + 1)
+
+
 def judge(index: Index, urls: list[str | None]) -> tuple[list[str], list[str], list[str | None], list[str | None], list[str]]:
     """Hosts, paths, the deciding rule, the deciding list entry, and the verdict."""
     hosts, paths, probes, owner = [], [], [], []
+    deepest = max(index.depths, default=0)  # a character has a byte or more
     for i, url in enumerate(urls):
         host, path = split_url(url)
         hosts.append(host)
         paths.append(path)
-        raw = path.encode("utf-8", "surrogatepass")
-        suffix = host
-        while suffix:
-            h = suffix.encode("utf-8", "surrogatepass")
+        raw = path[:deepest].encode("utf-8", "surrogatepass")
+        for h in suffixes(host, index.longest_host):
             for depth in index.depths:
                 if depth <= len(raw):
                     probes.append((h + raw[:depth], len(h)))
                     owner.append(i)
-            suffix = suffix.partition(".")[2]
     found = index.find(probes)
     best = [{0: (-1, -1, -1), 2: (-1, -1, -1)} for _ in urls]
     for p in np.flatnonzero(found >= 0).tolist():
@@ -162,6 +172,7 @@ _OPEN: dict[str, Index] = {}
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: Iterable[Entry], listed: Iterable[Entry], key: str = "page_id", url: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
     """key, host, path, rule and entry (what decides, else null), verdict (allow or block)."""
+    small_batches(spark)
     with tempfile.NamedTemporaryFile(suffix=".urls") as f:
         write_index(rules, listed, f.name, max_bytes)
         name = publish(spark, f.name, "urls")

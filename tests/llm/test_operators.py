@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,6 +88,23 @@ def test_equal_digests_of_other_strings_do_not_match(tmp_path, monkeypatch):
         url_filter.write_index([("a", "", "block")], [], str(tmp_path / "j"), max_bytes=3)
 
 
+def test_long_hosts_and_large_lists(tmp_path):
+    """Memory doesn't grow with the square of a host's length, and a million entries are found again."""
+    path = str(tmp_path / "urls")
+    entries = ((f"h{k}.example{k % 97}.org", "/p" if k % 2 else "", "block") for k in range(1_000_000))
+    url_filter.write_index(queries.URL_RULES, entries, path)
+    index = url_filter.Index(path)
+    long = "a." * 50_000
+    urls = [f"http://{long}h7.example7.org/p/q", f"http://{long}com/", f"http://{long}h8.example8.org", "http://xh8.example8.org", "http://h999999.example26.org/p", f"http://x/{'y' * 100_000}", "http://a..org/", "http://.net/es/"]
+    tracemalloc.start()
+    told = list(zip(*url_filter.judge(index, urls)[2:], strict=True))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert told == [(None, "h7.example7.org/p", "block"), ("com/", None, "allow"), (None, "h8.example8.org", "block"), (None, None, "allow"), (None, "h999999.example26.org/p", "block"), (None, None, "allow"), (None, None, "allow"), ("net/es/", None, "block")]
+    assert [h.decode() for h in url_filter.suffixes("a.bc.d", 4)] == ["bc.d", "d"]
+    assert [h.decode() for h in url_filter.suffixes("a.bc.d", 6)] == ["a.bc.d", "bc.d", "d"]
+
+
 # -- 4 -----------------------------------------------------------------------
 
 
