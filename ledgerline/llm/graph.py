@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.shared import checkpointed
@@ -32,20 +32,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dealt(members: DataFrame, size: int, self_blocks: bool = False) -> DataFrame:
-    """Rows (id, group) copied to the pairs of blocks (group, i, j) that must meet.
+def dealt(members: DataFrame, size: int, weight: Column | None = None, most: int = 0) -> DataFrame:
+    """Rows (id, group) copied to the pairs of blocks (group, i, j) that must meet, with their own block and the number of blocks, k; (0, 0) in a group of one block.
 
-    A group of n members has ceil(n / size) blocks by hash of the id. self_blocks:
-    pairs within a block meet in (i, i) only, and (i, j) is for pairs across;
-    otherwise every (i, j) holds two blocks whole.
+    A group has so many blocks by hash of the id that about `size` members, and
+    members with a sum of weights of about `most`, fall on each.
     """
-    sizes = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / size).cast("int").alias("k"))
+    blocks = F.ceil(F.count("*") / size)
+    if weight is not None:
+        blocks = F.greatest(blocks, F.ceil(F.sum(weight) / most))
+    sizes = members.groupBy("group").agg(blocks.cast("int").alias("k"), F.count("*").alias("n_")).where("n_ > 1").select("group", "k")
     held = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    met = held.select("*", other)
-    if not self_blocks:
-        met = met.where("k = 1 or other <> block")
-    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "k")
+    met = held.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).where("k = 1 or other <> block")
+    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

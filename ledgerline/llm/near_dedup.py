@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.graph import by_group, components, dealt, forest
-from ledgerline.llm.shared import checkpointed
+from ledgerline.llm.shared import checkpointed, small_batches
 from ledgerline.llm.text import Words, column, mix64, slices, text_buffers, windows
 
 SHINGLE = 5
@@ -43,6 +43,9 @@ BANDS, ROWS = 50, 6
 BITS = 4
 BLOCK = 1024
 FLUSH_ROWS = 20_000
+Alike = Callable[[int, np.ndarray], np.ndarray]  # which others a member is linked to
+BUCKET = 16 << 20  # bytes of keys that meet at once
+SHINGLES = 1 << 21  # of a block whose sets are compared
 
 
 def shingles(words: Words, i: int, size: int) -> np.ndarray:
@@ -178,15 +181,24 @@ def stars(made: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(batches, 1):
-            if group.column("bucket")[0].as_py() < 0:
-                pair = np.stack([group.column("a").to_numpy(), group.column("b").to_numpy()], axis=1)
-            else:
-                keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-                _, d, head = first_of(keys, np.frombuffer(b"".join(group.column("ids").to_pylist()), np.int64))
-                pair = edges(d, head)
+        passed: list[pa.RecordBatch] = []  # edges; they lead, and go on batch by batch
+
+        def buckets_of() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = int(np.searchsorted(batch.column(0).to_numpy(), 0))
+                if n:
+                    passed.append(batch.slice(0, n).select(["a", "b"]))
+                yield batch.slice(n)
+
+        for group in by_group(buckets_of(), 1):
+            yield from passed
+            passed.clear()
+            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
+            _, d, head = first_of(keys, np.frombuffer(b"".join(group.column("ids").to_pylist()), np.int64))
+            pair = edges(d, head)
             if len(pair):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        yield from passed
 
     full = made.where("id is not null and d1 is not null").select("id", "d1", "d2", "keys")
     sent = full.mapInArrow(spread, "bucket int, keys binary, ids binary, a long, b long")
@@ -195,15 +207,27 @@ def stars(made: DataFrame, buckets: int) -> DataFrame:
     return dealt_.mapInArrow(meet, "a long, b long")
 
 
-def _trees(met: DataFrame, compare) -> DataFrame:
-    """Edges (a, b) of the spanning trees that compare(table) finds in each pair of blocks. met: group, i, j, id, ..."""
+def _trees(met: DataFrame, compare: Callable[[pa.Table], Alike]) -> DataFrame:
+    """Edges (a, b) of the spanning trees of each pair of blocks; compare(table) tells which are linked, as in forest. met: group, i, j, id, block, k, ...
+
+    Pairs within a block are compared in one of its tasks only, that with the next block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, 3):
             ids = group.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             group, ids = group.take(pa.array(order)), ids[order]
-            root = compare(group)
+            i, j, block, k = (group.column(c).to_numpy() for c in ("i", "j", "block", "k"))
+            within = (i == j) | (block == i) & (j == (i + 1) % k) | (block == j) & (i == (j + 1) % k)
+            alike = compare(group)
+
+            def met_here(m: int, others: np.ndarray, block=block, within=within, alike=alike) -> np.ndarray:
+                out = within[m] | (block[others] != block[m])
+                out[out] = alike(m, others[out])
+                return out
+
+            root = forest(group.num_rows, met_here)
             away = ids != ids[root]
             if away.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[root][away]), pa.array(ids[away])], names=["a", "b"])
@@ -213,13 +237,14 @@ def _trees(met: DataFrame, compare) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), kept (key = component_id)."""
+    small_batches(docs.sparkSession)
     made = checkpointed(sketches(docs, key, text, size, bands, rows, bits))
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a key takes 16 bytes with its document's
+    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * bands * made.count() // BUCKET)
     fields = bands * rows
     matches = least_matches(fields, bits, percent)
 
-    def estimate(group: pa.Table) -> np.ndarray:
+    def estimate(group: pa.Table) -> Alike:
         words = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(group.num_rows, -1)
         n = group.column("n").to_numpy()
 
@@ -229,9 +254,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             near[near] = fields - differing(words[others[near]] ^ words[i], bits) >= matches
             return near
 
-        return forest(group.num_rows, alike)
+        return alike
 
-    def exact(group: pa.Table) -> np.ndarray:
+    def exact(group: pa.Table) -> Alike:
         sets = [np.frombuffer(x, np.uint64) for x in group.column("found").to_pylist()]
         n = np.array([len(s) for s in sets])
         words = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(group.num_rows, -1)
@@ -254,11 +279,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 near[near] = 100 * shared >= percent * (n[i] + lens - shared)
             return near
 
-        return forest(group.num_rows, alike)
+        return alike
 
     sig = made.where("d1 is not null").select("id", "n", "signature")
     coarse = components(stars(made, buckets)).select(F.col("node").alias("id"), F.col("label").alias("group"))
-    close = components(_trees(dealt(coarse, block).join(sig, "id").select("group", "i", "j", "id", "n", "signature"), estimate)).select(F.col("node").alias("id"), F.col("label").alias("group"))
+    close = components(_trees(dealt(coarse, block).join(sig, "id").select("group", "i", "j", "block", "k", "id", "n", "signature"), estimate)).select(F.col("node").alias("id"), F.col("label").alias("group"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -275,13 +300,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 ij = flat.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).take(part), ij.field(0), ij.field(1), batch.column(0).take(part),
-                    batch.column(3).take(part), pa.array([found[r] for r in row[at : at + 256]], pa.binary()),
-                ], names=["group", "i", "j", "id", "signature", "found"])
+                    batch.column(5).take(part), batch.column(6).take(part), batch.column(3).take(part), pa.array([found[r] for r in row[at : at + 256]], pa.binary()),
+                ], names=["group", "i", "j", "id", "block", "k", "signature", "found"])
 
-    near = dealt(close, block).groupBy("id", "group").agg(F.collect_list(F.struct("i", "j")).alias("met")).join(sig.select("id", "signature"), "id")
+    near = dealt(close.join(sig.select("id", "n"), "id"), block, F.col("n"), SHINGLES).groupBy("id", "group", "block", "k").agg(F.collect_list(F.struct("i", "j")).alias("met")).join(sig.select("id", "signature"), "id")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    full = near.join(texts, "id").select("id", "group", "met", "signature", "text")
-    confirmed = components(_trees(full.mapInArrow(sets, "group long, i int, j int, id long, signature binary, found binary"), exact))
+    full = near.join(texts, "id").select("id", "group", "met", "signature", "text", "block", "k")
+    confirmed = components(_trees(full.mapInArrow(sets, "group long, i int, j int, id long, block int, k int, signature binary, found binary"), exact))
 
     # written out, or the join would share the aggregate's partitions, which Spark can't split for a large class
     least = checkpointed(made.where("id is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")))

@@ -196,6 +196,22 @@ def brute_near(rows, size, percent=80):
     return sorted((str(i), len(s), find(i) if i is not None else None) for (i, _), s in zip(rows, sets, strict=True))
 
 
+def test_near_duplicates_of_many_long_texts(spark, monkeypatch):
+    """One group, cut by the sum of its sets as well as by rows."""
+    rng = np.random.default_rng(8)
+    base = [f"v{k}" for k in range(3000)]
+    rows = []
+    for k in range(24):
+        words = list(base)
+        for at in rng.integers(0, 3000, 20 if k < 16 else 400):
+            words[at] = f"x{k}.{at}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "SHINGLES", 9000)
+    monkeypatch.setattr(near_dedup, "BUCKET", 16)
+    got = near_dedup.near_duplicates(documents(spark, rows), size=2, block=7).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_near(rows, 2)
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, odd, small, size):
     for df, rows in ((odd, ODD), (documents(spark, small), small)):
