@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 9).
 
-Examples are a bounded sample of labelled documents, in order of a hash of the
-key; of near copies (equal label, Jaccard similarity of the terms 0.8 or more)
-the first stays. Terms are runs of letters and digits, A-Z
-lower-cased, and their first 5 to 8 bytes; the vocabulary holds those whose document frequencies differ between the classes by a likelihood
-ratio of least_ratio or more, since on long documents plain TF-IDF cosine is
-ruled by rare words that say nothing about the label. The weights' document
+Examples are a sample of labelled documents in order of a hash of the key,
+bounded by their number and by the bytes of their terms; of near copies (equal
+label, Jaccard similarity of the terms 0.8 or more) the first stays. Terms are runs of letters and digits, A-Z
+lower-cased, and their first 5 to 8 bytes; the vocabulary holds those whose
+document frequencies differ between the classes by a likelihood ratio of
+least_ratio or more, since on long documents plain TF-IDF cosine is ruled by
+rare words that say nothing about the label. The weights' document
 frequencies are counted over all documents, whatever their label or fold; a
 null text is a document without terms. An inverted index lists
 examples by term in blocks, with the largest weight of each term in each block.
@@ -32,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.shared import checkpointed, small_batches
 from ledgerline.llm.text import NOT_TERM, Words, column, slices, text_buffers
 
 EXAMPLES = 6000
+MAX_BYTES = 64 << 20  # of the examples' terms that the driver holds
 TERMS = 4096
 LEAST_RATIO = 16.0  # chi-squared with one degree of freedom, p under 1e-4
 HEADS = (5, 6, 7, 8)
@@ -309,14 +312,25 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
     return out[:-1], int(out[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", examples: int = EXAMPLES, folds: int = 5) -> Model:
-    """From at most `examples` labelled rows outside fold 0, and the document frequencies of all docs."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", examples: int = EXAMPLES, folds: int = 5, max_bytes: int = MAX_BYTES) -> Model:
+    """From at most `examples` labelled rows outside fold 0, of at most max_bytes of different terms (8 bytes each) in all, and the document frequencies of all docs."""
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     usable = usable.where(fold(F.col("id"), folds) != 0).groupBy("id").agg(F.max("label").alias("label"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(examples)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     met = texts.join(F.broadcast(sample), "id")  # at most `examples` rows of two numbers
-    rows = counted(met, "body", "id", "label").orderBy("id", "terms").limit(examples).collect()
+    whole = counted(met, "body", "id", "label").withColumn("size", F.octet_length("terms"))
+    # of rows that repeat a key with as many terms, one
+    rows = checkpointed(whole.groupBy("id", "size").agg(F.min(F.struct("label", "terms", "counts", "words")).alias("m")).select("id", "size", "m.*"))
+    # in the sample's order, as many whole texts as max_bytes of terms allow; a text that doesn't fit is passed over
+    taken, held = [], 0
+    for r in rows.select("id", "size").orderBy(F.xxhash64("id"), "id", "size").limit(examples).collect():
+        if held + r["size"] <= max_bytes:
+            taken.append((r["id"], r["size"]))
+            held += r["size"]
+    picked = docs.sparkSession.createDataFrame(taken, "id long, size int")  # at most `examples` rows
+    rows = rows.join(F.broadcast(picked), ["id", "size"]).orderBy("id", "size").collect()
     return train([r["id"] for r in rows], [r["label"] for r in rows], [np.frombuffer(r["terms"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.int64) for r in rows], [r["words"] for r in rows], lambda vocabulary: document_frequencies(docs, vocabulary, text))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import embedding_dedup, language, near_dedup, quality, queries, secrets, substring_dedup, toxicity, url_filter
 from ledgerline.llm.graph import components
+from ledgerline.llm.text import Words, text_buffers
 from tests.conftest import SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -368,6 +369,59 @@ def test_toxicity(spark, odd):
     assert toxicity.without_toxic(odd, empty).count() == len(ODD)
 
 
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where("toxic is not null and held_out").collect()
+    toxic = [r.predicted for r in got if r.toxic]
+    assert len(toxic) > 90 and np.mean(toxic) >= 0.85 and np.mean([r.predicted == r.toxic for r in got]) >= 0.95
+
+
+def dense_weights(model, texts):
+    """Unit TF-IDF vectors over the vocabulary, from plain strings."""
+    hashes, out = {}, np.zeros((len(texts), len(model.index.vocabulary)))
+    for i, text in enumerate(texts):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", low)
+        seen = Counter()
+        for w in words:
+            if w not in hashes:
+                one = Words(*text_buffers(pa.array([w])), lower=True, blank=toxicity.NOT_TERM, heads=toxicity.HEADS)
+                hashes[w] = [*one.hashes.tolist(), *one.heads.tolist()]
+                assert len(hashes[w]) == 1 + sum(len(w.encode()) > k for k in toxicity.HEADS)
+            seen.update(hashes[w])
+        for v, h in enumerate(model.index.vocabulary.tolist()):
+            if seen[h]:
+                out[i, v] = (1 + np.log(seen[h])) * model.index.idf[v]
+        norm = np.sqrt((out[i] ** 2).sum() + toxicity.REST * len(words))
+        out[i] /= norm if norm else 1
+    return out
+
+
+def test_scores_are_votes_by_dense_cosine(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    told = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    held = dense_weights(model, [rows[k] for k in model.index.keys.tolist()])
+    asked = dense_weights(model, list(rows.values()))
+    sims = (asked @ held.T).round(9)
+    for i, k in enumerate(rows):
+        best = np.sort(sims[i])[::-1][: model.k]
+        assert np.allclose([e.similarity for e in told[k].evidence], best[best > 0], atol=2e-9)
+        # ties at the last place may fall on either example: the lower index stays
+        order = np.argsort(-sims[i], kind="stable")[: model.k]
+        order = order[sims[i][order] > 0]
+        vote = ((sims[i][order] * model.index.labels[order]).sum() + toxicity.PRIOR_VOTE * model.prior) / (sims[i][order].sum() + toxicity.PRIOR_VOTE)
+        assert abs(told[k].score - model.scores(np.array([vote]))[0]) < 1e-6
+
+
+def test_examples_are_bounded_in_bytes(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(10 if k else 5000))) for k in range(30)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    keys = toxicity.learn(documents(spark, rows), labels, max_bytes=3000).index.keys
+    assert 0 not in keys and 0 < len(keys) * 10 * 8 <= 3000
+
+
 def test_idf_counts_all_documents(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet")
     docs = docs.union(docs.limit(3)).union(documents(spark, [(None, None), (None, "")]))
