@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named and all runs in one process, as in tests."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
