@@ -51,21 +51,32 @@ def encode_token(stream_id: Column, incarnation: Column, offset: Column, wide: b
 
 
 def decode_token(token: Column) -> Column:
-    """Struct of error, stream_id, incarnation (hex) and offset (decimal(20,0)); the first failing check names the error."""
-    body = F.substring(token, 5, 1 << 20)
-    declared = F.conv(F.substring(body, 5, 4), 16, 10).cast("int")
-    size = F.length(token)
-    name = F.unhex(F.substr(body, F.lit(9), declared * 2))
+    """Struct of error, stream_id, incarnation (hex) and offset (decimal(20,0)); the first failing check names the error.
+
+    Bytes are looked at in order, so a wrong version shows before a bad digit that follows it.
+    """
+    raw = F.decode(F.encode(token, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    body = F.substring(raw, 5, 1 << 20)
+    part = lambda at, n: F.substr(body, F.lit(at) if isinstance(at, int) else at, F.lit(n) if isinstance(n, int) else n)
+    spelled = lambda x: x.rlike(r"^[0-9a-f]*\z")
+    declared = F.when(spelled(part(5, 4)), F.conv(part(5, 4), 16, 10).cast("int"))
+    size = F.octet_length(token)
+    digits, rest = part(9, declared * 2), part(F.lit(9) + declared * 2, 48)
+    name = F.when(spelled(digits), F.unhex(digits))
     text = F.try_validate_utf8(name.cast("string"))
-    rest = F.substr(body, F.lit(9) + declared * 2, F.lit(48))
     error = (
-        F.when(token.isNull() | (size < 62) | (size > 572), "InvalidLength")
-        .when(~token.startswith("esc_"), "InvalidPrefix")
-        .when(~body.rlike("^[0-9a-f]*$") | (F.length(body) % 2 != 0), "InvalidEncoding")
-        .when(F.substring(body, 1, 2) != "01", "UnsupportedVersion")
-        .when(F.substring(body, 3, 2) != "00", "UnsupportedFlags")
-        .when((F.length(body) != 8 + declared * 2 + 48) | ~declared.between(1, IDENTIFIER_BYTES), "InvalidLength")
+        F.when(token.isNull() | (size < 62) | (size > 572) | (size % 2 != 0), "InvalidLength")
+        .when(~raw.startswith("esc_"), "InvalidPrefix")
+        .when(~spelled(part(1, 2)), "InvalidEncoding")
+        .when(part(1, 2) != "01", "UnsupportedVersion")
+        .when(~spelled(part(3, 2)), "InvalidEncoding")
+        .when(part(3, 2) != "00", "UnsupportedFlags")
+        .when(declared.isNull(), "InvalidEncoding")
+        .when(F.length(body) != 8 + declared * 2 + 48, "InvalidLength")
+        .when(~declared.between(1, IDENTIFIER_BYTES), "InvalidStreamId")
+        .when(~spelled(digits), "InvalidEncoding")
         .when(text.isNull() | (F.encode(text, "UTF-8") != name), "InvalidStreamId")
+        .when(~spelled(rest), "InvalidEncoding")
     )
     good = error.isNull()
     return F.struct(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,13 +76,18 @@ def counts(resolved: DataFrame) -> DataFrame:
 
 
 def admit(requests: DataFrame, max_records: int, max_bytes: int) -> DataFrame:
-    """Greedy admission in order of arrival within each stream: a request that doesn't fit uses up nothing.
+    """Greedy admission in order of arrival within each stream: a request that doesn't fit uses up nothing."""
+    return admitted(requests.withColumn("room", F.lit(max_bytes).cast("long")), "room", max_records).drop("room")
 
-    A prefix sum can't express this, so streams are folded in Arrow batches;
-    streams that fit as a whole skip the fold.
+
+def admitted(requests: DataFrame, room: str, max_records: int = (1 << 63) - 1) -> DataFrame:
+    """requests (stream_id, seq, bytes, room: of the stream) with whether each fits into what earlier admitted ones left.
+
+    A prefix sum can't express this, so streams are folded in order; streams that
+    fit as a whole skip the fold. Runs that fit are taken at once.
     """
     totals = requests.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
-    small = (F.col("n") <= max_records) & (F.col("total") <= max_bytes)
+    small = (F.col("n") <= max_records) & (F.col("total") <= F.col(room))
     met = requests.join(totals, "stream_id")
     columns = requests.columns
 
@@ -89,13 +95,21 @@ def admit(requests: DataFrame, max_records: int, max_bytes: int) -> DataFrame:
         """Rows come sorted by stream and seq; state is one stream's two sums."""
         stream, rows, used = None, 0, 0
         for batch in batches:
-            verdict = []
-            for name, size in zip(batch["stream_id"], batch["bytes"], strict=True):
-                if name != stream:
-                    stream, rows, used = name, 0, 0
-                fits = rows < max_records and used + size <= max_bytes
-                rows, used = rows + fits, used + size * fits
-                verdict.append(fits)
+            names, sizes, rooms = batch["stream_id"].to_numpy(), batch["bytes"].to_numpy(np.int64), batch[room].to_numpy(np.int64)
+            verdict = np.zeros(len(batch), bool)
+            heads = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for a, b in zip(heads[:-1], heads[1:], strict=True):
+                if names[a] != stream:
+                    stream, rows, used = names[a], 0, 0
+                at = a
+                while at < b and rows < max_records:
+                    run = np.cumsum(sizes[at:b][: min(b - at, max_records - rows)])
+                    n = int(np.searchsorted(run, rooms[a] - used, "right"))
+                    verdict[at : at + n] = True
+                    rows, used, at = rows + n, used + (int(run[n - 1]) if n else 0), at + n
+                    # what doesn't fit now never will, so on to the next that does
+                    later = np.flatnonzero(sizes[at:b] <= rooms[a] - used)
+                    at = at + int(later[0]) if len(later) else b
             yield batch.assign(admitted=verdict)
 
     near = met.where(~small).select(*columns).repartition("stream_id").sortWithinPartitions("stream_id", "seq")

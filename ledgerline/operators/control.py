@@ -74,8 +74,7 @@ def floor_decisions(requests: DataFrame, streams: DataFrame, replicas: DataFrame
     error = (
         F.when(~F.col("generational"), "RetryPolicyRequired")
         .when(F.col("expected_floor") != F.col("floor"), "StaleFloor")
-        .when(F.col("new_floor") < F.col("floor"), "FloorRegression")
-        .when(F.col("new_floor") > F.col("tail"), "CursorAhead")
+        .when(~F.col("new_floor").between(F.col("floor"), F.col("tail")), "InvalidInput")
         .when(F.col("new_floor") > F.col("min_ack"), "ReplicaProtectionActive")
         .when(F.col("new_floor") > F.col("min_covered"), "RecoveryProtectionActive")
     )
@@ -149,9 +148,14 @@ def backlog(replicas: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def ack_progress(acks: DataFrame, replicas: DataFrame) -> DataFrame:
-    """Acknowledgements must name the pending batch; position moves to its end."""
-    met = acks.join(replicas, "replica_id")
-    error = F.when(F.col("pending_through").isNull(), "NoPendingBatch").when(F.col("through") != F.col("pending_through"), "BatchConflict").when(F.col("after") != F.col("acknowledged"), "StaleProgress")
+    """Acknowledgements must name the pending batch, its extent and the destination's epoch; the position moves to its end.
+
+    acks: replica_id, batch_id, epoch, after, through. replicas: replica_id,
+    acknowledged, destination_epoch, pending_id and pending_through (null: none).
+    """
+    met = acks.join(replicas, "replica_id", "left")
+    exact = (F.col("after") == F.col("acknowledged")) & (F.col("batch_id") == F.col("pending_id")) & (F.col("epoch") == F.col("destination_epoch")) & (F.col("through") == F.col("pending_through"))
+    error = F.when(F.col("acknowledged").isNull(), "NotFound").when(F.col("pending_id").isNull(), "InvalidInput").when(~exact, "InvalidReceipt")
     return met.select("replica_id", "through", error.alias("error"), F.when(error.isNull(), F.col("through")).otherwise(F.col("acknowledged")).alias("acknowledged_after"))
 
 

@@ -127,20 +127,23 @@ def capture_faults(segments: DataFrame, key: str) -> DataFrame:
 
 
 def checkpoints(requests: DataFrame, sources: DataFrame, markers: DataFrame) -> DataFrame:
-    """publish_parser_checkpoint: monotone, within what is captured and appended, and every index covered has a marker at or before the offset.
+    """publish_parser_checkpoint: by the source's parser, monotone, within what is captured and appended; every index covered has a marker at or before the offset, and the last of them names the committed output. The standing checkpoint again is accepted; all else is a conflict.
 
-    requests: source_id, offset, next_index. sources: source_id, at_offset,
-    at_index, captured_end, next_item. markers: source_id, item_index, source_byte.
+    requests: source_id, parser, offset, next_index, committed. sources:
+    source_id, parser0, finished, at_offset, at_index, at_committed (null: none
+    yet), captured_end, next_item. markers: source_id, item_index, source_byte, committed.
     """
     met = requests.join(sources, "source_id")
-    covered = met.join(markers, "source_id", "left").where((F.col("item_index") >= F.col("at_index")) & (F.col("item_index") < F.col("next_index")))
-    seen = covered.groupBy("source_id").agg(F.count_distinct("item_index").alias("n"), F.max("source_byte").alias("last_byte"))
+    found = markers.select("source_id", "item_index", "source_byte", F.col("committed").alias("output"))
+    covered = met.join(found, "source_id", "left").where((F.col("item_index") >= F.coalesce("at_index", F.lit(0))) & (F.col("item_index") < F.col("next_index")))
+    seen = covered.groupBy("source_id").agg(F.count_distinct("item_index").alias("n"), F.max("source_byte").alias("last_byte"), F.max_by("output", "item_index").alias("output"))
     known = met.join(seen, "source_id", "left")
-    error = (
-        F.when((F.col("offset") < F.col("at_offset")) | (F.col("next_index") < F.col("at_index")), "CheckpointRegression")
-        .when(F.col("offset") > F.col("captured_end"), "CheckpointAhead")
-        .when(F.col("next_index") > F.col("next_item"), "OutputMissing")
-        .when(F.coalesce("n", F.lit(0)) != F.col("next_index") - F.col("at_index"), "OutputMissing")
-        .when(F.col("last_byte") > F.col("offset"), "CheckpointBeforeOutput")
-    )
-    return known.select("source_id", "offset", "next_index", error.alias("error"), F.when(error.isNull(), F.col("offset")).otherwise(F.col("at_offset")).alias("offset_after"))
+    old_offset, old_index = F.coalesce("at_offset", F.lit(0)), F.coalesce("at_index", F.lit(0))
+    foreign = (F.col("parser") != F.col("parser0")) | (F.col("offset") > F.col("captured_end"))
+    same = F.coalesce((F.col("offset") == F.col("at_offset")) & (F.col("next_index") == F.col("at_index")) & F.col("committed").eqNullSafe(F.col("at_committed")), F.lit(False))
+    behind = (F.col("offset") < old_offset) | (F.col("next_index") < old_index) | (F.col("next_index") > F.col("next_item"))
+    holes = (F.coalesce("n", F.lit(0)) != F.col("next_index") - old_index) | F.coalesce(F.col("last_byte") > F.col("offset"), F.lit(False))
+    expected = F.when(F.col("next_index") == old_index, F.col("at_committed")).otherwise(F.col("output"))
+    bad = foreign | (~same & (F.col("finished") | behind | holes | ~F.col("committed").eqNullSafe(expected)))
+    error = F.when(bad, "CheckpointConflict")
+    return known.select("source_id", "offset", "next_index", error.alias("error"), F.when(error.isNull(), F.col("offset")).otherwise(old_offset).alias("offset_after"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.append import admitted
+
 
 def retention_status(streams: DataFrame, policies: DataFrame) -> DataFrame:
     """Bounds and retry policy of every stream; without a policy it is Lifetime."""
@@ -35,7 +37,7 @@ def advance_generation(requests: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def capture(requests: DataFrame, sources: DataFrame, receipts: DataFrame) -> DataFrame:
-    """capture_segment: contiguous at the captured end, or an exact retry by (start, end, digest), also after the bytes are gone.
+    """capture_segment: contiguous at the captured end, or an exact retry by (start, end, digest) of what starts at the receipt floor or later.
 
     requests: source_id, start, end, digest. sources: source_id, captured_end, receipt_floor, sealed. receipts: source_id, start, end, digest.
     """
@@ -44,50 +46,50 @@ def capture(requests: DataFrame, sources: DataFrame, receipts: DataFrame) -> Dat
     same = (F.col("seen_end") == F.col("end")) & (F.col("seen_digest") == F.col("digest"))
     error = (
         F.when(F.col("captured_end").isNull(), "SourceNotFound")
+        .when(F.col("start") < F.col("receipt_floor"), "CaptureReceiptExpired")
         .when(F.col("seen_end").isNotNull() & ~same, "CaptureConflict")
         .when(same, F.lit(None))
-        .when(F.col("end") <= F.col("receipt_floor"), "CaptureReceiptExpired")
         .when(F.col("sealed"), "SourceSealed")
-        .when(F.col("start") != F.col("captured_end"), "CaptureGap")
+        .when(F.col("start") != F.col("captured_end"), "CaptureConflict")
     )
     outcome = F.when(error.isNotNull(), F.lit(None)).when(same, "Deduplicated").otherwise("Captured")
     return met.select("source_id", "start", "end", outcome.alias("outcome"), error.alias("error"))
 
 
 def append_outputs(outputs: DataFrame, sources: DataFrame, markers: DataFrame) -> DataFrame:
-    """append_captured: an output's index must be the next, its source byte not below the one before and not past what is captured.
+    """append_captured, for outputs in order of their index: past what is captured none is valid, not even a retry; a retry must equal its marker; a fresh one's index must be the next and its source byte not below the one before.
 
-    outputs: source_id, item_index, source_byte, digest. Exact retries of marked
-    outputs are deduplicated. Of fresh ones the good prefix is appended.
+    outputs: source_id, item_index, source_byte, digest. markers: the same of
+    appended ones. sources: source_id, next_item, last_byte (or null),
+    captured_end, finished. Of fresh outputs the good prefix is appended.
     """
-    known = markers.select("source_id", "item_index", F.col("digest").alias("seen"))
+    known = markers.select("source_id", "item_index", F.col("digest").alias("seen"), F.col("source_byte").alias("seen_byte"))
     met = outputs.join(sources, "source_id").join(known, ["source_id", "item_index"], "left")
     order = Window.partitionBy("source_id").orderBy("item_index")
     fresh = F.col("seen").isNull()
     nth = F.sum(F.when(fresh, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.max(F.when(F.lit(True), F.col("source_byte"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    error = (
-        F.when(~fresh & (F.col("seen") != F.col("digest")), "OutputConflict")
-        .when(~fresh, F.lit(None))
-        .when(F.col("finished"), "SourceFinished")
-        .when(F.col("item_index") != F.col("next_item") + nth - 1, "OutputGap")
-        .when(F.col("source_byte") < F.greatest(F.col("last_byte"), F.coalesce(before, F.lit(0))), "SourceByteRegression")
-        .when(F.col("source_byte") > F.col("captured_end"), "SourceByteAhead")
+    before = F.max(F.when(fresh, F.col("source_byte"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    early = (
+        F.when(F.col("source_byte") > F.col("captured_end"), "InvalidInput")
+        .when(~fresh & ((F.col("seen") != F.col("digest")) | (F.col("seen_byte") != F.col("source_byte"))), "OutputConflict")
+        .when(fresh & F.col("finished"), "SourceSealed")
     )
-    told = met.withColumns({"error": error, "fresh": fresh})
-    broken = F.max(F.when(F.col("fresh") & F.col("error").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    final = F.when(F.col("fresh") & (F.coalesce(broken, F.lit(0)) == 1), "OutputGap").otherwise(F.col("error"))
-    return told.select("source_id", "item_index", F.when(final.isNotNull(), F.lit(None)).when(F.col("fresh"), "Appended").otherwise("Deduplicated").alias("outcome"), final.alias("error"))
+    late = F.when(fresh & ((F.col("item_index") != F.col("next_item") + nth - 1) | F.coalesce(F.col("source_byte") < F.greatest(F.col("last_byte"), before), F.lit(False))), "OutputConflict")
+    told = met.withColumns({"early": early, "late": late, "fresh": fresh})
+    bad = F.col("early").isNotNull() | F.col("late").isNotNull()
+    broken = F.max(F.when(F.col("fresh") & bad, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # behind a refused output the next index stays where it was
+    error = F.coalesce("early", F.when(F.col("fresh") & (F.coalesce(broken, F.lit(0)) == 1), "OutputConflict"), "late")
+    return told.withColumn("error", error).select("source_id", "item_index", F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("fresh"), "Appended").otherwise("Deduplicated").alias("outcome"), "error")
 
 
 def seal(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Seal (permanent end) and Finish (parser done at the sealed end). requests: source_id, action, at."""
+    """Seal (permanent end, at the captured end; again is the same) and Finish (parser done: its checkpoint is the one that stands, at the sealed end). requests: source_id, action, at."""
     met = requests.join(sources, "source_id")
+    at_end = F.col("at") == F.col("captured_end")
     error = (
-        F.when((F.col("action") == "Seal") & F.col("sealed") & (F.col("at") != F.col("captured_end")), "SealConflict")
-        .when((F.col("action") == "Seal") & (F.col("at") != F.col("captured_end")), "SealMismatch")
-        .when((F.col("action") == "Finish") & ~F.col("sealed"), "SourceNotSealed")
-        .when((F.col("action") == "Finish") & (F.col("checkpoint") != F.col("captured_end")), "CheckpointIncomplete")
+        F.when((F.col("action") == "Seal") & ~at_end, "InvalidInput")
+        .when((F.col("action") == "Finish") & ~(F.col("sealed") & at_end & F.coalesce(F.col("checkpoint") == F.col("at"), F.lit(False))), "CheckpointConflict")
     )
     return met.select("source_id", "action", error.alias("error"), F.when(error.isNull(), True).otherwise(F.col("sealed")).alias("sealed_after"), (error.isNull() & (F.col("action") == "Finish")).alias("finished_after"))
 
@@ -107,34 +109,42 @@ def captured_pages(segments: DataFrame, key: str, lo: int, hi: int) -> DataFrame
 
 
 def attach(requests: DataFrame, streams: DataFrame, replicas: DataFrame, backlog: DataFrame, per_stream: int) -> DataFrame:
-    """attach_replica: FromBeginning needs floor 0 and a backlog within its limit, NeedsBootstrap starts detached.
+    """attach_replica: FromBeginning needs floor 0 and a backlog within its limit, NeedsBootstrap starts detached; a replica follows a stream once.
 
-    requests: replica_id, stream_id, mode, max_backlog_bytes. backlog: stream_id, bytes of all records.
+    requests: replica_id, stream_id, mode, max_backlog_bytes. replicas: replica_id,
+    stream_id. backlog: stream_id, bytes of all records.
     """
     counts = replicas.groupBy("stream_id").agg(F.count("*").alias("n"))
-    known = replicas.select("replica_id", F.lit(True).alias("known"))
-    met = requests.join(streams, "stream_id", "left").join(counts, "stream_id", "left").join(backlog, "stream_id", "left").join(known, "replica_id", "left")
+    known = replicas.select("replica_id", "stream_id", F.lit(True).alias("known"))
+    met = requests.join(streams, "stream_id", "left").join(counts, "stream_id", "left").join(backlog, "stream_id", "left").join(known, ["replica_id", "stream_id"], "left")
     whole = F.col("mode") == "FromBeginning"
     error = (
-        F.when(F.col("tail").isNull(), "StreamUnavailable")
-        .when(F.col("known"), "ReplicaExists")
-        .when(F.coalesce("n", F.lit(0)) >= per_stream, "ReplicaLimitExceeded")
-        .when(whole & (F.col("floor") > 0), "BootstrapRequired")
-        .when(whole & (F.coalesce("bytes", F.lit(0)) > F.col("max_backlog_bytes")), "ReplicaBacklogExceeded")
+        F.when((F.col("max_backlog_bytes") <= 0) | F.col("tail").isNull(), "InvalidInput")
+        .when(whole & (F.col("floor") > 0), "NeedsBootstrap")
+        .when(whole & (F.coalesce("bytes", F.lit(0)) > F.col("max_backlog_bytes")), "BacklogExceeded")
+        .when(F.col("known"), "InvalidInput")
+        .when(F.coalesce("n", F.lit(0)) >= per_stream, "CapacityExceeded")
     )
-    return met.select("replica_id", "stream_id", error.alias("error"), F.when(error.isNull(), F.when(whole, "Required").otherwise("Detached")).alias("state"))
+    return met.select("replica_id", "stream_id", error.alias("error"), F.when(error.isNull(), F.when(whole, "Required").otherwise("DetachedNeedsBootstrap")).alias("state"))
 
 
-def preflight(requests: DataFrame, replicas: DataFrame) -> DataFrame:
-    """Which append requests any Required or Bootstrapping replica's backlog still takes, in order of arrival.
+def preflight(requests: DataFrame, replicas: DataFrame, now: int) -> DataFrame:
+    """What the backlogs of Required and Bootstrapping replicas still take of append requests, in order of arrival: a refused one changes nothing, so a smaller later one may pass.
 
-    requests: seq, stream_id, bytes. replicas: stream_id, mode, room (bytes left).
-    The first request that doesn't fit and all after it in its stream are refused.
+    requests: seq, stream_id, bytes. replicas: replica_id, stream_id, mode, room
+    (bytes left), oldest (time of the oldest record behind, or null), max_age.
+    Replicas are asked in order of their ids, each for bytes, then for age; an
+    expired one refuses every append.
     """
-    room = replicas.where(F.col("mode").isin("Required", "Bootstrapping")).groupBy("stream_id").agg(F.min("room").alias("room"))
-    order = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    met = requests.join(room, "stream_id", "left").withColumn("used", F.sum("bytes").over(order))
-    return met.select("seq", "stream_id", F.when(F.col("used") > F.col("room"), "ReplicaBacklogExceeded").alias("error"))
+    asked = replicas.where(F.col("mode").isin("Required", "Bootstrapping")).withColumn("old", F.coalesce(F.lit(now) - F.col("oldest") > F.col("max_age"), F.lit(False)))
+    first = asked.where("old").groupBy("stream_id").agg(F.min("replica_id").alias("expired"))
+    before = asked.join(first, "stream_id", "left").where("expired is null or replica_id <= expired")
+    room = before.groupBy("stream_id").agg(F.min("room").alias("room"), F.first("expired").alias("expired"))
+    met = requests.join(room, "stream_id", "left").select("seq", "stream_id", "bytes", "room", "expired")
+    stale = met.where("expired is not null").select("seq", "stream_id", F.when(F.col("bytes") > F.col("room"), "ReplicaBacklogExceeded").otherwise("ReplicaBacklogExpired").alias("error"))
+    open_ = met.where("expired is null").select("seq", "stream_id", "bytes", F.coalesce("room", F.lit((1 << 63) - 1)).cast("long").alias("room"))
+    told = admitted(open_, "room")
+    return told.select("seq", "stream_id", F.when(~F.col("admitted"), "ReplicaBacklogExceeded").alias("error")).unionByName(stale)
 
 
 def commit_batches(batches: DataFrame, streams: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -142,10 +152,10 @@ def commit_batches(batches: DataFrame, streams: DataFrame, receipts: DataFrame)
     met = batches.join(streams, "stream_id").join(receipts, "batch_id", "left")
     same = F.col("digest0") == F.col("digest")
     error = (
-        F.when(F.col("epoch") != F.col("epoch0"), "StaleEpoch")
+        F.when(F.col("epoch") != F.col("epoch0"), "DestinationReplaced")
+        .when(F.col("after") < F.col("receipt_floor"), "ReceiptExpired")
         .when(F.col("digest0").isNotNull() & ~same, "BatchConflict")
         .when(same, F.lit(None))
-        .when(F.col("through") <= F.col("receipt_floor"), "ReceiptExpired")
         .when(F.col("after") != F.col("tail"), "StaleProgress")
     )
     outcome = F.when(error.isNotNull(), F.lit(None)).when(same, "Replayed").otherwise("Committed")

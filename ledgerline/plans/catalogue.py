@@ -172,11 +172,13 @@ def append_generated_resolve(spark: SparkSession, d: str) -> DataFrame:
     return append.resolve_generated(requests, empty, streams).select("seq", "stream_id", "generation", "outcome", "error_code", "offset")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {LOG}, f AS (SELECT stream_id, 0 AS pos, 0 AS size, 0 AS n, 0 AS used, true AS fits FROM tails UNION ALL
+  SELECT f.stream_id, l.pos, l.bytes, f.n + CASE WHEN f.n < 48 AND f.used + l.bytes <= 8000 THEN 1 ELSE 0 END, f.used + CASE WHEN f.n < 48 AND f.used + l.bytes <= 8000 THEN l.bytes ELSE 0 END, f.n < 48 AND f.used + l.bytes <= 8000 FROM f JOIN log l ON l.stream_id = f.stream_id AND l.pos = f.pos + 1)
+SELECT stream_id, CAST(pos AS BIGINT) AS seq, CAST(size AS BIGINT) AS bytes, fits AS admitted FROM f WHERE pos > 0""")
 def append_admission(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy quota of each stream; a request that doesn't fit uses up nothing. Tested against a fold."""
+    """Greedy quota of each stream; a request that doesn't fit uses up nothing."""
     records = tables.log(spark, d)
-    return append.admit(records.select("stream_id", F.col("offset").alias("seq"), "bytes"), 48, 8000).select("stream_id", "seq", "bytes", "admitted")
+    return append.admit(records.select("stream_id", F.col("offset").alias("seq"), F.col("bytes").cast("long").alias("bytes")), 48, 8000).select("stream_id", "seq", "bytes", "admitted")
 
 
 @query(f"""WITH {LOG}, x AS (SELECT stream_id || '-' || CAST((pos - 1) // 16 AS VARCHAR) AS batch_id, (pos - 1) // 16 * 16 + CASE WHEN CAST(stream_id AS BIGINT) % 6 = 0 THEN 1 ELSE 0 END AS after, pos FROM log)
@@ -195,18 +197,31 @@ def cursor_encode(spark: SparkSession, d: str) -> DataFrame:
     return tables.log(spark, d).select("stream_id", "offset", codec.encode_token(F.col("stream_id"), F.col("incarnation"), F.col("offset")).alias("token"))
 
 
-@query(f"""WITH {LOG}, x AS (SELECT stream_id, inc, pos, pos % 6 AS k FROM log)
-SELECT stream_id AS source, pos AS "offset", CASE k WHEN 1 THEN 'InvalidPrefix' WHEN 2 THEN 'UnsupportedVersion' WHEN 3 THEN 'InvalidEncoding' WHEN 4 THEN 'InvalidLength' END AS error,
-  CASE WHEN k IN (0, 5) THEN stream_id END AS stream_id, CASE WHEN k IN (0, 5) THEN inc END AS incarnation, CASE WHEN k IN (0, 5) THEN pos END AS decoded FROM x""")
+@query(f"""WITH {LOG}, x AS (SELECT stream_id, inc, pos, pos % 16 AS k FROM log)
+SELECT stream_id AS source, pos AS "offset", CASE k WHEN 1 THEN 'InvalidPrefix' WHEN 2 THEN 'UnsupportedVersion' WHEN 3 THEN 'InvalidEncoding' WHEN 4 THEN 'InvalidLength' WHEN 5 THEN 'InvalidLength' WHEN 6 THEN 'UnsupportedVersion' WHEN 7 THEN 'UnsupportedFlags'
+    WHEN 8 THEN 'InvalidEncoding' WHEN 9 THEN 'InvalidStreamId' WHEN 10 THEN 'InvalidStreamId' WHEN 11 THEN 'InvalidEncoding' WHEN 12 THEN 'InvalidLength' WHEN 13 THEN 'InvalidEncoding' WHEN 14 THEN 'InvalidEncoding' END AS error,
+  CASE WHEN k IN (0, 15) THEN stream_id END AS stream_id, CASE WHEN k IN (0, 15) THEN inc END AS incarnation, CASE WHEN k IN (0, 15) THEN pos END AS decoded FROM x""")
 def cursor_decode(spark: SparkSession, d: str) -> DataFrame:
     records = tables.log(spark, d)
     good = codec.encode_token(F.col("stream_id"), F.col("incarnation"), F.col("offset"))
-    k = F.col("offset") % 6
+    k = F.col("offset") % 16
+    put = lambda at, new: F.concat(F.substr(good, F.lit(1), F.lit(at - 1)), F.lit(new), F.substr(good, F.lit(at + len(new))))
+    end = F.substr(good, F.lit(1), F.length(good) - 1)
     token = (
-        F.when(k == 1, F.concat(F.lit("exc_"), F.substring(good, 5, 1000)))
-        .when(k == 2, F.concat(F.lit("esc_02"), F.substring(good, 7, 1000)))
-        .when(k == 3, F.concat(F.substring(good, 1, 12), F.lit("G"), F.substring(good, 14, 1000)))
+        F.when(k == 1, put(1, "exc_"))
+        .when(k == 2, put(5, "02"))
+        .when(k == 3, put(13, "G"))  # in the id
         .when(k == 4, F.concat(good, F.lit("00")))
+        .when(k == 5, end)  # an odd number of characters
+        .when(k == 6, F.concat(F.lit("esc_02"), F.substr(end, F.lit(7)), F.lit("G")))  # the version shows before a bad digit
+        .when(k == 7, F.concat(F.lit("esc_0101"), F.substr(end, F.lit(9)), F.lit("G")))
+        .when(k == 8, put(7, "0G"))
+        .when(k == 9, put(13, "ff"))  # no UTF-8
+        .when(k == 10, put(13, "80"))
+        .when(k == 11, F.concat(end, F.lit("G")))
+        .when(k == 12, F.lit("esc_0100"))
+        .when(k == 13, put(9, "000A"))
+        .when(k == 14, put(5, "0\u00e9").substr(F.lit(1), F.length(good) - 1))  # two bytes in one character
         .otherwise(good)
     )
     told = records.select(F.col("stream_id").alias("source"), "offset", codec.decode_token(token).alias("t"))
@@ -263,7 +278,7 @@ def retired_cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LOG}, {REPLICAS}, {LEASES}, a AS (SELECT stream_id, min(ack) AS min_ack FROM replicas WHERE mode IN ('Required', 'Bootstrapping') GROUP BY 1), p AS (SELECT stream_id, min(covered) AS min_covered FROM leases GROUP BY 1),
 q AS (SELECT t.stream_id, t.n, t.tail, 2 AS floor, CASE WHEN n % 7 = 0 THEN 1 ELSE 2 END AS expected, CASE n % 6 WHEN 0 THEN 1 WHEN 1 THEN tail + 1 WHEN 2 THEN tail // 2 + 1 WHEN 3 THEN tail // 3 ELSE 3 END AS want, min_ack, min_covered FROM tails t LEFT JOIN a USING (stream_id) LEFT JOIN p USING (stream_id)),
-r AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'RetryPolicyRequired' WHEN expected <> floor THEN 'StaleFloor' WHEN want < floor THEN 'FloorRegression' WHEN want > tail THEN 'CursorAhead' WHEN want > min_ack THEN 'ReplicaProtectionActive' WHEN want > min_covered THEN 'RecoveryProtectionActive' END AS error FROM q)
+r AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'RetryPolicyRequired' WHEN expected <> floor THEN 'StaleFloor' WHEN want < floor OR want > tail THEN 'InvalidInput' WHEN want > min_ack THEN 'ReplicaProtectionActive' WHEN want > min_covered THEN 'RecoveryProtectionActive' END AS error FROM q)
 SELECT stream_id, CAST(want AS BIGINT) AS new_floor, error, CAST(CASE WHEN error IS NULL THEN want ELSE floor END AS BIGINT) AS floor_after, CAST(least(tail, coalesce(min_ack, tail), coalesce(min_covered, tail)) AS BIGINT) AS floor_max FROM r""")
 def retention_floor_decision(spark: SparkSession, d: str) -> DataFrame:
     t = tables.tails(spark, d)
@@ -433,19 +448,25 @@ def capture_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_FRAMES}, s AS (SELECT doc_id AS source_id, CAST(strlen(text) AS BIGINT) AS captured_end FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id AS source_id, count(*) AS items FROM frames GROUP BY 1), q AS (SELECT s.source_id, captured_end, coalesce(items, 0) AS items, CASE s.source_id % 4 WHEN 0 THEN captured_end + 1 WHEN 1 THEN captured_end ELSE captured_end // 2 END AS "at", CASE WHEN s.source_id % 5 = 0 THEN coalesce(items, 0) + 1 ELSE coalesce(items, 0) END AS next_index FROM s LEFT JOIN k USING (source_id)),
-m AS (SELECT q.source_id, count(*) AS n, max(f.source_byte) AS last_byte FROM q JOIN frames f ON f.doc_id = q.source_id WHERE f.line < q.next_index AND NOT (q.source_id % 7 = 0 AND f.line = 1) GROUP BY 1),
-r AS (SELECT q.*, CASE WHEN "at" > captured_end THEN 'CheckpointAhead' WHEN next_index > items THEN 'OutputMissing' WHEN coalesce(n, 0) <> next_index THEN 'OutputMissing' WHEN last_byte > "at" THEN 'CheckpointBeforeOutput' END AS error FROM q LEFT JOIN m USING (source_id))
-SELECT source_id, CAST("at" AS BIGINT) AS "offset", CAST(next_index AS BIGINT) AS next_index, error, CAST(CASE WHEN error IS NULL THEN "at" ELSE 0 END AS BIGINT) AS offset_after FROM r""")
+k AS (SELECT doc_id AS source_id, count(*) AS items FROM frames GROUP BY 1), p AS (SELECT s.source_id, captured_end, coalesce(items, 0) AS items, CASE s.source_id % 4 WHEN 0 THEN captured_end + 1 WHEN 1 THEN captured_end ELSE captured_end // 2 END AS "at", CASE WHEN s.source_id % 5 = 0 THEN coalesce(items, 0) + 1 ELSE coalesce(items, 0) END AS next_index, s.source_id % 17 = 0 AS standing FROM s LEFT JOIN k USING (source_id)),
+q AS (SELECT *, CASE WHEN next_index > 0 THEN next_index + CASE WHEN source_id % 9 = 0 THEN 1 ELSE 0 END END AS committed, CASE WHEN standing THEN captured_end END AS at_offset, CASE WHEN standing THEN items END AS at_index, CASE WHEN standing AND items > 0 THEN items END AS at_committed FROM p),
+m AS (SELECT q.source_id, count(*) AS n, max(f.source_byte) AS last_byte, arg_max(f.line + 1, f.line) AS output FROM q JOIN frames f ON f.doc_id = q.source_id WHERE f.line >= coalesce(at_index, 0) AND f.line < q.next_index AND NOT (q.source_id % 7 = 0 AND f.line = 1) GROUP BY 1),
+r AS (SELECT q.*, source_id % 11 = 0 OR "at" > captured_end OR (NOT coalesce("at" = at_offset AND next_index = at_index AND committed IS NOT DISTINCT FROM at_committed, false) AND (source_id % 13 = 0 OR standing OR "at" < coalesce(at_offset, 0) OR next_index < coalesce(at_index, 0) OR next_index > items
+  OR coalesce(n, 0) <> next_index - coalesce(at_index, 0) OR coalesce(last_byte > "at", false) OR committed IS DISTINCT FROM CASE WHEN next_index = coalesce(at_index, 0) THEN at_committed ELSE output END)) AS bad FROM q LEFT JOIN m USING (source_id))
+SELECT source_id, CAST("at" AS BIGINT) AS "offset", CAST(next_index AS BIGINT) AS next_index, CASE WHEN bad THEN 'CheckpointConflict' END AS error, CAST(CASE WHEN bad THEN coalesce(at_offset, 0) ELSE "at" END AS BIGINT) AS offset_after FROM r""")
 def checkpoint_validate(spark: SparkSession, d: str) -> DataFrame:
     made = framing.newline_frames(_texts(spark, d), "doc_id", "text", crlf=framing.PRESERVE)
-    markers = made.select(F.col("doc_id").alias("source_id"), "item_index", "source_byte")
+    markers = made.select(F.col("doc_id").alias("source_id"), "item_index", "source_byte", (F.col("item_index") + 1).alias("committed"))
     items = markers.groupBy("source_id").agg(F.count("*").alias("items"))
     known = _texts(spark, d).select(F.col("doc_id").alias("source_id"), F.octet_length("text").cast("long").alias("captured_end")).join(items, "source_id", "left").withColumn("items", F.coalesce("items", F.lit(0)).cast("long"))
     offset = F.expr("CASE source_id % 4 WHEN 0 THEN captured_end + 1 WHEN 1 THEN captured_end ELSE captured_end div 2 END")
-    requests = known.select("source_id", offset.alias("offset"), F.expr("CASE WHEN source_id % 5 = 0 THEN items + 1 ELSE items END").alias("next_index"))
-    zero = F.lit(0).cast("long")
-    sources = known.select("source_id", zero.alias("at_offset"), zero.alias("at_index"), "captured_end", F.col("items").alias("next_item"))
+    asked = known.select("source_id", F.expr("CASE WHEN source_id % 11 = 0 THEN 'p2' ELSE 'p1' END AS parser"), offset.alias("offset"), F.expr("CASE WHEN source_id % 5 = 0 THEN items + 1 ELSE items END").alias("next_index"))
+    requests = asked.withColumn("committed", F.expr("CASE WHEN next_index > 0 THEN next_index + CASE WHEN source_id % 9 = 0 THEN 1 ELSE 0 END END"))
+    standing = F.expr("source_id % 17 = 0")
+    sources = known.select(
+        "source_id", F.lit("p1").alias("parser0"), (standing | F.expr("source_id % 13 = 0")).alias("finished"), F.when(standing, F.col("captured_end")).alias("at_offset"), F.when(standing, F.col("items")).alias("at_index"),
+        F.when(standing & (F.col("items") > 0), F.col("items")).alias("at_committed"), "captured_end", F.col("items").alias("next_item"),
+    )
     return framing.checkpoints(requests, sources, markers.where("NOT (source_id % 7 = 0 AND item_index = 1)"))
 
 
@@ -482,14 +503,21 @@ def replica_limit_having(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("stream_id")).agg(F.count("*").alias("n")).where("n > 3")
 
 
-@query(f"""WITH {LOG}, {REPLICAS}, p AS (SELECT replica_id, ack, CASE WHEN mode = 'Detached' THEN NULL ELSE ack + 4 END AS pending, ack + CASE WHEN mode = 'Required' THEN 4 ELSE 5 END AS through, CASE WHEN replica_id LIKE 'r2-%' AND ack % 2 = 0 THEN ack - 1 ELSE ack END AS after FROM replicas),
-r AS (SELECT *, CASE WHEN pending IS NULL THEN 'NoPendingBatch' WHEN through <> pending THEN 'BatchConflict' WHEN after <> ack THEN 'StaleProgress' END AS error FROM p)
-SELECT replica_id, through, error, CASE WHEN error IS NULL THEN through ELSE ack END AS acknowledged_after FROM r""")
+@query(f"""WITH {LOG}, {REPLICAS}, p AS (SELECT replica_id, ack, CASE WHEN mode <> 'Detached' THEN 'b-' || ack END AS pending, ack + CASE WHEN mode = 'Required' THEN 4 ELSE 5 END AS through, CASE WHEN replica_id LIKE 'r2-%' AND ack % 2 = 0 THEN ack - 1 ELSE ack END AS after, ack % 7 <> 0 AS epoch_ok, ack % 11 <> 0 AS id_ok FROM replicas),
+r AS (SELECT *, CASE WHEN pending IS NULL THEN 'InvalidInput' WHEN NOT (through = ack + 4 AND after = ack AND epoch_ok AND id_ok) THEN 'InvalidReceipt' END AS error FROM p)
+SELECT replica_id, through, error, CASE WHEN error IS NULL THEN through ELSE ack END AS acknowledged_after FROM r UNION ALL SELECT 'r3-' || stream_id, 1, 'NotFound', NULL FROM tails WHERE n % 6 = 0""")
 def replica_ack_progress(spark: SparkSession, d: str) -> DataFrame:
-    replicas = tables.replicas(spark, d).withColumn("pending_through", F.expr("CASE WHEN mode = 'Detached' THEN NULL ELSE acknowledged + 4 END"))
+    held = tables.replicas(spark, d)
+    name = F.concat(F.lit("b-"), F.col("acknowledged").cast("string"))
+    replicas = held.select("replica_id", "acknowledged", F.lit("now").alias("destination_epoch"), F.when(F.col("mode") != "Detached", name).alias("pending_id"), F.expr("CASE WHEN mode <> 'Detached' THEN acknowledged + 4 END AS pending_through"))
     after = F.expr("CASE WHEN replica_id LIKE 'r2-%' AND acknowledged % 2 = 0 THEN acknowledged - 1 ELSE acknowledged END")
-    acks = replicas.select("replica_id", after.alias("after"), F.expr("acknowledged + CASE WHEN mode = 'Required' THEN 4 ELSE 5 END").alias("through"))
-    return control.ack_progress(acks, replicas.select("replica_id", "acknowledged", "pending_through"))
+    acks = held.select(
+        "replica_id", F.when(F.expr("acknowledged % 11 <> 0"), name).otherwise("b-x").alias("batch_id"), F.expr("CASE WHEN acknowledged % 7 <> 0 THEN 'now' ELSE 'old' END AS epoch"),
+        after.alias("after"), F.expr("acknowledged + CASE WHEN mode = 'Required' THEN 4 ELSE 5 END").alias("through"),
+    )
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    unknown = tables.tails(spark, d).where("n % 6 = 0").select(F.concat(F.lit("r3-"), "stream_id").alias("replica_id"), F.lit("b-0").alias("batch_id"), F.lit("now").alias("epoch"), zero.alias("after"), one.alias("through"))
+    return control.ack_progress(acks.unionByName(unknown), replicas)
 
 
 @query(f"""WITH {LOG}, {REPLICAS} SELECT stream_id, min(ack) AS min_ack FROM replicas WHERE mode IN ('Required', 'Bootstrapping') GROUP BY 1""")

@@ -47,7 +47,7 @@ def generation_advance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, x AS (SELECT conv_id, turn, pos AS s, pos + size AS e, sha256(text) AS digest, max(pos + size) OVER (PARTITION BY conv_id) AS total, max(turn) OVER (PARTITION BY conv_id) AS last FROM chunks),
 q AS (SELECT conv_id, turn, s, e, CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN 'other' ELSE digest END AS digest, turn < last - 1 AND turn > 0 AS seen, digest AS d0 FROM x),
 src AS (SELECT conv_id, max(CASE WHEN turn = greatest(last - 1, 0) THEN s END) AS captured FROM x GROUP BY 1),
-m AS (SELECT q.*, captured, q.seen AND digest = d0 AS same, CASE WHEN q.seen AND digest <> d0 THEN 'CaptureConflict' WHEN q.seen THEN NULL WHEN e <= 30 THEN 'CaptureReceiptExpired' WHEN conv_id % 4 = 0 THEN 'SourceSealed' WHEN s <> captured THEN 'CaptureGap' END AS error FROM q JOIN src USING (conv_id))
+m AS (SELECT q.*, captured, q.seen AND digest = d0 AS same, CASE WHEN s < 30 THEN 'CaptureReceiptExpired' WHEN q.seen AND digest <> d0 THEN 'CaptureConflict' WHEN q.seen THEN NULL WHEN conv_id % 4 = 0 THEN 'SourceSealed' WHEN s <> captured THEN 'CaptureConflict' END AS error FROM q JOIN src USING (conv_id))
 SELECT conv_id AS source_id, s AS start, e AS "end", CASE WHEN error IS NOT NULL THEN NULL WHEN same THEN 'Deduplicated' ELSE 'Captured' END AS outcome, error FROM m""")
 def capture_decisions(spark: SparkSession, d: str) -> DataFrame:
     made = tables.chunks(spark, d)
@@ -58,22 +58,22 @@ def capture_decisions(spark: SparkSession, d: str) -> DataFrame:
     return ops.capture(asked, sources, x.where("turn < last - 1 AND turn > 0").select("source_id", "start", "end", "digest"))
 
 
-@query(f"""WITH {LOG}, m AS (SELECT stream_id, pos AS item_index, pos * 10 - CASE WHEN pos = 33 AND CAST(stream_id AS BIGINT) % 4 = 0 THEN 50 ELSE 0 END AS b, pos <= 20 AS seen, pos = 7 AND CAST(stream_id AS BIGINT) % 5 = 0 AS other FROM log),
-e AS (SELECT *, CASE WHEN seen AND other THEN 'OutputConflict' WHEN seen THEN NULL WHEN b < greatest(200, coalesce(max(b) OVER (PARTITION BY stream_id ORDER BY item_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) THEN 'SourceByteRegression' WHEN b > 400 THEN 'SourceByteAhead' END AS error FROM m),
-f AS (SELECT *, CASE WHEN NOT seen AND coalesce(max(CASE WHEN NOT seen AND error IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY item_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'OutputGap' ELSE error END AS final FROM e)
+@query(f"""WITH {LOG}, m AS (SELECT stream_id, pos AS item_index, pos * 10 - CASE WHEN pos = 33 AND CAST(stream_id AS BIGINT) % 4 = 0 THEN 50 ELSE 0 END AS b, pos <= 20 AS seen, (pos = 7 AND CAST(stream_id AS BIGINT) % 5 = 0) OR (pos = 9 AND CAST(stream_id AS BIGINT) % 6 = 0) AS other, CAST(stream_id AS BIGINT) % 9 = 0 AS finished FROM log),
+e AS (SELECT *, CASE WHEN b > 400 THEN 'InvalidInput' WHEN seen AND other THEN 'OutputConflict' WHEN NOT seen AND finished THEN 'SourceSealed' END AS early, CASE WHEN NOT seen AND b < greatest(200, coalesce(max(CASE WHEN NOT seen THEN b END) OVER (PARTITION BY stream_id ORDER BY item_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) THEN 'OutputConflict' END AS late FROM m),
+f AS (SELECT *, coalesce(early, CASE WHEN NOT seen AND coalesce(max(CASE WHEN NOT seen AND (early IS NOT NULL OR late IS NOT NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY item_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'OutputConflict' END, late) AS final FROM e)
 SELECT stream_id AS source_id, item_index, CASE WHEN final IS NOT NULL THEN NULL WHEN seen THEN 'Deduplicated' ELSE 'Appended' END AS outcome, final AS error FROM f""")
 def captured_append(spark: SparkSession, d: str) -> DataFrame:
     records = tables.log(spark, d)
     n = F.col("stream_id").cast("long")
     byte = F.col("offset") * 10 - F.when((F.col("offset") == 33) & (n % 4 == 0), 50).otherwise(0)
     outputs = records.select(F.col("stream_id").alias("source_id"), F.col("offset").alias("item_index"), byte.alias("source_byte"), F.col("event_id").alias("digest"))
-    seen = records.where("offset <= 20").select(F.col("stream_id").alias("source_id"), F.col("offset").alias("item_index"), F.when((F.col("offset") == 7) & (n % 5 == 0), "other").otherwise(F.col("event_id")).alias("digest"))
-    sources = records.select(F.col("stream_id").alias("source_id")).distinct().select("source_id", F.lit(21).alias("next_item"), F.lit(200).alias("last_byte"), F.lit(400).alias("captured_end"), F.lit(False).alias("finished"))
+    seen = records.where("offset <= 20").select(F.col("stream_id").alias("source_id"), F.col("offset").alias("item_index"), F.when((F.col("offset") == 7) & (n % 5 == 0), "other").otherwise(F.col("event_id")).alias("digest"), (byte + F.when((F.col("offset") == 9) & (n % 6 == 0), 1).otherwise(0)).alias("source_byte"))
+    sources = records.select(F.col("stream_id").alias("source_id")).distinct().select("source_id", F.lit(21).alias("next_item"), F.lit(200).alias("last_byte"), F.lit(400).alias("captured_end"), F.expr("cast(source_id AS BIGINT) % 9 = 0").alias("finished"))
     return ops.append_outputs(outputs, sources, seen)
 
 
 @query(f"""WITH {LOG}, q AS (SELECT stream_id, n, CASE WHEN n % 2 = 0 THEN 'Seal' ELSE 'Finish' END AS action, n % 4 < 2 AS sealed, CASE WHEN n % 3 = 0 THEN tail - 1 ELSE tail END AS "at", CASE WHEN n % 5 = 0 THEN tail - 2 ELSE tail END AS cp, tail FROM tails),
-e AS (SELECT *, CASE WHEN action = 'Seal' AND sealed AND "at" <> tail THEN 'SealConflict' WHEN action = 'Seal' AND "at" <> tail THEN 'SealMismatch' WHEN action = 'Finish' AND NOT sealed THEN 'SourceNotSealed' WHEN action = 'Finish' AND cp <> tail THEN 'CheckpointIncomplete' END AS error FROM q)
+e AS (SELECT *, CASE WHEN action = 'Seal' AND "at" <> tail THEN 'InvalidInput' WHEN action = 'Finish' AND NOT (sealed AND "at" = tail AND cp = "at") THEN 'CheckpointConflict' END AS error FROM q)
 SELECT stream_id AS source_id, action, error, CASE WHEN error IS NULL THEN true ELSE sealed END AS sealed_after, error IS NULL AND action = 'Finish' AS finished_after FROM e""")
 def source_finalization(spark: SparkSession, d: str) -> DataFrame:
     t = tables.tails(spark, d)
@@ -101,27 +101,33 @@ def replica_read_after(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LOG}, {REPLICAS}, q AS (SELECT CASE WHEN n % 6 = 0 THEN 'r1-' || stream_id ELSE 'new-' || stream_id END AS replica_id, stream_id, CASE WHEN n % 4 = 3 THEN 'NeedsBootstrap' ELSE 'FromBeginning' END AS mode, n FROM tails),
 b AS (SELECT stream_id, sum(bytes) AS b FROM log GROUP BY 1), c AS (SELECT stream_id, count(*) AS n FROM replicas WHERE NOT (stream_id LIKE '1%' AND replica_id LIKE 'r2-%') GROUP BY 1), k AS (SELECT replica_id FROM replicas WHERE NOT (stream_id LIKE '1%' AND replica_id LIKE 'r2-%')),
-e AS (SELECT q.replica_id, q.stream_id, q.mode, CASE WHEN k.replica_id IS NOT NULL THEN 'ReplicaExists' WHEN coalesce(c.n, 0) >= 2 THEN 'ReplicaLimitExceeded' WHEN mode = 'FromBeginning' AND q.n % 5 > 3 THEN 'BootstrapRequired' WHEN mode = 'FromBeginning' AND b > 12000 THEN 'ReplicaBacklogExceeded' END AS error
+e AS (SELECT q.replica_id, q.stream_id, q.mode, CASE WHEN q.n % 13 = 0 THEN 'InvalidInput' WHEN mode = 'FromBeginning' AND q.n % 5 > 3 THEN 'NeedsBootstrap' WHEN mode = 'FromBeginning' AND b > 12000 THEN 'BacklogExceeded' WHEN k.replica_id IS NOT NULL THEN 'InvalidInput' WHEN coalesce(c.n, 0) >= 2 THEN 'CapacityExceeded' END AS error
   FROM q LEFT JOIN c USING (stream_id) LEFT JOIN b USING (stream_id) LEFT JOIN k ON k.replica_id = q.replica_id)
-SELECT replica_id, stream_id, error, CASE WHEN error IS NULL THEN CASE mode WHEN 'FromBeginning' THEN 'Required' ELSE 'Detached' END END AS state FROM e""")
+SELECT replica_id, stream_id, error, CASE WHEN error IS NULL THEN CASE mode WHEN 'FromBeginning' THEN 'Required' ELSE 'DetachedNeedsBootstrap' END END AS state FROM e""")
 def replica_attach(spark: SparkSession, d: str) -> DataFrame:
     t = tables.tails(spark, d)
     name = F.when(F.expr("n % 6 = 0"), F.concat(F.lit("r1-"), "stream_id")).otherwise(F.concat(F.lit("new-"), "stream_id"))
-    asked = t.select(name.alias("replica_id"), "stream_id", F.when(F.expr("n % 4 = 3"), "NeedsBootstrap").otherwise("FromBeginning").alias("mode"), F.lit(12000).alias("max_backlog_bytes"))
+    asked = t.select(name.alias("replica_id"), "stream_id", F.when(F.expr("n % 4 = 3"), "NeedsBootstrap").otherwise("FromBeginning").alias("mode"), F.expr("CASE WHEN n % 13 = 0 THEN 0 ELSE 12000 END").alias("max_backlog_bytes"))
     streams = t.select("stream_id", F.expr("CASE WHEN n % 5 > 3 THEN 1 ELSE 0 END").alias("floor"), "tail")
     held = tables.replicas(spark, d).where("NOT (stream_id LIKE '1%' AND replica_id LIKE 'r2-%')")
     return ops.attach(asked, streams, held, tables.log(spark, d).groupBy("stream_id").agg(F.sum("bytes").alias("bytes")), 2)
 
 
-@query(f"""WITH {LOG}, {REPLICAS}, r AS (SELECT stream_id, min(3000 + ack * 50) AS room FROM replicas WHERE mode IN ('Required', 'Bootstrapping') GROUP BY 1)
-SELECT pos AS seq, l.stream_id, CASE WHEN sum(bytes) OVER (PARTITION BY l.stream_id ORDER BY pos) > room THEN 'ReplicaBacklogExceeded' END AS error FROM log l LEFT JOIN r USING (stream_id)""")
+@query(f"""WITH RECURSIVE {LOG}, {REPLICAS}, r AS (SELECT replica_id, stream_id, 3000 + ack * 50 AS room, (replica_id LIKE 'r1-%' AND n % 7 = 0) OR (replica_id LIKE 'r2-%' AND n % 5 = 0) AS old FROM replicas JOIN tails USING (stream_id) WHERE mode IN ('Required', 'Bootstrapping')),
+x AS (SELECT stream_id, min(CASE WHEN old THEN replica_id END) AS expired FROM r GROUP BY 1), m AS (SELECT r.stream_id, min(room) AS room, min(expired) AS expired FROM r JOIN x USING (stream_id) WHERE expired IS NULL OR replica_id <= expired GROUP BY 1),
+l AS (SELECT log.stream_id, pos, bytes, coalesce(room, 1000000000) AS room, expired FROM log LEFT JOIN m USING (stream_id)),
+f AS (SELECT stream_id, 0 AS pos, 0 AS used, CAST(NULL AS VARCHAR) AS error FROM tails UNION ALL
+  SELECT f.stream_id, l.pos, f.used + CASE WHEN expired IS NULL AND f.used + l.bytes <= room THEN l.bytes ELSE 0 END, CASE WHEN expired IS NOT NULL THEN CASE WHEN l.bytes > room THEN 'ReplicaBacklogExceeded' ELSE 'ReplicaBacklogExpired' END WHEN f.used + l.bytes > room THEN 'ReplicaBacklogExceeded' END
+  FROM f JOIN l ON l.stream_id = f.stream_id AND l.pos = f.pos + 1)
+SELECT CAST(pos AS BIGINT) AS seq, stream_id, error FROM f WHERE pos > 0""")
 def append_preflight(spark: SparkSession, d: str) -> DataFrame:
-    replicas = tables.replicas(spark, d).withColumn("room", F.col("acknowledged") * 50 + 3000)
-    return ops.preflight(tables.log(spark, d).select(F.col("offset").alias("seq"), "stream_id", "bytes"), replicas)
+    old = F.expr("(replica_id LIKE 'r1-%' AND cast(stream_id AS BIGINT) % 7 = 0) OR (replica_id LIKE 'r2-%' AND cast(stream_id AS BIGINT) % 5 = 0)")
+    replicas = tables.replicas(spark, d).withColumns({"room": F.col("acknowledged") * 50 + 3000, "oldest": F.when(old, F.lit(0)), "max_age": F.lit(1000)})
+    return ops.preflight(tables.log(spark, d).select(F.col("offset").cast("long").alias("seq"), "stream_id", F.col("bytes").cast("long").alias("bytes")), replicas, 2000)
 
 
 @query(f"""WITH {LOG}, q AS (SELECT 'b-' || stream_id AS batch_id, stream_id, n, CASE WHEN n % 7 = 0 THEN 'old' ELSE 'now' END AS epoch, CASE WHEN n % 3 = 0 THEN tail - 1 ELSE tail END AS after, tail, md5(stream_id) AS digest, CASE WHEN n % 5 = 0 THEN md5(stream_id) WHEN n % 5 = 1 THEN 'x' END AS d0 FROM tails),
-e AS (SELECT *, after + 4 AS through, CASE WHEN epoch <> 'now' THEN 'StaleEpoch' WHEN d0 IS NOT NULL AND d0 <> digest THEN 'BatchConflict' WHEN d0 = digest THEN NULL WHEN after + 4 <= 55 THEN 'ReceiptExpired' WHEN after <> tail THEN 'StaleProgress' END AS error FROM q),
+e AS (SELECT *, after + 4 AS through, CASE WHEN epoch <> 'now' THEN 'DestinationReplaced' WHEN after < 55 THEN 'ReceiptExpired' WHEN d0 IS NOT NULL AND d0 <> digest THEN 'BatchConflict' WHEN d0 = digest THEN NULL WHEN after <> tail THEN 'StaleProgress' END AS error FROM q),
 o AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN d0 = digest THEN 'Replayed' ELSE 'Committed' END AS outcome FROM e)
 SELECT batch_id, stream_id, outcome, error, CASE WHEN outcome = 'Committed' THEN through ELSE tail END AS tail_after FROM o""")
 def replica_commit_batch(spark: SparkSession, d: str) -> DataFrame:
