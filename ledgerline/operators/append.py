@@ -1,8 +1,10 @@
 """Idempotent append: what becomes of each request of an arrival-ordered batch.
 
 Duplicates, conflicts and offsets are closed forms over windows of one identity
-or one stream of the batch; the log is met by one join on the identities of the
-batch, so its history is not shuffled where the batch is small.
+or one stream of the batch. The log is first cut down to the batch's identities
+by a semi-join whose build side is the batch; of a batch of at most FEW requests
+it is broadcast, so history is neither shuffled nor sorted, and digests are made
+of matches only.
 """
 
 from __future__ import annotations
@@ -11,27 +13,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.schema import CAPACITY_EXCEEDED, DEDUPLICATED, IDEMPOTENCY_CONFLICT, INSERTED
 
 #: what must be equal for a retry to be the same request
 CONTENT = ["schema_id", "schema_version", "payload"]
+FEW = 100_000  # identities of at most 256 bytes each
 
 
-def resolve(requests: DataFrame, records: DataFrame, tails: DataFrame, identity: list[str] | None = None, max_bytes: int = 1 << 20) -> DataFrame:
+def content_digest() -> Column:
+    """Of what must be equal for a retry to be the same request."""
+    return F.sha2(F.concat_ws("|", F.hex("schema_id"), F.col("schema_version").cast("string"), F.hex("payload")), 256)
+
+
+def resolve(requests: DataFrame, records: DataFrame, tails: DataFrame, identity: list[str] | None = None, max_bytes: int = 1 << 20, n_requests: int | None = None) -> DataFrame:
     """requests with outcome, error_code and offset.
 
-    requests: seq, stream_id, event_id, content. records: the log. tails:
-    stream_id, tail. Later requests see earlier ones; only inserted ones take
+    requests: seq, stream_id, event_id, schema_id, schema_version, payload.
+    records: the log, with the digest `content` if it is stored. tails: stream_id,
+    tail. n_requests: how many requests there are, if known. Later requests see earlier ones; only inserted ones take
     offsets; a request over max_bytes is refused before its identity is used.
     """
     identity = identity or ["stream_id", "event_id"]
     size = F.octet_length("payload") + F.octet_length("event_id") + F.octet_length("schema_id") + 128
-    content = F.sha2(F.concat_ws("|", F.hex("schema_id"), F.col("schema_version").cast("string"), F.hex("payload")), 256)
-    sized = requests.withColumns({"fits": size <= max_bytes, "content": content})
-    held = records.select(*identity, F.col("offset").alias("held_offset"), content.alias("held_content"))
+    sized = requests.withColumns({"fits": size <= max_bytes, "content": content_digest()})
+    asked = requests.select(*identity).distinct()
+    held = records.join(F.broadcast(asked) if n_requests is not None and n_requests <= FEW else asked, identity, "left_semi")
+    held = held.select(*identity, F.col("offset").alias("held_offset"), (F.col("content") if "content" in records.columns else content_digest()).alias("held_content"))
     met = sized.join(held, identity, "left")
     same = Window.partitionBy(*identity, "fits").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = met.withColumns({"first_seq": F.min("seq").over(same), "first_content": F.first("content").over(same)})
@@ -52,19 +62,21 @@ def generation_error(generation: str = "generation", oldest: str = "oldest", cur
     return F.when(F.col(generation) < F.col(oldest), "RetryGenerationExpired").when(F.col(generation) > F.col(current), "RetryGenerationAhead")
 
 
-def resolve_generated(requests: DataFrame, records: DataFrame, streams: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+def resolve_generated(requests: DataFrame, records: DataFrame, streams: DataFrame, max_bytes: int = 1 << 20, n_requests: int | None = None) -> DataFrame:
     """resolve() by (stream, generation, event). streams: stream_id, tail, oldest, current. Refused generations use up nothing.
 
     Generation 0 holds events from before generations: it is matched, never inserted.
     """
     met = requests.join(streams.select("stream_id", "oldest", "current"), "stream_id")
     checked = met.withColumn("refused", generation_error())
-    legacy = records.where("generation = 0").select("stream_id", "event_id", F.lit(True).alias("known"))
+    asked = requests.where("generation = 0").select("stream_id", "event_id").distinct()
+    old = records.where("generation = 0").select("stream_id", "event_id")
+    legacy = old.join(F.broadcast(asked) if n_requests is not None and n_requests <= FEW else asked, ["stream_id", "event_id"], "left_semi").distinct().withColumn("known", F.lit(True))
     found = checked.join(legacy, ["stream_id", "event_id"], "left")
     checked = found.withColumn("refused", F.coalesce("refused", F.when((F.col("generation") == 0) & F.col("known").isNull(), "LegacyRetryNotFound"))).drop("known")
     refused = checked.where("refused is not null").select(*requests.columns, F.lit(None).cast("string").alias("outcome"), F.col("refused").alias("error_code"), F.lit(None).cast("long").alias("offset"))
     open_ = checked.where("refused is null").select(*requests.columns)
-    return resolve(open_, records, streams.select("stream_id", "tail"), ["stream_id", "generation", "event_id"], max_bytes).unionByName(refused)
+    return resolve(open_, records, streams.select("stream_id", "tail"), ["stream_id", "generation", "event_id"], max_bytes, n_requests).unionByName(refused)
 
 
 def counts(resolved: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.arrays import let, running
+
 PRESERVE, STRIP = "Preserve", "Strip"
 EMIT, REJECT = "Emit", "Reject"
 
@@ -18,27 +20,43 @@ def newline_frames(texts: DataFrame, key: str, text: str, max_bytes: int = 1 <<
     Lines end at \\n; Strip removes one \\r before it. A last line without \\n is
     emitted as it is or rejected (truncated_input); an input that ends in \\n has
     no further line. A line over max_bytes, its \\r included, stops its text with
-    frame_too_large at the byte after the limit; lines before it stand.
+    frame_too_large at the byte after the limit; lines before it stand. Each row
+    is framed on its own, within the row: nothing is shuffled, and keys may repeat.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    parts = texts.select(key, F.posexplode(lines).alias("line", "raw"), F.size(lines).alias("n"))
-    order = Window.partitionBy(key).orderBy("line")
-    placed = parts.select("*", F.coalesce(F.sum(F.octet_length("raw") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("source_byte"))
-    last = F.col("line") == F.col("n") - 1
-    real = placed.where(~(last & (F.col("raw") == "")))
-    large = F.octet_length("raw") > max_bytes
-    stop = F.min(F.when(large, F.col("line"))).over(Window.partitionBy(key))
-    kept = real.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("line") <= F.col("stop")))
-    cut = F.regexp_replace("raw", r"\r\z", "") if crlf == STRIP else F.col("raw")
-    frame = F.when(last, F.col("raw")).otherwise(cut)
-    error = F.when(F.octet_length("raw") > max_bytes, "frame_too_large")
-    if final == REJECT:
-        error = F.coalesce(error, F.when(last, "truncated_input"))
-    told = kept.select(key, "line", error.alias("error"), frame.alias("frame"), F.when(F.octet_length("raw") > max_bytes, F.col("source_byte") + max_bytes).otherwise(F.col("source_byte")).alias("source_byte"))
-    if not empties:
-        told = told.where((F.col("frame") != "") | F.col("error").isNotNull())
-    index = F.when(F.col("error").isNull(), F.sum(F.when(F.col("error").isNull(), 1).otherwise(0)).over(order) - 1).cast("long")
-    return told.select(key, index.alias("item_index"), "source_byte", F.when(F.col("error").isNull(), F.col("frame")).alias("frame"), "error")
+    none = F.lit(None)
+    kind = "struct<item_index:bigint,source_byte:bigint,frame:string,error:string>"
+
+    def rows(x: Column) -> Column:
+        """x: lines, and stop, the place from 1 of the first line that is too large, or 0."""
+
+        def frame(raw: Column, last: Column) -> Column:
+            return F.when(last, raw).otherwise(F.regexp_replace(raw, r"\r\z", "")) if crlf == STRIP else raw
+
+        def emitted(raw: Column, i: Column) -> Column:
+            last = i == F.size(x["lines"]) - 1
+            cond = ((x["stop"] == 0) | (i + 1 < x["stop"])) & ~(last & (raw == ""))
+            if final == REJECT:
+                cond = cond & ~last
+            return cond if empties else cond & (frame(raw, last) != "")
+
+        def row(raw: Column, i: Column, y: Column) -> Column:
+            last, start, index = i == F.size(x["lines"]) - 1, F.get(y["starts"], i).cast("long"), F.get(y["items"], i).cast("long")
+            found = F.when(emitted(raw, i), F.struct(index, start, frame(raw, last), none).cast(kind))
+            found = found.when(i + 1 == x["stop"], F.struct(none, start + max_bytes, none, F.lit("frame_too_large")).cast(kind))
+            if final == REJECT:
+                found = found.when(last & (raw != "") & (x["stop"] == 0), F.struct(none, start, none, F.lit("truncated_input")).cast(kind))
+            return found
+
+        add = lambda a, v: a + v
+        starts = running(F.transform(x["lines"], lambda raw: F.octet_length(raw) + 1), add)
+        items = running(F.transform(x["lines"], lambda raw, i: emitted(raw, i).cast("int")), add)
+        return let(F.struct(starts.alias("starts"), items.alias("items")), lambda y: F.filter(F.transform(x["lines"], lambda raw, i: row(raw, i, y)), lambda r: r.isNotNull()))
+
+    def stop(lines: Column) -> Column:
+        return F.array_position(F.transform(lines, lambda raw: F.octet_length(raw) > max_bytes), True).cast("int")
+
+    framed = let(F.split(F.col(text), "\n", -1), lambda lines: let(F.struct(lines.alias("lines"), stop(lines).alias("stop")), rows))
+    return texts.where(F.col(text).isNotNull()).select(key, F.explode(framed).alias("row")).select(key, "row.*")
 
 
 def binary_frames(segments: DataFrame, key: str = "source_id", max_bytes: int = 1 << 20, crlf: str = STRIP, empties: bool = True, final: str = EMIT) -> DataFrame:

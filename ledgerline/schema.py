@@ -13,10 +13,15 @@ def _table(**columns: object) -> StructType:
 
 
 RECORDS = _table(stream_id=str, incarnation=bytes, offset=int, generation=int, event_id=str, schema_id=str, schema_version=int, payload=bytes)
+#: as stored: with the digest of what a retry must equal
+STORED = StructType([*RECORDS.fields, StructField("content", StringType())])
 REQUESTS = _table(seq=int, stream_id=str, incarnation=bytes, generation=int, event_id=str, schema_id=str, schema_version=int, payload=bytes)
 OUTCOMES = _table(seq=int, outcome=str, error_code=str, offset=int)
 STREAM_NAMES = _table(stream_id=str, incarnation=bytes, active=bool)
 STREAMS = _table(stream_id=str, incarnation=bytes, floor=int, tail=int, retired=bool)
+TAILS = _table(stream_id=str, incarnation=bytes, tail=int)
+LEASES = _table(lease_id=str, snapshot_id=bytes, stream_id=str, incarnation=bytes, covered=int, through=int, expires=int)
+POLICIES = _table(stream_id=str, incarnation=bytes, oldest=int, current=int)
 FLOORS = _table(stream_id=str, incarnation=bytes, floor=int)
 RECEIPTS = _table(operation_id=str, kind=str, request=str, receipt=str)
 SNAPSHOTS = _table(snapshot_id=bytes, stream_id=str, incarnation=bytes, covered=int, schema_id=str, schema_version=int, content_bytes=int, digest=bytes, state=str)
@@ -63,7 +68,7 @@ class Limits:
     event_bytes: int = 1 << 20
     page_records: int = 256
     page_bytes: int = 1 << 20
-    batch_events: int = 64
+    batch_events: int = 1 << 17
     snapshot_bytes: int = 1 << 30
     chunk_bytes: int = 1 << 16
     cleanup_rows: int = 256

@@ -8,12 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerline.engine import EventLog
+from ledgerline.engine import EventLog, migrate
 from ledgerline.functions import codec
 from ledgerline.operators import append, control, framing
-from ledgerline.schema import Limits, LogError
+from ledgerline.schema import RECORDS, STREAM_NAMES, Limits, LogError
 from ledgerline.sources.store import Store
-from ledgerline.streaming.subscribe import framed, subscribe
+from ledgerline.streaming.subscribe import follow, framed, subscribe
 
 REQUEST = "seq long, stream_id string, event_id string, schema_id string, schema_version long, payload binary"
 
@@ -73,6 +73,43 @@ def test_subscription_resumes_without_gap_or_repeat(spark, tmp_path):
     assert sorted(seen) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)] and len(seen) == 4
 
 
+def test_a_subscription_starts_and_ends(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/log", create=True) as store:
+        log = EventLog(store)
+        log.create(["a", "b"])
+        log.append(requests(spark, ("a", "1", b"x"), ("a", "2", b"x"), ("b", "1", b"x")))
+        seen = {"Beginning": [], "Future": [], "After": []}
+
+        def run(start, **how):
+            take = lambda df, _: seen[start].extend(r.offset for r in df.orderBy("offset").collect())
+            follow(log, "a", take, f"file://{tmp_path}/{start}", start, once=True, **how).awaitTermination()
+
+        for start, how in (("Beginning", {}), ("Future", {}), ("After", {"cursor": 1})):
+            run(start, **how)
+        with pytest.raises(LogError, match="CursorAhead"):
+            follow(log, "a", print, f"file://{tmp_path}/x", "After", cursor=9)
+        with pytest.raises(LogError, match="StreamUnavailable"):
+            follow(log, "none", print, f"file://{tmp_path}/y")
+        log.append(requests(spark, ("a", "3", b"x"), ("b", "2", b"x")))
+        for start, how in (("Beginning", {}), ("Future", {}), ("After", {"cursor": 1})):
+            run(start, **how)
+        assert seen == {"Beginning": [1, 2, 3], "Future": [3], "After": [2, 3]}
+        # a floor above what was delivered ends the reader that lags, not the others
+        log.append(requests(spark, ("a", "4", b"x"), ("a", "5", b"x")))
+        run("Future")
+        log.set_generations(spark.createDataFrame([("a", None)], "stream_id string, expected_current long"))
+        log.advance_floors(spark.createDataFrame([("a", 0, 4)], "stream_id string, expected_floor long, new_floor long"))
+        with pytest.raises(Exception, match="SubscriberLagged"):
+            run("Beginning")
+        run("Future")
+        assert seen["Future"] == [3, 4, 5] and seen["Beginning"] == [1, 2, 3]
+        # so does another lifetime
+        own = log.names().where("stream_id = 'a'").first().incarnation
+        log.change_lifecycle(spark.createDataFrame([("l-1", "a", "Reset", own)], "operation_id string, stream_id string, action string, expected binary"))
+        with pytest.raises(Exception, match="StaleIncarnation"):
+            run("Future")
+
+
 def test_golden_token_and_full_range(spark):
     inc = bytes(range(16))
     rows = [("orders", inc, str(o)) for o in (0, 1, 2**63 - 1, 2**63, 2**64 - 1)] + [("é" * 128, inc, "7")]
@@ -121,6 +158,16 @@ def test_native_and_byte_framers_agree(spark, texts, empties, limit):
     assert native == model
 
 
+def test_rows_that_repeat_a_key_are_framed_apart(spark):
+    df = spark.createDataFrame([(1, "ab\ncd"), (1, "x\ny"), (2, None), (3, ""), (4, "\n" * 20_000)], "k long, t string")
+    made = framing.newline_frames(df, "k", "t")
+    got = sorted((r.k, r.item_index, r.source_byte, r.frame) for r in made.where("k < 4").collect())
+    assert got == [(1, 0, 0, "ab"), (1, 0, 0, "x"), (1, 1, 2, "y"), (1, 1, 3, "cd")]
+    assert made.where("k = 4").agg(F.count("*"), F.max("source_byte"), F.max("item_index")).first()[:] == (20_000, 19_999, 19_999)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_stateful_framing_stream(spark, tmp_path):
     for k, rows in enumerate([[("s", 0, b"ab\ncd", False), ("t", 0, b"q", True)], [("s", 5, b"e\n", True)]]):
         spark.createDataFrame(rows, "source_id string, start long, bytes binary, eof boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
@@ -177,6 +224,10 @@ def test_snapshot_floor_and_recovery(spark, tmp_path):
         with pytest.raises(LogError, match="InvalidTransition"):
             log.move_snapshot(name, "abort")
         asked = spark.createDataFrame([("a", 0, 3)], "stream_id string, expected_floor long, new_floor long")
+        assert log.advance_floors(asked).first().error == "RetryPolicyRequired"
+        assert log.set_generations(spark.createDataFrame([("a", None)], "stream_id string, expected_current long")).first().current_after == 1
+        lease = log.acquire_recovery(name, 60_000)
+        assert (lease["covered"], lease["through"]) == (2, 3)
         assert log.advance_floors(asked).first().error == "RecoveryProtectionActive"
         asked = spark.createDataFrame([("a", 0, 2)], "stream_id string, expected_floor long, new_floor long")
         assert log.advance_floors(asked).first().error is None
@@ -184,5 +235,134 @@ def test_snapshot_floor_and_recovery(spark, tmp_path):
         got, suffix = log.recover(name)
         assert b"".join(bytes(r.bytes) for r in got.orderBy("offset").collect()) == state
         assert [bytes(r.payload) for r in suffix.collect()] == [b"completed"]
-        again = log.append(requests(spark, ("a", "3", b"completed"), ("a", "4", b"closed"))).orderBy("seq").collect()
-        assert [(r.outcome, r.offset) for r in again] == [("Deduplicated", 3), ("Inserted", 4)]
+        more = requests(spark, ("a", "3", b"completed"), ("a", "1", b"opened"), ("a", "4", b"closed"))
+        assert {r.error_code for r in log.append(more).collect()} == {"RetryPolicyRequired"}
+        again = log.append_generated(more.withColumn("generation", F.expr("CASE WHEN seq = 2 THEN 1 ELSE 0 END").cast("long"))).orderBy("seq").collect()
+        assert [(r.outcome, r.offset) for r in again] == [("Deduplicated", 3), ("Deduplicated", 1), ("Inserted", 4)]  # below the floor, but its generation is accepted
+        assert log.cleanup() == 0
+        log.release_recovery(lease["lease_id"])
+        assert log.expire_generations(spark.createDataFrame([("a", 0, 1)], "stream_id string, expected_oldest long, retain_from long")).first().error is None
+        assert log.cleanup() == 2 and store.vacuum() > 0
+        asked = spark.createDataFrame([("a", 2, 4)], "stream_id string, expected_floor long, new_floor long")
+        assert log.advance_floors(asked).first().error is None and log.bounds().first().asDict() == {"stream_id": "a", "floor": 4, "tail": 4}
+        late = spark.createDataFrame([(0, "a", 0, "1", "test.bytes", 1, b"opened"), (1, "a", 2, "9", "test.bytes", 1, b"x")], "seq long, stream_id string, generation long, event_id string, schema_id string, schema_version long, payload binary")
+        assert [r.error_code for r in log.append_generated(late).orderBy("seq").collect()] == ["RetryGenerationExpired", "RetryGenerationAhead"]
+        EventLog(store, audit=True)
+
+
+class Stopped(Exception):
+    """A writer that dies."""
+
+
+@pytest.mark.parametrize("step", ["written", "claimed", "renamed"])
+def test_a_dead_writer_blocks_nobody(spark, tmp_path, step):
+    now = [1000]
+    path = f"file://{tmp_path}/log"
+    dead = Store(spark, path, create=True, lease_ms=500, clock=lambda: now[0]).acquire()
+    log = EventLog(dead)
+    log.create(["a"])
+    log.append(requests(spark, ("a", "1", b"x")), "op-1")
+
+    def stop(at):
+        if at == step:
+            raise Stopped(at)
+
+    dead._reached = stop
+    with pytest.raises(Stopped):
+        log.append(requests(spark, ("a", "2", b"y")), "op-2")
+    with pytest.raises(LogError, match="StoreInUse"):
+        Store(spark, path, lease_ms=500, clock=lambda: now[0]).acquire()
+    now[0] += 501
+    with Store(spark, path, lease_ms=500, clock=lambda: now[0]) as store:
+        again = EventLog(store, audit=True)
+        got = again.append(requests(spark, ("a", "2", b"y")), "op-2").first()
+        assert (got.outcome, got.offset) == ("Inserted", 2)
+        assert again.append(requests(spark, ("a", "3", b"z"))).first().offset == 3 and again.records().count() == 3
+        dead._reached = lambda at: None
+        with pytest.raises(LogError, match="NotOwner"):  # its term is over
+            log.append(requests(spark, ("a", "4", b"w")), "op-4")
+        assert EventLog(store).records().count() == 3
+
+
+def test_a_writer_that_lost_its_claim_does_not_commit(spark, tmp_path):
+    now = [1000]
+    path = f"file://{tmp_path}/log"
+    slow = Store(spark, path, create=True, lease_ms=500, clock=lambda: now[0]).acquire()
+
+    def overtaken(at):
+        if at == "claimed":
+            now[0] += 501
+            with Store(spark, path, lease_ms=500, clock=lambda: now[0]) as store:
+                store.commit({"t": spark.createDataFrame([(2,)], "v long")}, "second")
+
+    slow._reached = overtaken
+    with pytest.raises(LogError, match="NotOwner"):
+        slow.commit({"t": spark.createDataFrame([(1,)], "v long")}, "first")
+    store = Store(spark, path)
+    assert [c["operation_id"] for c in store.commits()] == ["second"]
+
+
+def test_commits_are_read_from_checkpoints_and_compactions(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    schema = "k long, v long"
+    from ledgerline.sources import store as stores
+
+    with Store(spark, path, create=True) as store:
+        from pyspark.sql.types import StructType
+
+        kind = StructType.fromDDL(schema)
+        for v in range(stores.CHECKPOINT + 2):
+            store.commit({"t": spark.createDataFrame([(v % 3, v)], schema)}, f"op-{v}")
+        want = {r.k: r.v for r in store.latest("t", kind, ["k"]).collect()}
+        assert store.compact("t", kind, ["k"]) is not None and store.vacuum() == stores.CHECKPOINT + 2
+        fresh = Store(spark, path)
+        assert {r.k: r.v for r in fresh.latest("t", kind, ["k"]).collect()} == want == {0: 33, 1: 31, 2: 32}
+        store.commit({"t": spark.createDataFrame([(0, 99)], schema)}, "last")
+        assert {r.k: r.v for r in Store(spark, path).latest("t", kind, ["k"]).collect()}[0] == 99
+        assert Store(spark, path).commits()[3]["operation_id"] == "op-3"
+
+
+def test_migration_keeps_bytes_and_adds_tails(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    with Store(spark, path, create=True) as store:
+        store.commit({"stream_names": spark.createDataFrame([("a", bytes(16), True)], STREAM_NAMES)}, "names")
+        rows = [("a", bytes(16), k, 0, f"e{k}", "s", 1, bytes([k, 255])) for k in (1, 2)]
+        store.commit({"records": spark.createDataFrame(rows, RECORDS)}, "records")
+        store.format = 1  # as a store of format 1 is opened
+        with pytest.raises(LogError, match="MigrationRequired"):
+            EventLog(store)
+        log = migrate(store)
+        assert log.bounds().first().asDict() == {"stream_id": "a", "floor": 0, "tail": 2}
+        more = spark.createDataFrame([(0, "a", "e2", "s", 1, bytes([2, 255])), (1, "a", "e1", "s", 1, b"other"), (2, "a", "e3", "s", 1, b"")], REQUEST)
+        assert [(r.outcome, r.error_code, r.offset) for r in log.append(more).orderBy("seq").collect()] == [("Deduplicated", None, 2), (None, "IdempotencyConflict", None), ("Inserted", None, 3)]
+        assert sorted(bytes(r.payload) for r in log.records().collect()) == [b"", b"\x01\xff", b"\x02\xff"]
+
+
+def test_the_log_is_never_the_build_side(spark):
+    """A few requests against a long log: it is read once, cut down by a broadcast of the batch, and hashed after that."""
+    log = spark.range(100_000).selectExpr("cast(id % 100 as string) stream_id", "cast(id as string) event_id", "'test.bytes' schema_id", "1L schema_version", "cast('p' as binary) payload", "id offset")
+    tails = spark.createDataFrame([("1", 999)], "stream_id string, tail long")
+    told = append.resolve(requests(spark, ("1", "101", b"p"), ("1", "102", b"q")), log, tails, n_requests=2)
+    assert [(r.outcome, r.offset) for r in told.orderBy("seq").collect()] == [("Deduplicated", 101), ("Inserted", 1000)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    semi = next(k for k, x in enumerate(lines) if "LeftSemi" in x)
+    assert "strategy=broadcast" in lines[semi] or "rightHint" in lines[semi]
+    scan = next(k for k, x in enumerate(lines) if "Range (0, 100000" in x)
+    assert semi < scan and not any("sha2" in x for x in lines[semi:scan])
+
+
+def test_tokens_of_other_lifetimes_and_streams_are_refused(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/log", create=True) as store:
+        log = EventLog(store)
+        log.create(["a", "b"])
+        log.append(requests(spark, ("a", "1", b"x"), ("a", "2", b"y"), ("b", "1", b"z")))
+        own = {r.stream_id: bytes(r.incarnation) for r in log.names().collect()}
+        made = spark.createDataFrame([("a", "a", own["a"], 1), ("b", "a", own["a"], 0)], "stream_id string, named string, inc binary, offset long")
+        tokens = made.select("stream_id", codec.encode_token(F.col("named"), F.col("inc"), F.col("offset")).alias("token"))
+        page, told = log.read_tokens(tokens)
+        assert [bytes(r.payload) for r in page.collect()] == [b"y"]
+        assert {(r.stream_id, r.error) for r in told.collect()} == {("a", None), ("b", "InvalidCursor")}
+        cursors = spark.createDataFrame([("a", 0, None, bytes(16))], "stream_id string, after long, through long, incarnation binary")
+        page, told = log.read_after(cursors)
+        assert page.count() == 0 and [r.error for r in told.collect()] == ["StaleIncarnation"]
