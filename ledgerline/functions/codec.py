@@ -111,3 +111,10 @@ def ordered_bytes(offset: Column, raw: Column) -> Column:
     """An aggregate: byte strings of a group, concatenated in order of offset."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(offset.alias("o"), raw.alias("b")))), lambda x: x["b"])
     return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+
+
+def bounded_text(text: Column, most: int) -> Column:
+    """The longest prefix of at most so many bytes that ends between characters."""
+    raw = F.encode(text, "UTF-8")
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*cuts, F.lit("")))

@@ -598,4 +598,4 @@ def projection_fold(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("stream_id").agg(F.count(when("offset")).alias("applied"), F.coalesce(F.max(when("offset")), F.lit(0)).cast("long").alias("checkpoint"), F.coalesce(F.sum(when("bytes")), F.lit(0)).cast("long").alias("bytes"), F.max("stopped_at").alias("stopped_at"))
 
 
-from ledgerline.plans import more  # noqa: E402, F401  (adds its queries)
+from ledgerline.plans import more, operations  # noqa: E402, F401  (add their queries)
