@@ -26,6 +26,13 @@ FLOORS = _table(stream_id=str, incarnation=bytes, floor=int)
 RECEIPTS = _table(operation_id=str, kind=str, request=str, receipt=str)
 SNAPSHOTS = _table(snapshot_id=bytes, stream_id=str, incarnation=bytes, covered=int, schema_id=str, schema_version=int, content_bytes=int, digest=bytes, state=str)
 CHUNKS = _table(snapshot_id=bytes, offset=int, bytes=bytes)
+SOURCES = _table(source_id=str, parser=str, stream_id=str, captured_end=int, receipt_floor=int, sealed_end=int, finished=bool)
+CAPTURES = _table(source_id=str, start=int, end=int, digest=str)
+CAPTURED = _table(source_id=str, start=int, bytes=bytes)
+MARKERS = _table(source_id=str, item_index=int, source_byte=int, digest=str, generation=int, committed=int)
+PARSERS = _table(source_id=str, offset=int, next_index=int, committed=int, line_start=int, partial=bytes, failed=bool)
+ATTACHED = _table(replica_id=str, stream_id=str, mode=str, acknowledged=int, destination_epoch=str, max_backlog_bytes=int, pending_id=str, pending_through=int)
+BATCHES = _table(batch_id=str, stream_id=str, after=int, through=int, digest=str)
 SEGMENTS = _table(source_id=str, source_incarnation=bytes, start=int, bytes=bytes)
 REPLICAS = _table(replica_id=str, origin_id=bytes, stream_id=str, incarnation=bytes, acknowledged=int, max_backlog_bytes=int, mode=str)
 
