@@ -50,9 +50,9 @@ def quality_rules(max_loss: float = 0.5, short_line: int = 8, heavy_punctuation:
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS w FROM d),
 starts AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: w[i : i + 7])) AS k FROM w WHERE len(w) >= 8)),
 again AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS at FROM starts, range(8) t(j) WHERE c > 1) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), real AS (SELECT doc_id, line, len(regexp_extract_all(line, '{WORD}')) AS n FROM lines WHERE regexp_matches(line, '{WORD}')),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), real AS (SELECT doc_id, line, len(regexp_extract_all(line, '{WORD}')) + length(regexp_replace(line, {quoted(quality.UNSPACED)}, '', 'g')) // 2 AS n FROM lines WHERE regexp_matches(line, '{WORD}')),
 judged AS (SELECT *, length(line) - length({bare("line", quality.MARKS)}) AS marks, length(line) - length({bare("line", quality.SEPARATORS)}) AS seps FROM real),
-good AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(length(translate(line, {blanks}, ''))) FILTER (NOT ((n < {short_line} AND NOT regexp_matches(line, {quoted(quality.CLOSING)})) OR (n >= 5 AND marks > {heavy_punctuation} * n) OR (seps >= 2 AND n - seps <= 4 * seps) OR regexp_matches(lower(line), {quoted("|".join(quality.BOILERPLATE))}))), 0) AS kept_chars FROM judged GROUP BY 1),
+good AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(length(translate(line, {blanks}, ''))) FILTER (NOT ((n < {short_line} AND NOT regexp_matches(line, {quoted(quality.CLOSING)})) OR (n >= 5 AND marks > {heavy_punctuation} * n) OR (seps >= 2 AND n - seps <= 4 * seps) OR (n < {quality.LONG_LINE} AND regexp_matches(lower(line), {quoted(quality.PHRASES)})))), 0) AS kept_chars FROM judged GROUP BY 1),
 base AS (SELECT w.doc_id, len(w) AS n_words, length(translate(text, {blanks}, '')) AS word_chars, length(text) - length({bare("text", quality.SYMBOLS)}) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars FROM w LEFT JOIN again USING (doc_id) LEFT JOIN good USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars - kept_chars <= {max_loss} * word_chars AS kept FROM f"""

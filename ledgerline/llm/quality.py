@@ -3,10 +3,13 @@
 Each line is judged by itself; failing lines go, and a document that loses more
 than max_loss of its word characters is rejected. A line with words fails if
 
-* punctuation: it has under short_line words and no closing punctuation, or
-  over heavy_punctuation marks a word and five words at least;
+* punctuation: it has under short_line words and no closing punctuation of any
+  of the known scripts, or over heavy_punctuation marks a word and five words at least;
 * navigation: two separators or more, with four words for each at most;
-* boilerplate: it holds one of the phrases.
+* boilerplate: it holds one of the phrases as words of their own, and under
+  LONG_LINE words.
+
+In scripts without spaces two characters count as a word of a line.
 
 Narrow: one pass, no shuffle, no Python. Windows of eight words are compared by
 64-bit digests of their words within one document.
@@ -27,11 +30,15 @@ from ledgerline.llm.native import BLANK_CHARS, let, without, words
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»›•·"
 MARKS = ".,;:!?#*$%&|<>{}[]()=~^_+\\/-"
-CLOSING = r"""[.!?…:;"'”’»)\]]\s*$"""
+CLOSING = r"""[.!?…:;"'”’»)\]。！？．：；」』】》〉）।॥؟؛۔።။។]\s*$"""
+#: of scripts without spaces between words, where two characters count as a word
+UNSPACED = r"[^\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+LONG_LINE = 24  # words; a phrase doesn't condemn a line that says so much else
 BOILERPLATE = [
     "all rights reserved", "click here", "cookie policy", "cookies", "copyright", "enable javascript", "javascript", "log in",
     "lorem ipsum", "privacy policy", "read more", "share this", "sign in", "sign up", "skip to content", "subscribe", "terms of service", "terms of use",
 ]
+PHRASES = f"(^|[^a-z0-9])({'|'.join(BOILERPLATE)})([^a-z0-9]|$)"
 WINDOW = 8
 
 
@@ -65,9 +72,10 @@ def line_fails(line: Column, short_line: int, heavy_punctuation: float) -> Colum
     def judge(n: Column) -> Column:
         punctuation = ((n < short_line) & ~line.rlike(CLOSING)) | ((n >= 5) & (marks > heavy_punctuation * n))
         navigation = (separators >= 2) & (n - separators <= 4 * separators)
-        return punctuation | navigation | F.lower(line).rlike("|".join(BOILERPLATE))
+        return punctuation | navigation | ((n < LONG_LINE) & F.lower(line).rlike(PHRASES))
 
-    return let(F.size(words(line)), judge)
+    unspaced = F.when(F.octet_length(line) == F.length(line), F.lit(0)).otherwise((F.length(F.regexp_replace(line, UNSPACED, "")) / 2).cast("int"))
+    return let(F.size(words(line)) + unspaced, judge)
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", max_loss: float = 0.5, short_line: int = 8, heavy_punctuation: float = 0.6) -> DataFrame:

@@ -268,6 +268,16 @@ def test_lines_go_and_documents_that_lose_too_much(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_lines_of_other_scripts_and_long_lines_stay(spark):
+    chinese = "\n".join(f"今天天气很好{k}我们去公园散步然后回家吃饭。" for k in range(25))
+    hindi = "\n".join(f"यह एक वाक्य है {k} और यह अच्छा{k} है।" for k in range(25))
+    prose = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, chinese), (2, hindi), (3, f"{prose} the cookies were good {prose.upper()}."), (4, f"a design in the catalog in {prose}."), (5, f"{prose} end.\nCopyright 2020."), (6, "第一章\n" + chinese)]
+    got = {r.doc_id: r for r in quality.clean(documents(spark, rows)).collect()}
+    assert all(got[k].lost_chars == 0 for k in (1, 2, 3, 4)) and all(got[k].kept for k in (1, 2, 3, 4, 5, 6))
+    assert "Copyright" not in got[5].clean_text and "第一章" not in got[6].clean_text
+
+
 # -- 7 -----------------------------------------------------------------------
 
 
