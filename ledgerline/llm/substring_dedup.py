@@ -47,7 +47,7 @@ from ledgerline.llm.text import Words, column, joined, mix64, slices, text_buffe
 
 SIZE = 20
 UNIT = 4 << 20  # bytes of text
-SHARD = 1 << 22  # windows
+SHARD = 1 << 20  # windows; up to 32 times as many where there would be over 2**14 shards
 MAX_BITS = 28  # of a row of a shard's counters
 GROUP = 32 << 20  # bytes of text whose repeated windows one group of digests stands for
 _SALT = 0x51_7C_C1_B7_27_22_0A_95
@@ -78,7 +78,7 @@ class Sketch:
     def __init__(self, total: int, max_bits: int = MAX_BITS):
         """total: bytes of text; a window for each 6 bytes is the estimate."""
         n = max(1, total // 6)
-        held = min(8 * SHARD, max(SHARD, n >> 13))
+        held = min(32 * SHARD, max(SHARD, n >> 14))
         self.shards = max(64, -(-n // held))
         #: 8 counters a window, or more
         self.bits = min(max_bits, max(10, math.ceil(math.log2(8 * n / self.shards))))
@@ -161,11 +161,10 @@ def sketched(bundled: DataFrame, size: int, sketch: Sketch) -> DataFrame:
                 ], schema=schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard; one shard is held at a time."""
+        """A partition is a shard."""
         held: list[tuple[int, bytes, bytes]] = []
-        shard = None
 
-        def answered() -> Iterator[pa.RecordBatch]:
+        def answered(shard: int) -> Iterator[pa.RecordBatch]:
             rows = np.zeros((2, 1 << sketch.bits), np.uint8)
             for _, raw, twice in held:
                 prints = unpack_deltas(raw)
@@ -181,25 +180,25 @@ def sketched(bundled: DataFrame, size: int, sketch: Sketch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([shard] * len(part), pa.int32()), pa.array(bits, pa.binary())], names=["unit", "shard", "bits"])
 
         for batch in batches:
-            for part, unit, raw, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != shard and held:
-                    yield from answered()
-                    held = []
-                shard = part
+            for shard, unit, raw, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append((unit, raw, twice))
         if held:
-            yield from answered()
+            yield from answered(shard)
 
     touched = bundled.mapInArrow(partial, "shard int, unit long, prints binary, twice binary")
-    return touched.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "unit long, shard int, bits binary")
+    return touched.repartitionById(sketch.shards, "shard").mapInArrow(merge, "unit long, shard int, bits binary")
 
 
 def _heads(doc: np.ndarray, start: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     """Which occurrences lie at their digest's earliest place."""
     if not len(doc):
         return np.zeros(0, bool)
-    order = np.lexsort((start, doc, k2, k1))
+    placed = np.lexsort((start, doc))
+    order = placed[np.argsort(k1[placed], kind="stable")]
     a, b = k1[order], k2[order]
+    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):  # equal halves of different digests
+        order = np.lexsort((start, doc, k2, k1))
+        a, b = k1[order], k2[order]
     heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
     out = np.zeros(len(doc), bool)

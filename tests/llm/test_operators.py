@@ -313,6 +313,25 @@ def test_passages_keep_layout_and_columns(spark):
     assert (got[1].carried.source, got[3].carried.source) == ("s", None)
 
 
+def test_the_prefilter_holds_at_ten_times_the_input(spark, monkeypatch):
+    """Windows that occur once pass alike seldom, and all repeated ones pass, however many there are."""
+    monkeypatch.setattr(substring_dedup, "SHARD", 1 << 10)
+    shares, shards = [], []
+    for n in (20, 200):
+        rows = [(k, " ".join(f"{k:03x}{j:03x}" for j in range(1000))) for k in range(n)]
+        docs = documents(spark, rows + [(n + k, t) for k, (_, t) in enumerate(rows[: n // 10])])
+        total = sum(len(t) for _, t in rows) * 11 // 10
+        sketch = substring_dedup.Sketch(total)
+        ids = docs.select(F.col("doc_id").alias("id"), "text", F.struct(F.lit(None).cast("int").alias("none")).alias("carried"))
+        bundled = substring_dedup.units(ids, 1 << 15)
+        told = substring_dedup.sketched(bundled, 20, sketch).collect()
+        passed, repeated = sum(int.from_bytes(r.bits, "little").bit_count() for r in told), 2 * 981 * (n // 10)
+        assert passed >= repeated
+        shares.append((passed - repeated) / (981 * (n - n // 10)))
+        shards.append(sketch.shards)
+    assert shards[1] > 2 * shards[0] and max(shares) < 0.03
+
+
 def test_deltas_round_trip():
     for spots in ([], [0], [0, 1, 255, 256, 511, 4096, 4097], [254, 255 * 3]):
         assert substring_dedup.unpack_deltas(substring_dedup.pack_deltas(np.array(spots, np.int64))).tolist() == spots
