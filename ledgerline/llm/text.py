@@ -6,6 +6,9 @@ only loops over batches and long cuts of them, never over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,17 +86,29 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about limit bytes of text (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_buffers(column(batch, name))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
-            yield batch.slice(at, to - at)
-            at = to
+    """The same rows in batches of about limit bytes of text (one row at least). After the last, what the worker has freed goes back to the system."""
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, offsets = text_buffers(column(batch, name))
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
+                to = min(max(to, at + 1), batch.num_rows)
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        batch = offsets = None
+        release()
+
+
+def release() -> None:
+    """Gives free memory back: an idle worker that Spark keeps for later tasks would hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries than GNU's lack it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_cuts(data: np.ndarray, blank: np.ndarray = _BLANK, limit: int = CUT) -> Iterator[tuple[int, int]]:

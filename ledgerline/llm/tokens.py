@@ -129,11 +129,9 @@ class ByteBPE:
     At most cache different pre-tokens are held; then the table starts anew.
     """
 
-    def __init__(self, path: str, cache: int = 1_500_000):
+    def __init__(self, path: str, cache: int = 800_000):
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_characters()
@@ -145,6 +143,15 @@ class ByteBPE:
         self.cache = cache
         self.reset()
 
+    @property
+    def whole(self):
+        """The library's own encoder, which few texts need."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def reset(self) -> None:
         self.table = Table()
         self.flat = np.zeros(1 << 16, np.int32)
