@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.shared import checkpointed, small_batches
-from ledgerline.llm.text import NOT_TERM, Words, column, slices, text_buffers
+from ledgerline.llm.text import NOT_TERM, Words, column, release, slices, text_buffers
 
 EXAMPLES = 6000
 MAX_BYTES = 64 << 20  # of the examples' terms that the driver holds
@@ -80,23 +80,24 @@ def distinct_examples(term_sets: list[np.ndarray], labels: list[int], percent: i
     names, times = np.unique(np.concatenate(term_sets), return_counts=True)
     rank = np.empty(len(names), np.int32)
     rank[np.argsort(times, kind="stable")] = np.arange(len(names), dtype=np.int32)
-    rare: dict[int, np.ndarray] = {}  # of kept examples
     single = int((times == 1).sum())  # ranks below: terms that no other example has
-    kept: dict[tuple[int, int], list[int]] = {}  # by label and leading term
-    keep = []
-    for i, (found, label) in enumerate(zip(term_sets, labels, strict=True)):
-        size = sizes[i]
-        ordered = np.sort(rank[np.searchsorted(names, found)])
-        lead = ordered[: size - -(-percent * size // 100) + 1]
-        lead = [(label, t) for t in lead[lead >= single].tolist()]
-        near = {j for t in lead for j in kept.get(t, ())}
-        if any(_similar(ordered, rare[j], percent) for j in sorted(near)):
-            continue
-        keep.append(i)
-        rare[i] = ordered
-        for t in lead:
-            kept.setdefault(t, []).append(i)
-    return keep
+    ordered = [np.sort(rank[np.searchsorted(names, found)]) for found in term_sets]
+    leads = [o[: n - -(-percent * n // 100) + 1] for o, n in zip(ordered, sizes, strict=True)]
+    leads = [x[x >= single] for x in leads]
+    owner = np.repeat(np.arange(len(leads)), [len(x) for x in leads])
+    key = np.concatenate(leads).astype(np.int64) * 2 + np.array([bool(x) for x in labels], np.int64)[owner]
+    # earlier examples of equal label with a term stand before it, between the key's start and its own place
+    order = np.lexsort((owner, key))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    start = np.searchsorted(key[order], key)
+    holders, ends = owner[order], np.cumsum([len(x) for x in leads])
+    keep = np.ones(len(leads), bool)
+    for i, to in enumerate(ends.tolist()):
+        at = slice(to - len(leads[i]), to)
+        near = np.unique(np.concatenate([holders[a:b] for a, b in zip(start[at].tolist(), place[at].tolist(), strict=True) if a < b] or [holders[:0]]))
+        keep[i] = not any(_similar(ordered[i], ordered[j], percent) for j in near[keep[near]].tolist())
+    return np.flatnonzero(keep).tolist()
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -282,7 +283,7 @@ def counted(texts: DataFrame, text: str, *carried: str) -> DataFrame:
             row, found, counts = counts_of(*occurrences)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carried), pack(found), pack(counts.astype(np.int64)), pa.array(words.astype(np.int64))], names=[*carried, "terms", "counts", "words"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in carried), pack(found), pack(counts.astype(np.int32)), pa.array(words.astype(np.int64))], names=[*carried, "terms", "counts", "words"])
 
     kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in carried]
     return texts.select(*carried, text).mapInArrow(run, ", ".join([*kinds, "terms binary", "counts binary", "words long"]))
@@ -331,7 +332,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
             held += r["size"]
     picked = docs.sparkSession.createDataFrame(taken, "id long, size int")  # at most `examples` rows
     rows = rows.join(F.broadcast(picked), ["id", "size"]).orderBy("id", "size").collect()
-    return train([r["id"] for r in rows], [r["label"] for r in rows], [np.frombuffer(r["terms"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.int64) for r in rows], [r["words"] for r in rows], lambda vocabulary: document_frequencies(docs, vocabulary, text))
+    model = train([r["id"] for r in rows], [r["label"] for r in rows], [np.frombuffer(r["terms"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.int32) for r in rows], [r["words"] for r in rows], lambda vocabulary: document_frequencies(docs, vocabulary, text))
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5) -> DataFrame:
