@@ -12,9 +12,20 @@ COLUMNS = {
 }
 
 
+#: what the contracts name, of these types; other columns may follow
+TYPES = {
+    "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint", "n_links": "bigint", "component_id": "bigint",
+    "kept": "boolean", "n_shingles": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean",
+    "n_removed": "bigint", "kept_sha256": "string", "held_out": "boolean", "lang_pred": "string", "score": "double", "predicted": "int", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint",
+    "base_sha256": "string", "spans": "string", "host": "string", "path": "string", "rule": "string", "verdict": "string", "doc_id": "bigint", "page_id": "bigint", "vec_id": "bigint",
+}
+
+
 def test_registration(spark):
     found = entry.queries()
     numbers = {int(m[1]): n for n in found if (m := re.match(r"op(\d+)_", n))}
     assert sorted(numbers) == list(range(1, 11)) and "pipeline" in found
-    for k in (2, 3, 6, 9):
-        assert set(COLUMNS[k].split()) <= set(found[numbers[k]](spark, SMALL).columns)
+    for k in range(2, 11):
+        told = dict(found[numbers[k]](spark, SMALL).dtypes)
+        assert set(COLUMNS[k].split()) <= set(told), k
+        assert all(told[c] == TYPES[c] for c in COLUMNS[k].split()), (k, told)

@@ -386,6 +386,22 @@ def test_every_language_is_learned(spark):
     assert np.mean(right) >= 0.9 and np.mean(right[64:]) >= 0.9
 
 
+def test_prediction_and_training_share_one_recurrence():
+    rng = np.random.default_rng(4)
+    net = language.Network.fresh(["a", "b"], 6, 3)
+    steps = rng.integers(0, 256, (40, 9)).astype(np.uint8)
+    for way in (net.forward, net.back):
+        for fast, plain in zip(way.states(steps), way.run(steps), strict=True):
+            assert np.allclose(fast.T, plain, atol=1e-5)
+
+
+def test_models_on_an_empty_table(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert language.identify(odd.limit(0), language.learn(docs)).count() == 0
+    model = toxicity.learn(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.without_toxic(odd.limit(0), model).count() == 0
+
+
 def test_toxicity(spark, odd):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     model = toxicity.learn(docs, labels)

@@ -2,6 +2,9 @@
 
 import hashlib
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
 from ledgerline.llm import secrets, toxicity
 from tests.conftest import SMALL
@@ -36,3 +39,35 @@ def test_stages(spark, tmp_path):
     whole = cp.run(spark, SMALL).collect()
     digest = lambda rows: hashlib.sha256(str(sorted((r.doc_id, r.start, r.ids_crc32) for r in rows)).encode()).hexdigest()
     assert digest(whole) == digest(docs.collect())
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, tmp_path, rows, labels):
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated keys, null, empty and very long texts, and labels of nothing."""
+    prose = " ".join(f"w{k}" for k in range(300))
+    passage, own = " ".join(f"w{k}" for k in range(60)), " ".join(f"y{k}" for k in range(200))
+    rows = [(None, prose), (None, None), (1, None), (2, ""), (3, " \n"), (4, prose), (4, prose), (5, prose), (6, " ".join(f"x{k}" for k in range(120_000))), (7, f"token=abcdefgh12 {passage} {own}"), (8, "short")]
+    d = written(spark, tmp_path, [(i, t, None, "s", None) for i, t in rows], [(4, None, 0), (None, 1, 1), (99, 0, None), (8, 1, 0)])
+    packed = cp.run(spark, d).collect()
+    counts = {}
+    for r in packed:
+        counts.setdefault(r.doc_id, []).append(r)
+    assert set(counts) == {None, 1, 2, 3, 4, 6, 7, 8}  # 5 is a copy of 4; a null key is nobody's copy
+    assert all(r.doc_tokens == 1 for k in (1, 2) for r in counts[k])
+    assert sum(r.length for r in counts[6]) == counts[6][0].doc_tokens > 120_000
+    assert len({r.sequence_id for r in packed}) == len(packed)
+    # the passage that 7 shares with 4 goes from 7, whose secret is redacted
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert counts[7][0].doc_tokens == 1 + len(library.encode(f"[REDACTED] {own}", add_special_tokens=False).ids)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert cp.run(spark, written(spark, tmp_path, [], [])).count() == 0

@@ -111,6 +111,17 @@ def test_sentencepiece_round_trip(spark):
     assert back.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").where("text <> was").count() == 0
 
 
+def test_sentencepiece_on_odd_rows(spark):
+    odd = [(None, "a b", 1, "x"), (1, None, 2, "y"), (1, "", 3, "z"), (2, "the cat " * 9000, 4, "w"), (2, " lead\ttab ", 5, "v")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, n_ids int, ids string")
+    made = sentencepiece_np.encode(docs, PIECES)
+    back = sentencepiece_np.decode(made, PIECES).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert sorted((str(r.doc_id), r.n_ids) for r in back) == sorted((str(i), len(library.encode(t or ""))) for i, t, *_ in odd)
+    assert sorted(r.text for r in back) == sorted(library.decode(library.encode(t or "")) for _, t, *_ in odd)
+    assert sentencepiece_np.decode(sentencepiece_np.encode(docs.limit(0), PIECES), PIECES).count() == 0
+
+
 def test_packing(spark):
     odd = [(1, None, 5), (1, None, 5), (2, "", 5), (None, "x y", 5), (3, "the cat " * 9000, 5)]
     docs = spark.createDataFrame(odd, "doc_id long, text string, start long")
