@@ -1,11 +1,15 @@
 """Captured sources and replication, from commit to commit, with writers that die between."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.engine import EventLog
 from ledgerline.ingestion import SourceJournal
+from ledgerline.operators.replication import backup_digest
 from ledgerline.replicate import Destination, Replicator
+from ledgerline.restore import cleanup_staging, restore
 from ledgerline.schema import LogError
 from ledgerline.sources.store import Store
 
@@ -101,3 +105,38 @@ def test_replication_survives_lost_answers(spark, tmp_path):
         assert {r.replica_id: r.error for r in here.detach(gone).collect()} == {"r": None, "x": "NotFound"}
         with pytest.raises(LogError, match="NeedsBootstrap"):
             here.prepare("r", "a")
+
+
+def test_a_restored_store_has_new_lifetimes(spark, tmp_path):
+    backup, target = f"file://{tmp_path}/log", f"file://{tmp_path}/new"
+    with Store(spark, backup, create=True) as store:
+        log = EventLog(store)
+        log.create(["a", "empty"])
+        log.append(spark.createDataFrame([(k, "a", f"e{k}", "s", 1, bytes([k])) for k in range(4)], REQUEST))
+        state = b"two events"
+        log.upload_snapshot(bytes(16), "a", 2, spark.createDataFrame([(0, state)], "offset long, bytes binary"), hashlib.sha256(state).digest())
+        log.move_snapshot(bytes(16), "publish")
+        log.acquire_recovery(bytes(16), 1000)
+        Replicator(log).attach(spark.createDataFrame([("r", "a", "FromBeginning", 1 << 20)], "replica_id string, stream_id string, mode string, max_backlog_bytes long"), "old")
+        old = {r.stream_id: bytes(r.incarnation) for r in log.names().collect()}
+    digest = backup_digest(spark, f"{backup}/data")
+    with pytest.raises(LogError, match="BackupMismatch"):
+        restore(spark, backup, target, "op", "0" * 64)
+    (tmp_path / "new.staging").mkdir()
+    (tmp_path / "new.staging" / "_owner-other").touch()
+    with pytest.raises(LogError, match="RestoreInProgress"):
+        restore(spark, backup, target, "op", digest)
+    assert not cleanup_staging(spark, target, "op") and cleanup_staging(spark, target, "other")
+    with restore(spark, backup, target, "op", digest) as store:
+        log = EventLog(store, audit=True)
+        new = {r.stream_id: bytes(r.incarnation) for r in log.names().collect()}
+        assert set(new) == set(old) and not set(new.values()) & set(old.values())
+        assert [bytes(r.payload) for r in log.records().orderBy("offset").collect()] == [bytes([k]) for k in range(4)]
+        assert {bytes(r.incarnation) for r in log.records().collect()} == {new["a"]}
+        assert log.append(spark.createDataFrame([(0, "a", "e3", "s", 1, bytes([3])), (1, "a", "e4", "s", 1, b"")], REQUEST)).orderBy("seq").collect()[1].offset == 5
+        held = Replicator(log).attachments().first()
+        assert held.mode == "DetachedNeedsBootstrap" and held.destination_epoch != "old" and log.leases().count() == 0
+        chunks, suffix = log.recover(bytes(16))
+        assert bytes(chunks.first().bytes) == state and sorted(r.offset for r in suffix.collect()) == [3, 4, 5]
+    with pytest.raises(LogError, match="AlreadyExists"):
+        restore(spark, backup, target, "again", digest)
