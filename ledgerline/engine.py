@@ -13,7 +13,7 @@ from ledgerline.functions.codec import valid_identifier
 from ledgerline.operators import append as appends
 from ledgerline.operators import control, replication
 from ledgerline.operators import log as logs
-from ledgerline.schema import CHUNKS, FLOORS, INSERTED, LEASES, POLICIES, RECORDS, SNAPSHOTS, STORED, STREAM_NAMES, TAILS, Limits, LogError
+from ledgerline.schema import CHUNKS, DEDUPLICATED, FLOORS, INSERTED, LEASES, OUTCOMES, POLICIES, PROFILES, RECORDS, SNAPSHOTS, STORED, STREAM_NAMES, TAILS, Limits, LogError
 from ledgerline.sources.store import FORMAT_VERSION, Store
 
 LIFE = ["stream_id", "incarnation"]
@@ -33,6 +33,9 @@ class EventLog:
             raise LogError("MigrationRequired", f"format {store.format}")
         if audit and not self.faults().isEmpty():
             raise LogError("StoreCorrupt", store.path)
+        if PROFILES.index(self.limits.persistence) > PROFILES.index(store.persistence):
+            raise LogError("InvalidConfig", f"{store.persistence} storage")
+        self.opened, self.rejected, self.state = store.version(), 0, "Running"
 
     # -- control tables ------------------------------------------------------
 
@@ -76,6 +79,21 @@ class EventLog:
         """Streams whose records are not gapless between floor and tail."""
         return replication.restore_audit(self.bounds(), self.records().select("stream_id", "offset")).where("error is not null")
 
+    def diagnostics(self) -> dict:
+        """What has become of the append requests since this log was opened; accepted ones are inserted, deduplicated or failed."""
+        told = self.store.read("outcomes", OUTCOMES, after=self.opened)
+        row = told.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == INSERTED).alias("i"), F.count_if(F.col("outcome") == DEDUPLICATED).alias("d"), F.count_if(F.col("error_code").isNotNull()).alias("f")).first()
+        counts = {"append_accepted": row.n, "append_inserted": row.i, "append_deduplicated": row.d, "append_failed": row.f, "append_rejected": self.rejected}
+        return {"lifecycle": self.state, "persistence": self.store.persistence, "accepts_writes": self.state == "Running" and self.store.owner is not None, **counts}
+
+    def close(self) -> dict:
+        """Takes no more appends, gives the final counts, and releases the store."""
+        self.state = "Draining"
+        report = self.diagnostics()
+        self.store.close()
+        self.state = "Closed"
+        return {**report, "lifecycle": self.state}
+
     # -- streams -------------------------------------------------------------
 
     def create(self, stream_ids: list[str]) -> DataFrame:
@@ -108,8 +126,11 @@ class EventLog:
         operation_id = operation_id or uuid.uuid4().hex
         known = self.store.find(operation_id)
         if known is None:
+            if self.state != "Running":
+                raise LogError("Closed", self.store.path)
             n = requests.count()
             if n > self.limits.batch_events:
+                self.rejected += n
                 raise LogError("CapacityExceeded", f"{n} requests")
             streams = self.names().where("active").join(self.policies(), LIFE, "left").join(self.bounds().select("stream_id", "tail"), "stream_id").select("stream_id", "incarnation", "tail", "oldest", "current")
             met = requests.join(streams.select("stream_id", "incarnation", "current"), "stream_id", "left")

@@ -39,7 +39,7 @@ def resolve(requests: DataFrame, records: DataFrame, tails: DataFrame, identity:
     identity = identity or ["stream_id", "event_id"]
     size = F.octet_length("payload") + F.octet_length("event_id") + F.octet_length("schema_id") + 128
     sized = requests.withColumns({"fits": size <= max_bytes, "content": content_digest()})
-    asked = requests.select(*identity).distinct()
+    asked = requests.select(*identity)
     held = records.join(F.broadcast(asked) if n_requests is not None and n_requests <= FEW else asked, identity, "left_semi")
     held = held.select(*identity, F.col("offset").alias("held_offset"), (F.col("content") if "content" in records.columns else content_digest()).alias("held_content"))
     met = sized.join(held, identity, "left")
@@ -69,7 +69,7 @@ def resolve_generated(requests: DataFrame, records: DataFrame, streams: DataFram
     """
     met = requests.join(streams.select("stream_id", "oldest", "current"), "stream_id")
     checked = met.withColumn("refused", generation_error())
-    asked = requests.where("generation = 0").select("stream_id", "event_id").distinct()
+    asked = requests.where("generation = 0").select("stream_id", "event_id")
     old = records.where("generation = 0").select("stream_id", "event_id")
     legacy = old.join(F.broadcast(asked) if n_requests is not None and n_requests <= FEW else asked, ["stream_id", "event_id"], "left_semi").distinct().withColumn("known", F.lit(True))
     found = checked.join(legacy, ["stream_id", "event_id"], "left")

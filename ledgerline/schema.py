@@ -58,6 +58,8 @@ SEGMENT_CHARGE = 128
 MARKER_CHARGE = 192
 IDENTIFIER_BYTES = 256
 CURSOR_VERSION = 1
+# What storage outlives, from least to most.
+PROFILES = ["Ephemeral", "ProcessRestart"]
 
 
 class LogError(Exception):
@@ -82,9 +84,12 @@ class Limits:
     cleanup_bytes: int = 2 << 20
     lease_ms: int = 300_000
     operation_receipts: int = 4096
+    persistence: str = "Ephemeral"
 
     def __post_init__(self) -> None:
+        if self.persistence not in PROFILES:
+            raise LogError(INVALID_CONFIG, f"persistence={self.persistence!r}")
         for f in fields(self):
             value = getattr(self, f.name)
-            if not isinstance(value, int) or not 0 < value < 1 << 63:
+            if f.name != "persistence" and (not isinstance(value, int) or not 0 < value < 1 << 63):
                 raise LogError(INVALID_CONFIG, f"{f.name}={value!r}")

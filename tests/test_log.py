@@ -352,6 +352,24 @@ def test_the_log_is_never_the_build_side(spark):
     assert semi < scan and not any("sha2" in x for x in lines[semi:scan])
 
 
+def test_counts_since_opening(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/log", create=True).acquire()
+    log = EventLog(store, Limits(batch_events=3, persistence="ProcessRestart"))
+    log.create(["a"])
+    log.append(requests(spark, ("a", "1", b"x"), ("a", "1", b"x"), ("a", "1", b"y")))
+    with pytest.raises(LogError, match="CapacityExceeded"):
+        log.append(requests(spark, *[("a", str(k), b"x") for k in range(4)]))
+    assert log.diagnostics()["accepts_writes"]
+    report = log.close()
+    assert report == {"lifecycle": "Closed", "persistence": "ProcessRestart", "accepts_writes": False, "append_accepted": 3, "append_inserted": 1, "append_deduplicated": 1, "append_failed": 1, "append_rejected": 4}
+    with pytest.raises(LogError, match="Closed"):
+        log.append(requests(spark, ("a", "9", b"x")))
+    with pytest.raises(LogError, match="InvalidConfig"):
+        Limits(persistence="Forever")
+    with Store(spark, f"file://{tmp_path}/log") as again:
+        assert EventLog(again).diagnostics()["append_accepted"] == 0
+
+
 def test_tokens_of_other_lifetimes_and_streams_are_refused(spark, tmp_path):
     with Store(spark, f"file://{tmp_path}/log", create=True) as store:
         log = EventLog(store)
