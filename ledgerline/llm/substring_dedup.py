@@ -79,7 +79,7 @@ class Sketch:
         """total: bytes of text; a window for each 6 bytes is the estimate."""
         n = max(1, total // 6)
         held = min(32 * SHARD, max(SHARD, n >> 14))
-        self.shards = max(64, -(-n // held))
+        self.shards = max(1, min(64, n >> 12), -(-n // held))
         #: 8 counters a window, or more
         self.bits = min(max_bits, max(10, math.ceil(math.log2(8 * n / self.shards))))
         self.width = min(32, self.bits + 8)  # of a fingerprint
@@ -129,7 +129,7 @@ def units(ids: DataFrame, unit: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as writer:
                 writer.write_table(whole)
-            blob = zstandard.compress(sink.getvalue(), 3)
+            blob = zstandard.compress(sink.getvalue(), 5)
             return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([blob], pa.binary())], names=["unit", "blob"])
 
         for batch in slices(batches, "text", unit):
@@ -206,8 +206,8 @@ def _heads(doc: np.ndarray, start: np.ndarray, k1: np.ndarray, k2: np.ndarray) -
     return out
 
 
-_MET = "kind int, part long, unit long, at binary, doc binary, start binary, k1 binary, k2 binary"
-_MET_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("unit", pa.int64()), *((c, pa.binary()) for c in ("at", "doc", "start", "k1", "k2"))])
+_MET = "kind int, part long, unit long, at binary, doc binary, base binary, k1 binary, k2 binary"
+_MET_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("unit", pa.int64()), *((c, pa.binary()) for c in ("at", "doc", "base", "k1", "k2"))])
 
 
 def _met(rows: list[tuple]) -> pa.RecordBatch:
@@ -249,7 +249,7 @@ def settled(bundled: DataFrame, answers: DataFrame, size: int, sketch: Sketch, g
         heads = np.flatnonzero(np.diff(part[some], prepend=-1))
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(some)], strict=True):
             pick = some[a:b]
-            rows.append((0, int(part[pick[0]]), unit, pack_deltas(at[pick]), zstandard.compress(doc[pick].tobytes(), 1), start[pick].astype(np.int32).tobytes(), k1[pick].tobytes(), k2[pick].tobytes()))
+            rows.append((0, int(part[pick[0]]), unit, pack_deltas(at[pick]), zstandard.compress(doc[pick].tobytes(), 1), zstandard.compress((at - start)[pick].astype(np.int32).tobytes(), 1), k1[pick].tobytes(), k2[pick].tobytes()))
         for a in range(0, len(rows), 256):
             yield _met(rows[a : a + 256])
 
@@ -269,7 +269,7 @@ def settled(bundled: DataFrame, answers: DataFrame, size: int, sketch: Sketch, g
 
         for batch in batches:
             passed = []
-            for kind, part, unit, at, doc, start, k1, k2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, part, unit, at, doc, base, k1, k2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
                     passed.append((kind, part, unit, at))
                     continue
@@ -277,7 +277,8 @@ def settled(bundled: DataFrame, answers: DataFrame, size: int, sketch: Sketch, g
                     yield from done()
                     held = []
                 group = part
-                held.append((unit, unpack_deltas(at), np.frombuffer(zstandard.decompress(doc), np.int64), np.frombuffer(start, np.int32), np.frombuffer(k1, np.uint64), np.frombuffer(k2, np.uint64)))
+                at = unpack_deltas(at)
+                held.append((unit, at, np.frombuffer(zstandard.decompress(doc), np.int64), at - np.frombuffer(zstandard.decompress(base), np.int32), np.frombuffer(k1, np.uint64), np.frombuffer(k2, np.uint64)))
             if passed:
                 yield _met(passed)
         if held:
