@@ -7,8 +7,8 @@
 2. Vectors that are equal and have the same label form a class; one member
    stands for it. A label's classes are cut into blocks. A task holds the
    vectors of one block and the codes, an eighth of a byte a component, of those
-   blocks that it must meet; every two blocks meet in one task. It tells which
-   vectors' codes come near: with cosine c the estimate's standard error is
+   blocks that it must meet; every two blocks meet in one task. It links what lies
+   within its block and tells which other vectors' codes come near: with cosine c the estimate's standard error is
    spread * sqrt(1 - c * c), so an estimate more than `errors` of these below
    the least cosine can't belong to a link.
 3. Only these vectors are sent to the block. There the codes decide again, pair
@@ -45,6 +45,7 @@ LEAST = 0.93
 ERRORS = 5.0
 BLOCK = 8192
 COMPONENTS = 1 << 22  # of a block, at most
+BROADCAST_ROWS = 200_000  # of a block and a digest: some 20 MB
 SEED = 20240517
 _TILE = 1 << 22  # pairs that are estimated at once
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -188,6 +189,8 @@ def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[B
             if kind == 0:
                 held.append(batch.slice(a, b - a))
                 continue
+            if block is None and not held:
+                continue  # no vector has fallen on this block
             if block is None:
                 block, held = Block(pa.Table.from_batches(held), width), []
             yield block, batch.slice(a, b - a)
@@ -195,6 +198,16 @@ def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[B
         yield block or Block(pa.Table.from_batches(held), width), None
 
 
+_FOUND = "group string, i int, d1 long, d2 long, id long, links long, root long"
+
+
+def _found(group: str, i: int | None, d1: np.ndarray, d2: np.ndarray, ids: np.ndarray, links: np.ndarray | None = None, root: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of _FOUND: linked members (i null), or members that block i wants (links and root null)."""
+    n = len(ids)
+    rest = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (links, root)]
+    return pa.RecordBatch.from_arrays([pa.array([group] * n, pa.string()), pa.array([i] * n, pa.int32()), pa.array(d1), pa.array(d2), pa.array(ids), *rest], names=["group", "i", "d1", "d2", "id", "links", "root"])
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """key, n_links, component_id, kept."""
     small_batches(vectors.sparkSession)
@@ -218,8 +231,33 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     stepped = stepped.withColumn("i", F.pmod(F.col("block") - F.col("step"), F.col("k"))).where("2 * step < k or 2 * i < k")
     sent = stepped.select(group.alias("group"), "i", F.lit(1).alias("kind"), "id", "dim", "d1", "d2", "copies", none.cast("binary").alias("raw"), "code", "factor")
 
-    def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(held: Block, met: list[pa.RecordBatch] | None) -> pa.RecordBatch:
+        """Link counts, and each linked member's root, of the pairs within a block or, with met, of those between it and the met."""
+        rows = pa.concat_tables([held.rows, *(pa.Table.from_batches([x]).select(held.rows.column_names) for x in met or [])])
+        copies = rows.column("copies").to_numpy()
+        counts, label_of = np.zeros(len(copies), np.int64), np.arange(len(copies))
+        at = len(held.unit)
+        for other in [None] if met is None else met:
+            b, codes = (held.unit, held.codes) if other is None else (unit_rows(other.column("raw").to_pylist(), width, held.dim), _codes(other, held.dim))
+            for i, j in linked(held.unit, held.codes, b, codes, least):
+                if other is None:
+                    i, j = i[i < j], j[i < j]
+                else:
+                    j = j + at
+                counts += (np.bincount(i, copies[j], len(copies)) + np.bincount(j, copies[i], len(copies))).astype(np.int64)
+                label_of = roots(label_of, i, j)
+            at += 0 if other is None else other.num_rows
+        some = np.flatnonzero(counts)
+        ids = rows.column("id").to_numpy()
+        return _found(held.group, None, rows.column("d1").to_numpy()[some], rows.column("d2").to_numpy()[some], ids[some], counts[some], ids[label_of[some]])
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within each block, and which vectors of others it wants."""
+        last = None
         for held, other in _by_block(batches, width):
+            if held is not last:
+                yield told(held, None)
+                last = held
             if other is None:
                 continue
             codes = _codes(other, held.dim)
@@ -227,54 +265,35 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             step = max(1, _TILE // len(held.unit))
             for at in range(0, other.num_rows, step):
                 close[at : at + step] = held.codes.near(Codes.stored(held.dim, codes.bits[at : at + step], codes.factor[at : at + step]), least).any(axis=0)
-            yield other.filter(pa.array(close)).select(["group", "i", "d1", "d2"])
+            want = other.filter(pa.array(close))
+            yield _found(held.group, other.column("i")[0].as_py(), *(want.column(c).to_numpy() for c in ("d1", "d2", "id")))
 
-    by_block = lambda rows: rows.select(*columns).repartition("group", "i").sortWithinPartitions("group", "i", "kind")
-    wanted = by_block(own.unionByName(sent)).mapInArrow(wants, "group string, i int, d1 long, d2 long")
-    known = classes.select(group.alias("group"), "d1", "d2", "id", "dim", "copies", "raw", "code", "factor")
-    fetched = wanted.join(known, ["group", "d1", "d2"]).withColumn("kind", F.lit(1))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: list[pa.RecordBatch] = []
-
-        def told(held: Block) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(met).select(["id", "d1", "d2", "copies"]) if met else held.rows.slice(0, 0)
-            rows = pa.concat_tables([held.rows, rows])
-            n, copies = len(held.unit), rows.column("copies").to_numpy()
-            counts, label_of = np.zeros(len(copies), np.int64), np.arange(len(copies))
-            at = n
-            for other in [None, *met]:
-                b, codes = (held.unit, held.codes) if other is None else (unit_rows(other.column("raw").to_pylist(), width, held.dim), _codes(other, held.dim))
-                for i, j in linked(held.unit, held.codes, b, codes, least):
-                    if other is None:
-                        i, j = i[i < j], j[i < j]
-                    else:
-                        j = j + at
-                    counts += (np.bincount(i, copies[j], len(copies)) + np.bincount(j, copies[i], len(copies))).astype(np.int64)
-                    label_of = roots(label_of, i, j)
-                at += 0 if other is None else other.num_rows
-            some = np.flatnonzero(counts)
-            ids = rows.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([held.group] * len(some), pa.string()), pa.array(rows.column("d1").to_numpy()[some]), pa.array(rows.column("d2").to_numpy()[some]),
-                pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[label_of[some]]),
-            ], names=["group", "d1", "d2", "id", "links", "root"])
-
-        last = None
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between each block and what it wanted."""
+        last, met = None, []
         for held, other in _by_block(batches, width):
             if last is not None and held is not last:
-                yield from told(last)
-                met.clear()
+                yield told(last, met)
+                met = []
             last = held
             if other is not None:
                 met.append(other)
         if last is not None:
-            yield from told(last)
+            yield told(last, met)
 
-    found = by_block(own.unionByName(fetched.select(*columns))).mapInArrow(links, "group string, d1 long, d2 long, id long, links long, root long")
-    told = checkpointed(found)
-    counts = told.groupBy("group", "d1", "d2", "id").agg(F.sum("links").alias("links"))
-    labels = components(told.select(F.col("root").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("component"))
+    by_block = lambda rows: rows.select(*columns).repartition("group", "i").sortWithinPartitions("group", "i", "kind")
+    passed = checkpointed(by_block(own.unionByName(sent)).mapInArrow(first_pass, _FOUND))
+    wanted = passed.where("i is not null").select("group", "i", "d1", "d2")
+    known = classes.select(group.alias("group"), "d1", "d2", "id", "dim", "copies", "raw", "code", "factor")
+    told_, n = passed.where("i is null"), wanted.count()
+    if n:
+        fetched = known.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, ["group", "d1", "d2"]).withColumn("kind", F.lit(1))
+        # one row a block, so of some thousand vectors
+        wanting = own.join(F.broadcast(wanted.select("group", "i").distinct()), ["group", "i"], "left_semi")
+        across = checkpointed(by_block(wanting.unionByName(fetched.select(*columns))).mapInArrow(second_pass, _FOUND))
+        told_ = told_.unionByName(across)
+    counts = told_.groupBy("group", "d1", "d2", "id").agg(F.sum("links").alias("links"))
+    labels = components(told_.select(F.col("root").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("component"))
     of_class = classes.select(*same, "id", "copies", group.alias("group")).join(counts, ["group", "d1", "d2", "id"], "left").drop("group").join(labels, "id", "left").withColumnRenamed("id", "rep")
     out = made.drop("raw", "code", "factor").join(of_class, same, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))

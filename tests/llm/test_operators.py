@@ -136,14 +136,15 @@ def brute_vectors(rows, least=0.93):
     return [(r[0], links[k], None if r[0] is None else find(r[0])) for k, r in enumerate(rows)]
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 16))
     rows = [(k, (base[k % 6] + rng.normal(size=16) * 0.12 * (k % 4)).tolist(), k % 3) for k in range(90)]
     rows += [(100 + k, rows[0][1], 0) for k in range(5)] + [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None, *([1.0] * 15)], 0), (204, rows[0][1], None), (205, [], 0), (206, [1e300] * 16, 0), (207, [5e299] * 16, 0), (208, [1.0, 2.0], 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, n_links int")
     want = brute_vectors(rows)
-    for block in (1024, 16, 4):  # one block, two or three, and many
+    for block, few in ((1024, 1), (16, 200_000), (4, 0)):  # one block, two or three, and many
+        monkeypatch.setattr(embedding_dedup, "BROADCAST_ROWS", few)
         got = embedding_dedup.near_duplicates(df, block=block).collect()
         assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == sorted((str(i), n, c) for i, n, c in want)
         assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
