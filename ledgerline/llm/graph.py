@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,60 @@ from pyspark.sql import functions as F
 from ledgerline.llm.shared import checkpointed
 
 
-def components(edges: DataFrame) -> DataFrame:
+PAIRS = 1 << 20  # edges that a task contracts at once
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), ascending, and for each the smallest node reachable."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        # labels are roots here; each goes below its least neighbour
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+        x, y = label[x], label[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    return nodes, nodes[label]
+
+
+def trees(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that connect the same nodes as the edges given: of what is held at once, each node with the smallest it reaches."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def flush() -> pa.RecordBatch:
+        nodes, label = least_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        away = nodes != label
+        return pa.RecordBatch.from_arrays([pa.array(label[away]), pa.array(nodes[away])], names=["a", "b"])
+
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= PAIRS:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes, contracted in each task."""
+    return edges.mapInArrow(lambda batches: trees((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches), "a long, b long")
+
+
+def components(edges: DataFrame, contract: bool = False) -> DataFrame:
     """node, label: the smallest node reachable, for nodes of edges (a, b).
 
-    Each round takes the least label among neighbours and then the label's own
+    contract: tasks contract the edges first, once these are dealt out, so rounds
+    carry fewer edges and long chains take few rounds. Each round takes the least label among neighbours and then the label's own
     label, so stars need two rounds and chains a logarithmic number. Every step
     is an aggregate with partial sums or an equi-join that AQE can split.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = checkpointed(contracted(edges) if contract else edges)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:

@@ -6,7 +6,8 @@
 2. Documents with equal sets form a class; its smallest key stands for it.
    Tasks forward one document of each set and flush, so copies don't pile up.
 3. Documents with equal band keys meet at the smallest key of their bucket: a
-   star, never all pairs. Components of the stars are the candidate groups.
+   star, never all pairs. Tasks contract what meets in them to an edge a
+   document. Components of the stars are the candidate groups.
 4. Within a group, blocks of signatures are compared by bit counts; the
    collision-corrected similarity, less five standard errors, splits groups.
 5. Within what is left, full shingle sets are compared and links confirmed by
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.graph import by_group, components, dealt, forest
+from ledgerline.llm.graph import by_group, components, dealt, forest, least_reachable, trees
 from ledgerline.llm.shared import checkpointed, small_batches
 from ledgerline.llm.text import Words, column, mix64, slices, text_buffers, windows
 
@@ -124,7 +125,11 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, bands: int, rows:
 
 
 def stars(made: DataFrame, buckets: int) -> DataFrame:
-    """Edges (a, b): documents that share a band's key, each with the smallest key of its bucket."""
+    """Edges (a, b) that connect all documents that share a band's key.
+
+    Documents that meet in a flush are contracted at once: each gets one edge, to the smallest of
+    those it is connected with there, which stands for all of them in the buckets.
+    """
 
     def first_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((ids, keys))
@@ -132,10 +137,6 @@ def stars(made: DataFrame, buckets: int) -> DataFrame:
         heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         return k, d, np.repeat(heads, np.diff(np.append(heads, len(k))))
 
-    def edges(d: np.ndarray, head: np.ndarray) -> np.ndarray:
-        pair = np.stack([d[head], d], axis=1)[d != d[head]]
-        return np.unique(pair, axis=0) if len(pair) else pair
-
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
     def told(pair: np.ndarray) -> pa.RecordBatch:
@@ -155,11 +156,12 @@ def stars(made: DataFrame, buckets: int) -> DataFrame:
             new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
             pick = order[new]
             k, d, head = first_of(keys[pick].ravel(), np.repeat(ids[pick], keys.shape[1]))
-            pair = edges(d, head)
+            nodes, label = least_reachable(d[head], d)
+            pair = np.stack([label, nodes], axis=1)[nodes != label]
             if len(pair):
                 yield told(pair)
             top = head == np.arange(len(head))
-            k, d = k[top], d[top]
+            k, d = k[top], label[np.searchsorted(nodes, d[top])]
             bucket = (k % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             k, d, bucket = k[order], d[order], bucket[order]
@@ -181,24 +183,26 @@ def stars(made: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []  # edges; they lead, and go on batch by batch
+        passed: list[tuple[np.ndarray, np.ndarray]] = []  # edges; they lead, and go on batch by batch
 
         def buckets_of() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = int(np.searchsorted(batch.column(0).to_numpy(), 0))
                 if n:
-                    passed.append(batch.slice(0, n).select(["a", "b"]))
+                    passed.append(tuple(batch.slice(0, n).column(c).to_numpy() for c in ("a", "b")))
                 yield batch.slice(n)
 
-        for group in by_group(buckets_of(), 1):
+        def edges() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for group in by_group(buckets_of(), 1):
+                yield from passed
+                passed.clear()
+                keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
+                _, d, head = first_of(keys, np.frombuffer(b"".join(group.column("ids").to_pylist()), np.int64))
+                away = d != d[head]
+                yield d[head][away], d[away]
             yield from passed
-            passed.clear()
-            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-            _, d, head = first_of(keys, np.frombuffer(b"".join(group.column("ids").to_pylist()), np.int64))
-            pair = edges(d, head)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-        yield from passed
+
+        return trees(edges())
 
     full = made.where("id is not null and d1 is not null").select("id", "d1", "d2", "keys")
     sent = full.mapInArrow(spread, "bucket int, keys binary, ids binary, a long, b long")
@@ -281,9 +285,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
         return alike
 
+    def linked(edges: DataFrame) -> DataFrame:
+        return components(edges, contract=True)
+
     sig = made.where("d1 is not null").select("id", "n", "signature")
-    coarse = components(stars(made, buckets)).select(F.col("node").alias("id"), F.col("label").alias("group"))
-    close = components(_trees(dealt(coarse, block).join(sig, "id").select("group", "i", "j", "block", "k", "id", "n", "signature"), estimate)).select(F.col("node").alias("id"), F.col("label").alias("group"))
+    coarse = linked(stars(made, buckets)).select(F.col("node").alias("id"), F.col("label").alias("group"))
+    close = linked(_trees(dealt(coarse, block).join(sig, "id").select("group", "i", "j", "block", "k", "id", "n", "signature"), estimate)).select(F.col("node").alias("id"), F.col("label").alias("group"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -306,7 +313,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     near = dealt(close.join(sig.select("id", "n"), "id"), block, F.col("n"), SHINGLES).groupBy("id", "group", "block", "k").agg(F.collect_list(F.struct("i", "j")).alias("met")).join(sig.select("id", "signature"), "id")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     full = near.join(texts, "id").select("id", "group", "met", "signature", "text", "block", "k")
-    confirmed = components(_trees(full.mapInArrow(sets, "group long, i int, j int, id long, block int, k int, signature binary, found binary"), exact))
+    confirmed = linked(_trees(full.mapInArrow(sets, "group long, i int, j int, id long, block int, k int, signature binary, found binary"), exact))
 
     # written out, or the join would share the aggregate's partitions, which Spark can't split for a large class
     least = checkpointed(made.where("id is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")))

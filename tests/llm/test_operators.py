@@ -1,6 +1,7 @@
 """Operators 2 and 4 to 10 against brute force, on odd rows and on the small tables."""
 
 import hashlib
+import random
 import re
 import time
 import tracemalloc
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import embedding_dedup, language, near_dedup, quality, queries, secrets, substring_dedup, toxicity, url_filter
+from ledgerline.llm import embedding_dedup, graph, language, near_dedup, quality, queries, secrets, substring_dedup, toxicity, url_filter
 from ledgerline.llm.graph import components
 from ledgerline.llm.text import Words, text_buffers
 from tests.conftest import SMALL
@@ -172,6 +173,45 @@ def test_components(spark):
 # -- 5 -----------------------------------------------------------------------
 
 
+def test_contracted_components(spark, monkeypatch):
+    """A long chain in no order is contracted before the rounds, so it takes few."""
+    order = random.Random(3).sample(range(600), 600)
+    edges = [*zip(order, order[1:], strict=False), *((1000, 1000 + k) for k in range(50)), (7, 7)]
+    made = []
+    monkeypatch.setattr(graph, "checkpointed", lambda x, f=graph.checkpointed: made.append(0) or f(x))
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), contract=True).collect()}
+    assert got == {k: 0 for k in range(600)} | {1000 + k: 1000 for k in range(50)}
+    assert len(made) <= 6
+    chain = [(np.array([a]), np.array([b])) for a, b in edges]
+    monkeypatch.setattr(graph, "PAIRS", 64)
+    few = [np.stack([x.column(c).to_numpy() for c in range(2)]) for x in graph.trees(chain)]
+    assert len(few) == len(edges) // 64 + 1
+    nodes, least = graph.least_reachable(*np.concatenate(few, axis=1))
+    assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == got
+
+
+def test_near_copies_meet_by_an_edge_each(spark):
+    """A group of near copies gives about an edge a document, not one a band, and stays connected."""
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(x if rnd.random() > 0.02 else f"{x}{k}" for x in [*words, f"u{k}"])) for k in range(300)]
+    docs = documents(spark, rows).repartition(3)
+    sketched = near_dedup.sketches(docs, "doc_id", "text", 2, 50, 6, 4)
+    got = near_dedup.stars(sketched, 64).collect()
+    keys = {r.id: np.frombuffer(r.keys, np.uint64).tolist() for r in sketched.collect()}
+    near = spark.createDataFrame([(i, m) for found in group_by_key(keys) for m in [min(found)] for i in found if i != m], "a long, b long")
+    assert sorted(map(tuple, components(spark.createDataFrame(got, "a long, b long")).collect())) == sorted(map(tuple, components(near).collect()))
+    assert near.count() > 4 * len(rows) > len({(r.a, r.b) for r in got}) * 2
+
+
+def group_by_key(keys):
+    met = {}
+    for i, found in keys.items():
+        for k in found:
+            met.setdefault(k, set()).add(i)
+    return met.values()
+
+
 def brute_near(rows, size, percent=80):
     low = str.maketrans({c: c + 32 for c in range(65, 91)})
     sets = []
