@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.graph import by_group, components, dealt, forest, least_reachable, trees
-from ledgerline.llm.shared import checkpointed, small_batches
+from ledgerline.llm.shared import checkpointed, collect_garbage, small_batches
 from ledgerline.llm.text import Words, column, mix64, slices, text_buffers, windows
 
 SHINGLE = 5
@@ -286,7 +286,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return alike
 
     def linked(edges: DataFrame) -> DataFrame:
-        return components(edges, contract=True)
+        found = components(edges, contract=True)
+        collect_garbage(docs.sparkSession)
+        return found
 
     sig = made.where("d1 is not null").select("id", "n", "signature")
     coarse = linked(stars(made, buckets)).select(F.col("node").alias("id"), F.col("label").alias("group"))

@@ -37,6 +37,11 @@ def ready(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_dir(spark))
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Between the steps of a long query: the driver's heap shrinks to what is in use, and Spark removes shuffle files and checkpoints that nothing refers to any more, which else waits until the heap happens to fill."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, with their lineage cut."""
     ready(df.sparkSession)

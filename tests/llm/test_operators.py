@@ -263,6 +263,20 @@ def test_near_duplicates(spark, odd, small, size):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_the_driver_frees_memory_between_steps(spark, small, monkeypatch):
+    runs = []
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def counted(session, f=near_dedup.collect_garbage):
+        before = sum(b.getCollectionCount() for b in beans)
+        f(session)
+        runs.append(sum(b.getCollectionCount() for b in beans) > before)
+
+    monkeypatch.setattr(near_dedup, "collect_garbage", counted)
+    near_dedup.near_duplicates(documents(spark, small))
+    assert runs == [True] * 3
+
+
 def test_near_duplicates_in_pairs_of_blocks(spark):
     rng = np.random.default_rng(4)
     base = [f"v{k}" for k in range(120)]
