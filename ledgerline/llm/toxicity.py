@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.shared import checkpointed, small_batches
+from ledgerline.llm.shared import checkpointed, collect_garbage, small_batches
 from ledgerline.llm.text import NOT_TERM, Words, column, release, slices, text_buffers
 
 EXAMPLES = 6000
-MAX_BYTES = 64 << 20  # of the examples' terms that the driver holds
+MAX_BYTES = 64 << 20  # of the examples' terms that the driver gets; it holds half of it
+PART = 4 << 20  # of these bytes that it gets at once
 TERMS = 4096
 LEAST_RATIO = 16.0  # chi-squared with one degree of freedom, p under 1e-4
 HEADS = (5, 6, 7, 8)
@@ -45,6 +46,7 @@ NEAREST = 16
 BLOCK = 64
 PRIOR_VOTE = 2.0
 NEAR_COPY = 80  # percent of the terms of either that near copies share
+QUERIES = 512  # of the examples that are looked up at once
 REST = 2.0  # squared weight of a word that is outside the vocabulary
 
 
@@ -69,29 +71,50 @@ def counts_of(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return r[heads], h[heads], np.diff(np.append(heads, len(r)))
 
 
+def ranked(term_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different terms by rarity, and how many sets hold each. Each set gives way to its terms' places there, ascending, so that none is held twice."""
+    part = np.cumsum([x.nbytes for x in term_sets], dtype=np.int64) // PART
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(term_sets)]
+    names = np.zeros(0, np.uint64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        names = np.union1d(names, np.concatenate([names[:0], *term_sets[a:b]]))
+    times = np.zeros(len(names), np.int32)
+    for i, found in enumerate(term_sets):
+        term_sets[i] = np.searchsorted(names, found).astype(np.int32)
+        times[term_sets[i]] += 1
+    order = np.argsort(times, kind="stable")
+    rank = np.empty(len(names), np.int32)
+    rank[order] = np.arange(len(names), dtype=np.int32)
+    for i, found in enumerate(term_sets):
+        term_sets[i] = np.sort(rank[found])
+    return names[order], times[order]
+
+
 def distinct_examples(term_sets: list[np.ndarray], labels: list[int], percent: int = NEAR_COPY) -> list[int]:
     """All but near copies, which would count as evidence over again: those whose term sets, in order, reach a Jaccard similarity of percent with an earlier kept example of equal label.
 
     Exact: with terms in order of rarity, sets that similar share one of the first size - ceil(percent * size) + 1 terms of each.
     """
-    sizes = [len(t) for t in term_sets]
-    if not sum(sizes):
-        return list(range(len(term_sets)))
-    names, times = np.unique(np.concatenate(term_sets), return_counts=True)
-    rank = np.empty(len(names), np.int32)
-    rank[np.argsort(times, kind="stable")] = np.arange(len(names), dtype=np.int32)
+    ordered = list(term_sets)
+    return _distinct(ordered, ranked(ordered)[1], labels, percent)
+
+
+def _distinct(ordered: list[np.ndarray], times: np.ndarray, labels: list[int], percent: int = NEAR_COPY) -> list[int]:
+    """As distinct_examples, of sets in order of rarity."""
+    if not len(times):
+        return list(range(len(ordered)))
     single = int((times == 1).sum())  # ranks below: terms that no other example has
-    ordered = [np.sort(rank[np.searchsorted(names, found)]) for found in term_sets]
-    leads = [o[: n - -(-percent * n // 100) + 1] for o, n in zip(ordered, sizes, strict=True)]
+    leads = [o[: len(o) - -(-percent * len(o) // 100) + 1] for o in ordered]
     leads = [x[x >= single] for x in leads]
-    owner = np.repeat(np.arange(len(leads)), [len(x) for x in leads])
+    owner = np.repeat(np.arange(len(leads), dtype=np.int32), [len(x) for x in leads])
     key = np.concatenate(leads).astype(np.int64) * 2 + np.array([bool(x) for x in labels], np.int64)[owner]
     # earlier examples of equal label with a term stand before it, between the key's start and its own place
-    order = np.lexsort((owner, key))
+    order = np.argsort(key, kind="stable")  # owners ascend
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     start = np.searchsorted(key[order], key)
     holders, ends = owner[order], np.cumsum([len(x) for x in leads])
+    del owner, key, order
     keep = np.ones(len(leads), bool)
     for i, to in enumerate(ends.tolist()):
         at = slice(to - len(leads[i]), to)
@@ -245,32 +268,41 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(keys: list[int], labels: list[int], terms: list[np.ndarray], counts: list[np.ndarray], words: list[int], frequencies: Callable[[np.ndarray], tuple[np.ndarray, int]], k: int = NEAREST, most_terms: int = TERMS, least_ratio: float = LEAST_RATIO, block: int = BLOCK) -> Model:
-    """terms, counts, words: of each example. frequencies: of the terms of a vocabulary, how many documents hold them and how many there are."""
-    keep = distinct_examples(terms, labels)
-    keys, labels, terms, counts, words = ([x[i] for i in keep] for x in (keys, labels, terms, counts, words))
+def train(keys: list[int], labels: list[int], terms: list[np.ndarray], words: list[int], counts: Callable[[list[int], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], frequencies: Callable[[np.ndarray], tuple[np.ndarray, int]], k: int = NEAREST, most_terms: int = TERMS, least_ratio: float = LEAST_RATIO, block: int = BLOCK) -> Model:
+    """terms, words: of each example; the list of terms is emptied. counts: of the terms of a vocabulary in some of the examples: which of these, term and count, in order of both. frequencies: how many documents hold each term of a vocabulary and how many there are."""
+    names, times = ranked(terms)
+    keep = _distinct(terms, times, labels)
+    keys, labels, words = ([x[i] for i in keep] for x in (keys, labels, words))
     y = np.array(labels, np.float64)
     n = len(y)
-    flat = np.concatenate(terms) if n else np.zeros(0, np.uint64)
-    example = np.repeat(np.arange(n), [len(t) for t in terms]) if n else np.zeros(0, np.int64)
-    names, df = np.unique(flat, return_counts=True)
-    seen, times = np.unique(flat[y[example] > 0], return_counts=True)
-    toxic = np.zeros(len(names))
-    toxic[np.searchsorted(names, seen)] = times
+    df, toxic = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
+    for i, label in zip(keep, labels, strict=True):
+        df[terms[i]] += 1
+        if label > 0:
+            toxic[terms[i]] += 1
+    terms.clear()
+    often = np.flatnonzero(df >= 2)
+    often = often[np.argsort(names[often])]
+    names, df, toxic = names[often], df[often].astype(np.float64), toxic[often].astype(np.float64)
     positives = int(y.sum())
     ratio = likelihood_ratio(toxic, df - toxic, positives, n - positives) if 0 < positives < n else np.zeros(len(names))
-    chosen = np.flatnonzero((ratio >= least_ratio) & (df >= 2))
+    chosen = np.flatnonzero(ratio >= least_ratio)
     vocabulary = names[np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:most_terms]])]
+    del often, names, times, df, toxic, ratio
+    release()
     held, documents = frequencies(vocabulary)
     index = BlockMaxIndex(vocabulary, np.log((1 + documents) / (1 + held)) + 1, y, np.array(keys, np.int64), block)
-    known = index.knows(flat)
-    vectors = index.vectors(example[known], flat[known], np.concatenate(counts)[known] if n else np.zeros(0), np.array(words, np.float64))
-    index.fill(*vectors)
+    row, term, weight = index.vectors(*counts(keep, vocabulary), np.array(words, np.float64))
+    index.fill(row, term, weight)
     prior = positives / n if n else 0.0
     model = Model(index, prior, 0.0, 0.0, k)
     if 0 < positives < n:
-        best, who = index.nearest(*vectors, n, k, np.arange(n))
-        model.slope, model.shift = fit_curve(model.votes(best, who), y)
+        votes = np.zeros(n)
+        for at in range(0, n, QUERIES):
+            to = min(at + QUERIES, n)
+            a, b = np.searchsorted(row, [at, to])
+            votes[at:to] = model.votes(*index.nearest(row[a:b] - at, term[a:b], weight[a:b], to - at, k, np.arange(at, to)))
+        model.slope, model.shift = fit_curve(votes, y)
     return model
 
 
@@ -289,6 +321,26 @@ def counted(texts: DataFrame, text: str, *carried: str) -> DataFrame:
     return texts.select(*carried, text).mapInArrow(run, ", ".join([*kinds, "terms binary", "counts binary", "words long"]))
 
 
+def known_counts(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of the sorted vocabulary's terms in rows as of counted; these are numbered in order of id and size."""
+
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), vocabulary, np.zeros(0, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for found, times in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                hashes = np.frombuffer(found, np.uint64)
+                here = among(vocabulary, hashes)
+                got.append((hashes[here].tobytes(), np.frombuffer(times, np.int32)[here].tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[c] for x in got], pa.binary()) for c in range(2))], names=["id", "size", "terms", "counts"])
+
+    told = sorted(rows.select("id", "size", "terms", "counts").mapInArrow(run, "id long, size int, terms binary, counts binary").collect())  # less than the sets that the driver had
+    hashes, times = (np.frombuffer(b"".join(r[c] for r in told), kind) for c, kind in (("terms", np.uint64), ("counts", np.int32)))
+    return np.repeat(np.arange(len(told)), np.array([len(r["terms"]) // 8 for r in told], np.int64)), hashes, times
+
+
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
     """How many of all documents hold each term of the sorted vocabulary, and how many documents there are."""
     if not len(vocabulary):
@@ -330,10 +382,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         if held + r["size"] <= max_bytes:
             taken.append((r["id"], r["size"]))
             held += r["size"]
-    picked = docs.sparkSession.createDataFrame(taken, "id long, size int")  # at most `examples` rows
-    rows = rows.join(F.broadcast(picked), ["id", "size"]).orderBy("id", "size").collect()
-    model = train([r["id"] for r in rows], [r["label"] for r in rows], [np.frombuffer(r["terms"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.int32) for r in rows], [r["words"] for r in rows], lambda vocabulary: document_frequencies(docs, vocabulary, text))
-    del rows
+    taken.sort()
+
+    def of(some: list[tuple[int, int]]) -> DataFrame:
+        return rows.join(F.broadcast(docs.sparkSession.createDataFrame(some, "id long, size int")), ["id", "size"])  # at most `examples` rows
+
+    # part by part, and with the terms alone: a whole result would lie in the driver's JVM several times
+    found = {}
+    for r in of(taken).select("id", "size", "label", "words", "terms").coalesce(1 + held // PART).toLocalIterator():
+        found[r["id"], r["size"]] = (r["label"], r["words"], np.frombuffer(r["terms"], np.uint64))
+    labels_, words, sets = ([found[x][c] for x in taken] for c in range(3))
+    del found
+    collect_garbage(docs.sparkSession)
+
+    def counts(keep: list[int], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return known_counts(of([taken[i] for i in keep]), vocabulary)
+
+    model = train([i for i, _ in taken], labels_, sets, words, counts, lambda vocabulary: document_frequencies(docs, vocabulary, text))
     release()
     return model
 

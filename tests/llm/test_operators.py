@@ -522,6 +522,29 @@ def test_examples_are_bounded_in_bytes(spark):
     assert 0 not in keys and 0 < len(keys) * 10 * 8 <= 3000
 
 
+def test_learning_holds_the_terms_once(spark, monkeypatch):
+    """The driver gets the terms part by part, holds less than their bytes and half again, and its JVM is free of them when training begins."""
+    rnd = random.Random(5)
+    rows = [(k, " ".join(f"w{rnd.randrange(20_000)}" for _ in range(4000)) + (" rotten" if k % 4 == 0 else "")) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    docs = documents(spark, rows).localCheckpoint()
+    held, collected = [], []
+    monkeypatch.setattr(toxicity, "ranked", lambda sets, f=toxicity.ranked: held.append(sum(x.nbytes for x in sets)) or f(sets))
+    monkeypatch.setattr(toxicity, "collect_garbage", lambda session: collected.append(len(held)))
+    monkeypatch.setattr(toxicity, "PART", 1 << 20)
+    monkeypatch.setattr(toxicity, "QUERIES", 7)
+    rows.clear()
+    tracemalloc.start()
+    model = toxicity.learn(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.index.vocabulary) and model.slope and held[0] > 5 << 20 and collected == [0]
+    assert peak < 1.5 * held[0] + (4 << 20)
+    monkeypatch.setattr(toxicity, "QUERIES", 512)
+    whole = toxicity.learn(docs, labels)
+    assert (model.slope, model.shift) == (whole.slope, whole.shift) and np.array_equal(model.index.bounds, whole.index.bounds)
+
+
 def test_idf_counts_all_documents(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet")
     docs = docs.union(docs.limit(3)).union(documents(spark, [(None, None), (None, "")]))
