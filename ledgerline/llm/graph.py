@@ -59,13 +59,23 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, contract: bool = False) -> DataFrame:
     """node, label: the smallest node reachable, for nodes of edges (a, b).
 
-    contract: tasks contract the edges first, once these are dealt out, so rounds
-    carry fewer edges and long chains take few rounds. Each round takes the least label among neighbours and then the label's own
+    contract: tasks contract the edges first, once these are dealt out, and again in
+    as few tasks as hold PAIRS edges each, as long as that leaves fewer. One task
+    for all of them leaves nothing to do; else rounds carry fewer edges and long
+    chains take few rounds. Each round takes the least label among neighbours and then the label's own
     label, so stars need two rounds and chains a logarithmic number. Every step
     is an aggregate with partial sums or an equi-join that AQE can split.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = checkpointed(contracted(edges) if contract else edges)
+    n = edges.count() if contract else 0
+    while contract:
+        tasks = max(1, -(-n // PAIRS))
+        edges = checkpointed(contracted(edges.repartition(tasks)))
+        if tasks == 1:
+            return checkpointed(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()))
+        before, n = n, edges.count()
+        contract = n < 0.8 * before
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
@@ -134,3 +144,24 @@ def forest(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
             stack += found.tolist()
             left = left[~hit]
     return root
+
+
+def joined(root: np.ndarray, side: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """As forest, where the trees within each side are known by their roots and links across sides are sought.
+
+    A member is compared only with those of the other side that its tree doesn't hold yet.
+    """
+    out = root.copy()
+    left = np.arange(len(root))
+    while len(left):
+        first = int(left[0])  # the root of its tree
+        own = root[left] == first
+        stack, left = left[own].tolist(), left[~own]
+        while stack and len(left):
+            m = stack.pop()
+            others = left[side[left] != side[m]]
+            hit = np.isin(root[left], root[others[alike(m, others)]])
+            out[left[hit]] = first
+            stack += left[hit].tolist()
+            left = left[~hit]
+    return out

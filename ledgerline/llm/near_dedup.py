@@ -11,7 +11,8 @@
 4. Within a group, blocks of signatures are compared by bit counts; the
    collision-corrected similarity, less five standard errors, splits groups.
 5. Within what is left, full shingle sets are compared and links confirmed by
-   integer arithmetic. Tasks return spanning trees, not pairs.
+   integer arithmetic. Tasks return spanning trees, not pairs, and of two blocks
+   only what joins the trees of either.
 
 Groups larger than a block are dealt as pairs of blocks, so no task holds more
 than two blocks, and no pair of a group is left out. At similarity 0.8 the
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.graph import by_group, components, dealt, forest, least_reachable, trees
+from ledgerline.llm.graph import by_group, components, dealt, forest, joined, least_reachable, trees
 from ledgerline.llm.shared import checkpointed, collect_garbage, small_batches
 from ledgerline.llm.text import Words, column, mix64, slices, text_buffers, windows
 
@@ -212,9 +213,11 @@ def stars(made: DataFrame, buckets: int) -> DataFrame:
 
 
 def _trees(met: DataFrame, compare: Callable[[pa.Table], Alike]) -> DataFrame:
-    """Edges (a, b) of the spanning trees of each pair of blocks; compare(table) tells which are linked, as in forest. met: group, i, j, id, block, k, ...
+    """Edges (a, b) that connect all linked documents; compare(table) tells which are linked, as in forest. met: group, i, j, id, block, k, ...
 
-    Pairs within a block are compared in one of its tasks only, that with the next block.
+    Each task finds the trees within its two blocks and then the links that join them. The trees' own
+    edges come from one of a block's tasks only, that with the next block, and else an edge for each
+    two trees that were apart. So a large group gives an edge a document and few for each pair of blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,18 +226,21 @@ def _trees(met: DataFrame, compare: Callable[[pa.Table], Alike]) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             group, ids = group.take(pa.array(order)), ids[order]
             i, j, block, k = (group.column(c).to_numpy() for c in ("i", "j", "block", "k"))
-            within = (i == j) | (block == i) & (j == (i + 1) % k) | (block == j) & (i == (j + 1) % k)
+            told = (i == j) | (block == i) & (j == (i + 1) % k) | (block == j) & (i == (j + 1) % k)
             alike = compare(group)
 
-            def met_here(m: int, others: np.ndarray, block=block, within=within, alike=alike) -> np.ndarray:
-                out = within[m] | (block[others] != block[m])
+            def inside(m: int, others: np.ndarray, block=block, alike=alike) -> np.ndarray:
+                out = block[others] == block[m]
                 out[out] = alike(m, others[out])
                 return out
 
-            root = forest(group.num_rows, met_here)
-            away = ids != ids[root]
+            within = forest(group.num_rows, inside)
+            root = joined(within, block, alike) if i[0] != j[0] else within
+            # a member to its tree in the block, a tree to the first it is joined with
+            to = np.where(within == np.arange(len(ids)), root, within)
+            away = (to != np.arange(len(ids))) & (told | (within == np.arange(len(ids))))
             if away.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[root][away]), pa.array(ids[away])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[to][away]), pa.array(ids[away])], names=["a", "b"])
 
     return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
 

@@ -290,6 +290,53 @@ def test_near_duplicates_in_pairs_of_blocks(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_near(rows, 2)
 
 
+def test_a_large_group_gives_an_edge_a_document(spark, monkeypatch):
+    """Pairs of blocks return what joins their trees, not a tree of each pair, whose sum grows with the square of the group."""
+    rows = [(k, " ".join([f"v{j}" for j in range(60)] + [f"u{k}"])) for k in range(320)]
+    seen = []
+    monkeypatch.setattr(near_dedup, "components", lambda edges, f=near_dedup.components, **kw: seen.append(edges.count()) or f(edges, **kw))
+    got = near_dedup.near_duplicates(documents(spark, rows), size=2, block=16).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 320
+    pairs = 20 * 21 // 2
+    assert len(seen) == 3 and max(seen[1:]) < 320 + pairs
+
+
+def test_trees_of_two_sides_are_joined():
+    rng = np.random.default_rng(11)
+    for p in (0.0, 0.01, 0.03, 0.1, 1.0):
+        n = 80
+        link = np.triu(rng.random((n, n)) < p, 1)
+        link |= link.T
+        side = rng.integers(0, 2, n)
+        asked = np.zeros((n, n), int)
+
+        def alike(m, others, link=link, asked=asked):
+            asked[m, others] += 1
+            return link[m, others]
+
+        within = graph.forest(n, lambda m, others, link=link, side=side: link[m, others] & (side[others] == side[m]))
+        a, b = np.nonzero(link)
+        nodes, least = graph.least_reachable(np.concatenate([a, np.arange(n)]), np.concatenate([b, np.arange(n)]))
+        assert np.array_equal(graph.joined(within, side, alike), least)
+        assert (asked + asked.T).max(initial=0) <= 1 and not asked[side[:, None] == side].any()
+
+
+def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch):
+    """Few tasks contract again while that helps, then rounds do the rest; where one task holds all, there are no rounds."""
+    order = random.Random(4).sample(range(900), 900)
+    edges = [*zip(order, order[1:], strict=False), *((5000 + k, 4000) for k in range(400))]
+    want = {k: 0 for k in range(900)} | {4000: 4000} | {5000 + k: 4000 for k in range(400)}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    for most, steps in ((1 << 20, 3), (700, 99)):
+        made = []
+        with monkeypatch.context() as patch:
+            patch.setattr(graph, "PAIRS", most)
+            patch.setattr(graph, "checkpointed", lambda x, f=graph.checkpointed, made=made: made.append(0) or f(x))
+            assert {r.node: r.label for r in components(table, contract=True).collect()} == want
+        assert len(made) <= steps
+    assert components(table.limit(0), contract=True).count() == 0
+
+
 # -- 6 -----------------------------------------------------------------------
 
 
