@@ -51,6 +51,13 @@ def trees(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordB
         yield flush()
 
 
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label of edges (a, b) that are all held here."""
+    held = [tuple(batch.column(c).to_numpy() for c in range(2)) for batch in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["node", "label"])
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges that connect the same nodes, contracted in each task."""
     return edges.mapInArrow(lambda batches: trees((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches), "a long, b long")
@@ -70,10 +77,10 @@ def components(edges: DataFrame, contract: bool = False) -> DataFrame:
     edges = checkpointed(contracted(edges) if contract else edges)
     n = edges.count() if contract else 0
     while contract:
-        tasks = max(1, -(-n // PAIRS))
-        edges = checkpointed(contracted(edges.repartition(tasks)))
-        if tasks == 1:
-            return checkpointed(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()))
+        if n <= PAIRS:
+            # dealt out again, or all that follows would start from one partition
+            return checkpointed(edges.repartition(1).mapInArrow(settled, "node long, label long").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"))
+        edges = checkpointed(contracted(edges.repartition(-(-n // PAIRS))))
         before, n = n, edges.count()
         contract = n < 0.8 * before
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -88,9 +95,11 @@ def components(edges: DataFrame, contract: bool = False) -> DataFrame:
             return labels
 
 
-def dealt(members: DataFrame, size: int, weight: Column | None = None, most: int = 0) -> DataFrame:
+def dealt(members: DataFrame, size: int, weight: Column | None = None, most: int = 0, copied: bool = True) -> DataFrame:
     """Rows (id, group) copied to the pairs of blocks (group, i, j) that must meet, with their own block and the number of blocks, k; (0, 0) in a group of one block.
 
+    copied: else each row comes once, with its pairs as an array, met.
+
     A group has so many blocks by hash of the id that about `size` members, and
     members with a sum of weights of about `most`, fall on each.
     """
@@ -99,8 +108,9 @@ def dealt(members: DataFrame, size: int, weight: Column | None = None, most: int
         blocks = F.greatest(blocks, F.ceil(F.sum(weight) / most))
     sizes = members.groupBy("group").agg(blocks.cast("int").alias("k"), F.count("*").alias("n_")).where("n_ > 1").select("group", "k")
     held = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    met = held.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).where("k = 1 or other <> block")
-    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    others = F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: (F.col("k") == 1) | (x != F.col("block")))
+    met = held.withColumn("met", F.transform(others, lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))))
+    return met.select("*", F.inline("met")).drop("met") if copied else met
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

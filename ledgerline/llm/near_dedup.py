@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                     batch.column(5).take(part), batch.column(6).take(part), batch.column(3).take(part), pa.array([found[r] for r in row[at : at + 256]], pa.binary()),
                 ], names=["group", "i", "j", "id", "block", "k", "signature", "found"])
 
-    near = dealt(close.join(sig.select("id", "n"), "id"), block, F.col("n"), SHINGLES).groupBy("id", "group", "block", "k").agg(F.collect_list(F.struct("i", "j")).alias("met")).join(sig.select("id", "signature"), "id")
+    near = dealt(close.join(sig.select("id", "n"), "id"), block, F.col("n"), SHINGLES, copied=False).drop("n").join(sig.select("id", "signature"), "id")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     full = near.join(texts, "id").select("id", "group", "met", "signature", "text", "block", "k")
     confirmed = linked(_trees(full.mapInArrow(sets, "group long, i int, j int, id long, block int, k int, signature binary, found binary"), exact))

@@ -332,8 +332,9 @@ def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch):
         with monkeypatch.context() as patch:
             patch.setattr(graph, "PAIRS", most)
             patch.setattr(graph, "checkpointed", lambda x, f=graph.checkpointed, made=made: made.append(0) or f(x))
-            assert {r.node: r.label for r in components(table, contract=True).collect()} == want
-        assert len(made) <= steps
+            got = components(table, contract=True)
+            assert {r.node: r.label for r in got.collect()} == want
+        assert len(made) <= steps and (steps > 3 or got.rdd.getNumPartitions() > 1)  # one task made them, but they are dealt out
     assert components(table.limit(0), contract=True).count() == 0
 
 
