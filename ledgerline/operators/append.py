@@ -4,7 +4,8 @@ Duplicates, conflicts and offsets are closed forms over windows of one identity
 or one stream of the batch. The log is first cut down to the batch's identities
 by a semi-join whose build side is the batch; of a batch of at most FEW requests
 it is broadcast, so history is neither shuffled nor sorted, and digests are made
-of matches only.
+of matches only. Matches go as rows beside the requests, so all is dealt out once, by
+stream, to tasks that grow in number with the batch and not in memory.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ledgerline.schema import CAPACITY_EXCEEDED, DEDUPLICATED, IDEMPOTENCY_CONFL
 #: what must be equal for a retry to be the same request
 CONTENT = ["schema_id", "schema_version", "payload"]
 FEW = 100_000  # identities of at most 256 bytes each
+ROWS = 1 << 18  # requests of a larger batch that a task gets at most, if streams are even; in more than 200 parts Spark's shuffle holds rows before it writes
 
 
 def content_digest() -> Column:
@@ -33,28 +35,55 @@ def resolve(requests: DataFrame, records: DataFrame, tails: DataFrame, identity:
 
     requests: seq, stream_id, event_id, schema_id, schema_version, payload.
     records: the log, with the digest `content` if it is stored. tails: stream_id,
-    tail. n_requests: how many requests there are, if known. Later requests see earlier ones; only inserted ones take
+    tail. n_requests: how many requests there are, else they are counted. Later requests see earlier ones; only inserted ones take
     offsets; a request over max_bytes is refused before its identity is used.
     """
     identity = identity or ["stream_id", "event_id"]
+    n = requests.count() if n_requests is None else n_requests
+    told, known = _with_held(requests, records, identity, max_bytes, n), tails.select("stream_id", "tail")
+    met = _dealt(told, n, "stream_id").join(_dealt(known, n, "stream_id"), "stream_id", "left")
+    return _decided(met.withColumn("refused", F.lit(None).cast("string")), requests.columns, identity, F.lit(False))
+
+
+def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows dealt out by keys so that a task gets at most ROWS of n, give or take what chance does.
+
+    Adaptive execution joins partitions by their compressed bytes, but leaves a stated
+    number alone. Both sides of a join must state it, else the other's number may win.
+    """
+    if n <= FEW:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)), *keys)
+
+
+def _with_held(requests: DataFrame, records: DataFrame, identity: list[str], max_bytes: int, n: int) -> DataFrame:
+    """requests (asked) and, as rows beside them, what the log holds of their identities: so no join has to move or sort them again."""
     size = F.octet_length("payload") + F.octet_length("event_id") + F.octet_length("schema_id") + 128
-    sized = requests.withColumns({"fits": size <= max_bytes, "content": content_digest()})
+    sized = requests.withColumns({"fits": size <= max_bytes, "content": content_digest(), "asked": F.lit(True)})
     asked = requests.select(*identity)
-    held = records.join(F.broadcast(asked) if n_requests is not None and n_requests <= FEW else asked, identity, "left_semi")
-    held = held.select(*identity, F.col("offset").alias("held_offset"), (F.col("content") if "content" in records.columns else content_digest()).alias("held_content"))
-    met = sized.join(held, identity, "left")
+    held = records.join(F.broadcast(asked) if n <= FEW else _dealt(asked, n, *identity), identity, "left_semi")
+    held = held.select(*identity, F.col("offset").alias("held_offset"), (F.col("content") if "content" in records.columns else content_digest()).alias("held_content"), F.lit(False).alias("asked"))
+    return sized.unionByName(held, allowMissingColumns=True)
+
+
+def _decided(met: DataFrame, columns: list[str], identity: list[str], retry: Column) -> DataFrame:
+    """Requests' columns with outcome, error_code and offset. met: _with_held(), with tail and refused, an error known before. retry: whether a request may only match what the log holds."""
     same = Window.partitionBy(*identity, "fits").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = met.withColumns({"first_seq": F.min("seq").over(same), "first_content": F.first("content").over(same)})
-    fresh = F.col("fits") & F.col("held_offset").isNull() & (F.col("seq") == F.col("first_seq"))
-    marked = first.withColumn("fresh", fresh)
+    first = met.withColumns({"first_seq": F.min("seq").over(same), "first_content": F.first("content", ignorenulls=True).over(same)})
+    every = Window.partitionBy(*identity)  # in the same order
+    found = first.withColumns({"held_offset": F.max("held_offset").over(every), "held_content": F.max("held_content").over(every)}).where("asked")
+    judged = found.withColumn("refused", F.coalesce("refused", F.when(retry & F.col("held_offset").isNull(), "LegacyRetryNotFound")))
+    fresh = F.col("refused").isNull() & F.col("fits") & F.col("held_offset").isNull() & (F.col("seq") == F.col("first_seq"))
+    marked = judged.withColumn("fresh", fresh)
     ordered = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.join(tails, "stream_id", "left").withColumn("new_offset", F.coalesce("tail", F.lit(0)) + F.sum(F.col("fresh").cast("long")).over(ordered))
+    placed = marked.withColumn("new_offset", F.coalesce("tail", F.lit(0)) + F.sum(F.col("fresh").cast("long")).over(ordered))
     given = placed.withColumn("first_offset", F.max(F.when(F.col("fresh"), F.col("new_offset"))).over(same))
     equal = F.col("content") == F.coalesce("held_content", "first_content")
-    outcome = F.when(~F.col("fits"), F.lit(None)).when(F.col("fresh"), INSERTED).when(equal, DEDUPLICATED)
-    error = F.when(~F.col("fits"), CAPACITY_EXCEEDED).when(~F.col("fresh") & ~equal, IDEMPOTENCY_CONFLICT)
-    offset = F.when(F.col("fits") & equal, F.coalesce("held_offset", "first_offset"))
-    return given.select(*requests.columns, outcome.alias("outcome"), error.alias("error_code"), offset.cast("long").alias("offset"))
+    known = F.col("refused").isNotNull()
+    outcome = F.when(known | ~F.col("fits"), F.lit(None)).when(F.col("fresh"), INSERTED).when(equal, DEDUPLICATED)
+    error = F.when(known, F.col("refused")).when(~F.col("fits"), CAPACITY_EXCEEDED).when(~F.col("fresh") & ~equal, IDEMPOTENCY_CONFLICT)
+    offset = F.when(~known & F.col("fits") & equal, F.coalesce("held_offset", "first_offset"))
+    return given.select(*columns, outcome.alias("outcome"), error.alias("error_code"), offset.cast("long").alias("offset"))
 
 
 def generation_error(generation: str = "generation", oldest: str = "oldest", current: str = "current") -> F.Column:
@@ -67,16 +96,11 @@ def resolve_generated(requests: DataFrame, records: DataFrame, streams: DataFram
 
     Generation 0 holds events from before generations: it is matched, never inserted.
     """
-    met = requests.join(streams.select("stream_id", "oldest", "current"), "stream_id")
-    checked = met.withColumn("refused", generation_error())
-    asked = requests.where("generation = 0").select("stream_id", "event_id")
-    old = records.where("generation = 0").select("stream_id", "event_id")
-    legacy = old.join(F.broadcast(asked) if n_requests is not None and n_requests <= FEW else asked, ["stream_id", "event_id"], "left_semi").distinct().withColumn("known", F.lit(True))
-    found = checked.join(legacy, ["stream_id", "event_id"], "left")
-    checked = found.withColumn("refused", F.coalesce("refused", F.when((F.col("generation") == 0) & F.col("known").isNull(), "LegacyRetryNotFound"))).drop("known")
-    refused = checked.where("refused is not null").select(*requests.columns, F.lit(None).cast("string").alias("outcome"), F.col("refused").alias("error_code"), F.lit(None).cast("long").alias("offset"))
-    open_ = checked.where("refused is null").select(*requests.columns)
-    return resolve(open_, records, streams.select("stream_id", "tail"), ["stream_id", "generation", "event_id"], max_bytes, n_requests).unionByName(refused)
+    identity = ["stream_id", "generation", "event_id"]
+    n = requests.count() if n_requests is None else n_requests
+    told, known = _with_held(requests, records, identity, max_bytes, n), streams.select("stream_id", "tail", "oldest", "current")
+    met = _dealt(told, n, "stream_id").join(_dealt(known, n, "stream_id"), "stream_id")
+    return _decided(met.withColumn("refused", generation_error()), requests.columns, identity, F.col("generation") == 0)
 
 
 def counts(resolved: DataFrame) -> DataFrame:

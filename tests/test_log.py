@@ -1,5 +1,6 @@
 """Store, engine, codec, framing and streaming against small models."""
 
+import collections
 import hashlib
 import itertools
 
@@ -352,6 +353,54 @@ def test_the_log_is_never_the_build_side(spark):
     assert semi < scan and not any("sha2" in x for x in lines[semi:scan])
 
 
+@pytest.mark.parametrize("few", [10, 100_000])
+def test_generated_requests_equal_a_model(spark, monkeypatch, few):
+    """Refused, too large and legacy requests against a held log: one walk in order of seq, in large batches and small."""
+    monkeypatch.setattr(append, "FEW", few)
+    monkeypatch.setattr(append, "ROWS", 100, raising=False)
+    kinds = list(itertools.product("abz", (0, 1, 2, 3, 4), "12", (b"p", b"q", b"x" * 400)))
+    asked = [(k, *kinds[k * 37 % len(kinds)]) for k in range(500)]
+    held = {("a", 0, "1"): (b"p", 1), ("a", 1, "2"): (b"q", 2), ("b", 2, "1"): (b"p", 1), ("b", 0, "2"): (b"q", 2)}
+    log = spark.createDataFrame([(s, g, e, "s", 1, p, o) for (s, g, e), (p, o) in held.items()], "stream_id string, generation long, event_id string, schema_id string, schema_version long, payload binary, offset long")
+    streams = spark.createDataFrame([("a", 2, 0, 3), ("b", 2, 2, 3), ("idle", 7, 0, 1)], "stream_id string, tail long, oldest long, current long")
+    want, tails, oldest = [], {"a": 2, "b": 2}, {"a": 0, "b": 2}
+    for k, s, g, e, p in asked:
+        if s not in tails:
+            continue
+        if g < oldest[s] or g > 3:
+            told = (None, "RetryGenerationExpired" if g < oldest[s] else "RetryGenerationAhead", None)
+        elif g == 0 and (s, g, e) not in held:
+            told = (None, "LegacyRetryNotFound", None)
+        elif len(p) + len(e) + 1 + 128 > 300:
+            told = (None, "CapacityExceeded", None)
+        elif (s, g, e) not in held:
+            tails[s] += 1
+            held[s, g, e] = (p, tails[s])
+            told = ("Inserted", None, tails[s])
+        else:
+            told = ("Deduplicated", None, held[s, g, e][1]) if held[s, g, e][0] == p else (None, "IdempotencyConflict", None)
+        want.append((k, *told))
+    requests = spark.createDataFrame([(k, s, g, e, "s", 1, p) for k, s, g, e, p in asked], "seq long, stream_id string, generation long, event_id string, schema_id string, schema_version long, payload binary")
+    got = append.resolve_generated(requests, log, streams, 300).orderBy("seq").collect()
+    assert [(r.seq, r.outcome, r.error_code, r.offset) for r in got] == want
+    assert {r[2] for r in want} >= {"LegacyRetryNotFound", "CapacityExceeded", "RetryGenerationExpired", "RetryGenerationAhead", "IdempotencyConflict", None}
+
+
+@pytest.mark.parametrize("generated", [False, True])
+def test_tasks_of_large_batches_grow_in_number(spark, monkeypatch, generated):
+    """However well the rows compress, a task gets a bounded number of requests, whatever partitions the other tables come in."""
+    monkeypatch.setattr(append, "FEW", 100)
+    monkeypatch.setattr(append, "ROWS", 500, raising=False)
+    asked = spark.range(8000).selectExpr("id seq", "cast(id % 800 as string) stream_id", "1L generation", "cast(id as string) event_id", "'s' schema_id", "1L schema_version", "cast('p' as binary) payload")
+    log = spark.createDataFrame([("1", 1, "801", "s", 1, b"p", 1)], "stream_id string, generation long, event_id string, schema_id string, schema_version long, payload binary, offset long")
+    streams = asked.groupBy("stream_id").agg(F.expr("CASE WHEN stream_id = '1' THEN 1L ELSE 0L END tail"), F.lit(0).cast("long").alias("oldest"), F.lit(1).cast("long").alias("current"))
+    told = append.resolve_generated(asked, log, streams) if generated else append.resolve(asked, log, streams.select("stream_id", "tail"))
+    rows = told.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 8000 and [(r.outcome, r.offset) for r in rows if r.seq == 801] == [("Deduplicated", 1)]
+    most = max(collections.Counter(r.task for r in rows).values())
+    assert most < 2 * 500
+
+
 def test_counts_since_opening(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/log", create=True).acquire()
     log = EventLog(store, Limits(batch_events=3, persistence="ProcessRestart"))
